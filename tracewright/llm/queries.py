@@ -7,13 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import lookalike
+from tracewright.llm import leak, lookalike, overlap
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    """User turns of samples and questions of traces, with the table's name."""
+    samples = _t(spark, d, "samples").select(
+        F.lit("samples").alias("table_name"), F.col("sample_id").alias("id"), "split", "source",
+        F.get("messages", F.lit(0))["content"].alias("text"),
+    )
+    traces = _t(spark, d, "annotated_traces").select(
+        F.lit("annotated_traces").alias("table_name"), F.col("trace_id").alias("id"), "split", "source", F.col("question").alias("text")
+    )
+    return samples.unionByName(traces)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.split_overlaps(_prompts(spark, d)).select(
+        "table_name", F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")
+    ).distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _prompts(spark, d)
+    return overlap.overlap_report(rows, overlap.split_overlaps(rows))
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_passages(_t(spark, d, "documents"), _t(spark, d, "benchmark_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _passages(spark, d).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leak_report(_passages(spark, d), _t(spark, d, "benchmark_items"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leak.without_leaks(_t(spark, d, "documents"), _passages(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_t(spark, d, "documents"))
 
@@ -23,6 +62,11 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p6_clean": p6_clean,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
 }
