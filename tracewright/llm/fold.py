@@ -47,6 +47,7 @@ _CF = "".join(
     if unicodedata.category(chr(c)) == "Cf"
 )
 _INVISIBLE_PY = re.compile(f"[{INVISIBLE}{_CF}]+")
+_SUSPECT = re.compile("[" + "".join(_PAIRS) + "".join(_LIGATURES) + "]")
 _TRANSLATE = {ord(a): b for a, b in _PAIRS.items()} | {ord(a): b for a, b in _LIGATURES.items()}
 
 # Accented letters to their base letter, for the coarse key.
@@ -62,11 +63,13 @@ _BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|table|h[1-6]|hr|html|body|he
 
 def fold(text: str) -> str:
     """Python twin of :func:`fold_column`, with NFC; for Arrow batches."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_TRANSLATE))
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", _INVISIBLE_PY.sub("", text))
-    return text
+    if text.isascii():
+        return text
+    if _SUSPECT.search(text):
+        text = text.translate(_TRANSLATE)
+    if _INVISIBLE_PY.search(text):
+        text = _INVISIBLE_PY.sub("", text)
+    return unicodedata.normalize("NFC", text)
 
 
 def strip_markup(text: str) -> str:
