@@ -11,22 +11,29 @@ from typing import NamedTuple
 from tracewright.llm.fold import fold
 
 # Marks around reasoning and solution in model outputs.
-_OPEN = re.compile(r"<think>|<\|begin_of_thought\|>", re.I)
-_CLOSE = re.compile(r"</think>|<\|end_of_thought\|>", re.I)
+_OPEN = re.compile(r"<(?:[tT][hH][iI][nN][kK]>|\|[bB][eE][gG][iI][nN]_[oO][fF]_[tT][hH][oO][uU][gG][hH][tT]\|>)")
+_CLOSE = re.compile(r"<(?:/[tT][hH][iI][nN][kK]>|\|[eE][nN][dD]_[oO][fF]_[tT][hH][oO][uU][gG][hH][tT]\|>)")
 _SOLUTION = re.compile(r"<\|(?:begin|end)_of_solution\|>", re.I)
 
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|�+|[\[(<]\|?\s*(?:…|\.{3}|truncated|cut off|cut|clipped|abgeschnitten|gekürzt|tronqué|coupé|truncado|cortado)[^\])>]*\|?[\])>]))+$", re.I)
 _SURE_MARK = re.compile(r"�|truncat|cut|clipped|abgeschn|gekürzt|tronqu|coupé|truncad|cortado", re.I)
 _TAG_PIECE = re.compile(r"<[/|]{0,2}[A-Za-z_][\w|]*$|<[/|]*$")
 _COMMAND_PIECE = re.compile(r"\\[A-Za-z]*$")
-_NUMBERING = re.compile(r"(?:^|\n)\s*\d{1,3}[.)]$")
+_NUMBERING = re.compile(r"\s*\d{1,3}[.)]$")
 _HANGING = re.compile(r"[,;:(\[{=+−×÷/&\-–—<~^_$]$")
 _CLOSED = re.compile(r"(?:[.!?。)\]}>]|[.!?。)\]}][»”’\"'|\s]+)$")
+_NUMBER = re.compile(r"\d+")
 _LABEL = re.compile(r"^([^:]{1,80}):\s*[-−]?\d[\d.,]*\s*([^\d.!?:;,]*)$")
 
 
 class Ending(NamedTuple):
-    """``state``: blank, cut, closed or open; ``tail``: what follows the number of an open ``label: number unit`` line, else null; ``length``: characters and bytes without a mark of the cut."""
+    """How a text ends.
+
+    ``state`` is blank, cut, closed (final punctuation, closed formula or tag)
+    or open.  ``tail`` is the last line with numbers masked; of an open line
+    ``label: number unit`` only the unit, after ``LABELLED``.  ``chars`` and
+    ``octets`` measure the text without a trailing mark of the cut.
+    """
 
     state: str
     tail: str | None
@@ -34,6 +41,9 @@ class Ending(NamedTuple):
     octets: int
 
 
+LABELLED = "\x01"
+
+
 class Parts(NamedTuple):
     reasoning: str | None
     answer: str | None
@@ -55,8 +65,12 @@ def parts(text: str) -> Parts:
 
 def ending(text: str) -> Ending:
     """How the text ends, judged from itself alone."""
-    body = fold(text).rstrip()
-    mark = _MARK.search(body)
+    # the last lines, at least 400 characters; marks, tags and formulas before them are not at the end
+    begin = text.rfind("\n", 0, max(0, len(text) - 400)) + 1
+    body = fold(text[begin:]).rstrip()
+    if not body and begin:
+        body = fold(text).rstrip()
+    mark = _MARK.search(body, max(0, len(body) - 60))
     core = body[: mark.start()].rstrip() if mark else body
     chars, octets = len(text), len(text.encode())
     if mark:
@@ -66,25 +80,25 @@ def ending(text: str) -> Ending:
     if not core:
         return Ending("blank", None, chars, octets)
     plain = core.rstrip("*_` ")
-    closed = _CLOSED.search(plain) is not None
+    last = plain[-8:]
+    closed = _CLOSED.search(last) is not None
     if mark and (_SURE_MARK.search(mark.group()) or not closed):
         return Ending("cut", None, chars, octets)
     line = core[core.rfind("\n") + 1 :]
     if (
-        _TAG_PIECE.search(core)
-        or _COMMAND_PIECE.search(core)
+        _TAG_PIECE.search(core, max(0, len(core) - 60))
+        or _COMMAND_PIECE.search(core, max(0, len(core) - 40))
         or line.count("{") > line.count("}")
         or core.rfind("\\[") > core.rfind("\\]")
-        or _NUMBERING.search(core)
+        or _NUMBERING.match(line)
+        or line.count("**") % 2
+        or _HANGING.search(last)
     ):
         return Ending("cut", None, chars, octets)
-    if line.count("**") % 2:
-        return Ending("cut", None, chars, octets)
-    if _HANGING.search(plain):
-        return Ending("cut", None, chars, octets)
+    masked = _NUMBER.sub("#", line.casefold())
     if closed:
-        return Ending("closed", None, chars, octets)
-    if parts(core).unfinished:
+        return Ending("closed", masked, chars, octets)
+    if parts(text).unfinished:
         return Ending("cut", None, chars, octets)
     label = _LABEL.match(line.replace("*", "").strip())
-    return Ending("open", label.group(2).strip().casefold() if label else None, chars, octets)
+    return Ending("open", LABELLED + label.group(2).strip().casefold() if label else masked, chars, octets)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import leak, lookalike, overlap
+from tracewright.llm import leak, lookalike, overlap, pairs, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -37,6 +37,30 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(rows, overlap.split_overlaps(rows))
 
 
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.cut_records(pairs.output_pairs(_t(spark, d, "model_outputs")), pairs.trace_results(_t(spark, d, "annotated_traces")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).where("truncated").select("table_name", "record_id")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(_cuts(spark, d))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.sample_pairs(_t(spark, d, "samples")).unionByName(pairs.output_pairs(_t(spark, d, "model_outputs")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(_pairs(spark, d)).where("defect is not null").select("table_name", "record_id", "defect")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(_pairs(spark, d)).groupBy("table_name", "source", "defect").agg(F.count("*").alias("records"))
+
+
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_passages(_t(spark, d, "documents"), _t(spark, d, "benchmark_items"))
 
@@ -64,6 +88,10 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p6_clean": p6_clean,
