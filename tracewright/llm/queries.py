@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import leak, lookalike, overlap, pairs, truncation
+from tracewright.llm import cube, leak, lookalike, mixing, overlap, pairs, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(_pairs(spark, d)).groupBy("table_name", "source", "defect").agg(F.count("*").alias("records"))
 
 
+def _sample(spark: SparkSession, d: str) -> cube.CubeSample:
+    return cube.cube_sample(_t(spark, d, "samples"), _t(spark, d, "function_targets"))
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).drawn
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report
+
+
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_passages(_t(spark, d, "documents"), _t(spark, d, "benchmark_items"))
 
@@ -77,6 +89,18 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return leak.without_leaks(_t(spark, d, "documents"), _passages(spark, d))
 
 
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.mix_sources(_t(spark, d, "documents"), _t(spark, d, "source_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).drawn
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_t(spark, d, "documents"))
 
@@ -92,9 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p5_sample": p5_sample,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p6_clean": p6_clean,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
 }

@@ -38,6 +38,9 @@ NEAR = 40
 #: Open sentences are cuts where at most this share of a group's texts end so.
 MAX_OPEN_SHARE = 0.2
 
+#: Prefixes that may wait at the ends of sorted partitions.
+MAX_WAITING = 1_000_000
+
 FEATURES = "table_name string, record_id long, source string, groups array<string>, state string, tail string, chars int, octets int, defect string"
 
 
@@ -83,18 +86,30 @@ def shortened(texts: DataFrame) -> DataFrame:
     ``texts``: ``text, support``, distinct.  They are sorted across the
     cluster and each is compared with the neighbours that follow it for as
     long as those begin with it.  What still waits at the end of a partition
-    (a chain of prefixes of its last text) is finished against the partitions
-    after it.
+    (a chain of prefixes of its last text) is looked up in a second pass.
     """
     ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
     runs = ordered.mapInPandas(_sorted_runs, "text string, support long, longer long, pending boolean")
-    waiting = runs.where("pending").select("text", "support", "longer")
-    after = (
-        waiting.join(texts.select(F.col("text").alias("t"), F.col("support").alias("n")), F.col("t").startswith(F.col("text")) & (F.col("t") != F.col("text")), "left")
-        .groupBy("text", "support")
-        .agg(F.greatest(F.max("longer"), F.coalesce(F.max("n"), F.lit(0))).alias("longer"))
-    )
-    return runs.where("not pending").select("text", "support", "longer").unionByName(after).where("longer > 0")
+    # a few rows for each partition: the prefixes of its last text
+    waiting = runs.where("pending").select("text").limit(MAX_WAITING + 1).collect()
+    if len(waiting) > MAX_WAITING:
+        raise ValueError(f"more than {MAX_WAITING} prefixes at partition ends")
+    prefixes = frozenset(r.text for r in waiting)
+    lengths = sorted({len(t) for t in prefixes})
+
+    def continued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, int] = {}
+        for b in batches:
+            for text, n in zip(b["text"], b["support"], strict=True):
+                for k in lengths:
+                    if k >= len(text):
+                        break
+                    if (head := text[:k]) in prefixes and n > best.get(head, 0):
+                        best[head] = n
+        yield pd.DataFrame({"text": list(best), "longer": list(best.values())})
+
+    after = texts.mapInPandas(continued, "text string, longer long").groupBy("text").agg(F.max("longer").alias("longer"))
+    return runs.where("not pending").select("text", "support", "longer").unionByName(texts.join(after, "text").select("text", "support", "longer")).where("longer > 0")
 
 
 def resolved(features: DataFrame) -> DataFrame:
