@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import cube, leak, lookalike, mixing, overlap, pairs, truncation
+from tracewright.llm import cube, leak, lookalike, mixing, overlap, packing, pairs, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -61,6 +61,21 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(_pairs(spark, d)).groupBy("table_name", "source", "defect").agg(F.count("*").alias("records"))
 
 
+def _packing(spark: SparkSession, d: str) -> packing.Packing:
+    samples = _t(spark, d, "samples")
+    length = F.aggregate(F.coalesce("messages", F.array()), F.lit(0).cast("long"), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0)))
+    packs = _t(spark, d, "pack_limits").where("unit = 'chars'")
+    return packing.pack_items(samples.select(F.col("sample_id").alias("id"), length.alias("length")), packs)
+
+
+def p4_packs(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).placed
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).report
+
+
 def _sample(spark: SparkSession, d: str) -> cube.CubeSample:
     return cube.cube_sample(_t(spark, d, "samples"), _t(spark, d, "function_targets"))
 
@@ -116,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_packs": p4_packs,
+    "p4_report": p4_report,
     "p5_sample": p5_sample,
     "p5_report": p5_report,
     "p6_found": p6_found,
