@@ -195,7 +195,7 @@ def pack_items(
         .applyInPandas(_pack_shard(groups, eps), _PLACED)
     )
     per = placed.groupBy("pack_name", "capacity", "shard", "container").agg(
-        F.sum("length").alias("used"), F.count_if("start = 0").alias("items"), F.count_if("piece = 1").alias("divided")
+        F.sum("length").alias("used"), F.count_if(F.col("start") == 0).alias("items"), F.count_if(F.col("piece") == 1).alias("divided")
     )
     report = per.groupBy("pack_name", "capacity").agg(
         F.sum("items").alias("items"), F.sum("divided").alias("divided_items"), F.count("*").alias("containers"),

@@ -151,5 +151,5 @@ def truncation_report(records: DataFrame) -> DataFrame:
     """Per table and source: records, truncated ones and their share; ``records``: ``table_name, record_id, source, truncated``."""
     one = records.groupBy("table_name", "record_id").agg(F.max("source").alias("source"), F.max("truncated").alias("truncated"))
     return one.groupBy("table_name", "source").agg(
-        F.count("*").alias("records"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share")
+        F.count("*").alias("records"), F.count_if(F.col("truncated")).alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share")
     )
