@@ -1,0 +1 @@
+"""Rule-based text operators and training-data pipelines on Spark."""
