@@ -40,7 +40,7 @@ _PAIRS.update({chr(c): " " for c in range(0x80, 0x10000) if unicodedata.category
 
 #: Characters that show nothing: format characters, variation selectors,
 #: fillers and controls other than tab and line ends.
-INVISIBLE = "͏ᅟᅠ឴឵᠋-᠏ㅤﾠ︀-️\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u0084\u0086-\u009f"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\uffa0\ufe00-\ufe0f\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u0084\u0086-\u009f"
 _CF = "".join(
     f"\\U{c:08x}" if c > 0xFFFF else f"\\u{c:04x}"
     for c in range(sys.maxunicode + 1)
