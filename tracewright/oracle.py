@@ -196,7 +196,6 @@ EVALUATORS: dict[str, str] = {
     "avoid_the_forward": f"NOT list_contains(list_transform({tokens('t')}, lambda x: lower(x)), 'the')",
     "replace_and_ampersand_forward": f"NOT list_contains(list_transform({tokens('t')}, lambda x: lower(x)), 'and')",
     "one_word_per_line_forward": f"{strip('t')} = array_to_string({words('t')}, chr(10))",
-    "use_multiple_spaces_forward": f"(SELECT count(*) = 0 OR (min(length(r)) = max(length(r)) AND min(length(r)) BETWEEN 2 AND 4) FROM (SELECT unnest(regexp_extract_all(regexp_replace({{inner}}, '^ +| +$', '', 'g'), ' +')) AS r))",
     "upper_case_forward": f"t = {upper('t')}",
     "lower_case_forward": "t = lower(t)",
     "title_case_forward": f"t = {title('t')}",
@@ -215,8 +214,284 @@ EVALUATORS: dict[str, str] = {
     "replace_words_with_emojis": f"len(list_filter({tokens('t')}, lambda x: lower(x) IN ({quoted(list(tr.EMOJIS))}) AND NOT list_contains({tokens('g')}, x))) = 0",
     "highlight_logical_words_forward": f"NOT regexp_matches(t, '(^|[^*{_W}])({'|'.join(tr.CONNECTORS)})([^*{_W}]|$)', 'i')",
 }
-EVALUATORS["use_multiple_spaces_forward"] = (
-    # spaces with something other than white space on both sides
-    "(WITH r AS (SELECT unnest(list_filter(regexp_extract_all(regexp_replace(regexp_replace(t, '[" + _B.replace("\\x1c-\\x20", "\\x1c-\\x1f") + "]', chr(10), 'g'), ' *\\n *', chr(10), 'g'), ' +|[^ ]+'), lambda x: x[1] = ' ')) AS s) "
-    "SELECT count(*) = 0 OR (min(length(s)) = max(length(s)) AND min(length(s)) BETWEEN 2 AND 4) FROM r)"
+
+# Runs of spaces with something else than white space on both sides.
+_OTHER = _B.replace(r"\x1c-\x20", r"\x1c-\x1f")
+_RUNS = f"regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(t, '[{_OTHER}]', chr(10), 'g'), ' *\\n *', chr(10), 'g'), '^ +| +$', '', 'g'), ' +')"
+EVALUATORS["use_multiple_spaces_forward"] = f"(len({_RUNS}) = 0 OR (len(list_distinct(list_transform({_RUNS}, lambda r: length(r)))) = 1 AND length(({_RUNS})[1]) BETWEEN 2 AND 4))"
+
+
+def upper_words(t: str) -> str:
+    return f"list_filter(list_transform({words(t)}, lambda w: {bare('w')}), lambda w: {is_upper('w')})"
+
+
+def title_words(t: str) -> str:
+    return f"list_filter(list_transform({words(t)}, lambda w: {bare('w')}), lambda w: w = {title('w')} AND regexp_matches(w, '\\p{{Lu}}|\\p{{Lt}}'))"
+
+
+EVALUATORS["upper_case_backward"] = f"len(list_filter(({upper_words('t')})[:3], lambda w: NOT list_contains(({upper_words('g')})[:3], w) OR contains(t, lower(w)))) = 0"
+EVALUATORS["title_case_backward"] = f"len(list_filter({title_words('t')}, lambda w: NOT list_contains({title_words('g')}, w))) = 0"
+EVALUATORS["json_of_paragraphs_forward"] = (
+    "coalesce(TRY(json_type(t) = 'OBJECT' AND coalesce(json_type(t, '$.paragraphs') = 'ARRAY', false) "
+    "AND len(list_filter(coalesce(json_extract(t, '$.paragraphs[*]'), []), lambda x: json_type(x) <> 'VARCHAR')) = 0), false)"
+)
+
+_TG = "SELECT DISTINCT output_id, model_response AS t, gt_response AS g FROM model_outputs"
+ORACLE |= {f"ev_{n}": f"SELECT output_id, CASE WHEN t IS NULL THEN NULL ELSE ({e})::BIGINT END AS score FROM ({_TG})" for n, e in EVALUATORS.items()}
+
+
+def _top(t: str) -> str:
+    return f"""(SELECT output_id, word, freq FROM (SELECT output_id, word, count(*) AS freq, min(pos) AS p FROM
+      (SELECT output_id, unnest({tokens(f'lower({t})')}) AS word, generate_subscripts({tokens(f'lower({t})')}, 1) AS pos FROM o) GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY output_id ORDER BY freq DESC, p) = 1)"""
+
+
+ORACLE["ev_include_word_forward"] = f"""
+WITH o AS ({_TG}) SELECT o.output_id, (a.word = b.word AND a.freq = b.freq)::BIGINT AS score
+FROM o LEFT JOIN {_top('t')} a USING (output_id) LEFT JOIN {_top('g')} b USING (output_id)"""
+
+# The name of each forward transform with its expression over the column text.
+_BY_FUNCTION = {
+    n: FORWARD[n.removesuffix("_forward")]
+    for n in tr.FORWARD
+    if n.removesuffix("_forward") in FORWARD and n in EVALUATORS
+}
+_BY_FUNCTION["json_of_paragraphs_forward"] = f"to_json({{'paragraphs': {paras('text')}}})::VARCHAR"
+ORACLE["eval_forward_matrix"] = (
+    "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), m AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS function_name, ({EVALUATORS[n]})::BIGINT AS score FROM (SELECT {x} AS t, text AS g FROM d)" for n, x in _BY_FUNCTION.items())
+    + ") SELECT function_name, round(avg(score), 9) AS accuracy, count(*) AS examples FROM m GROUP BY function_name"
+)
+
+
+def reasoning(t: str) -> str:
+    head = f"string_split({t}, '</think>')[1]"
+    recalls = " OR ".join(f"contains(lower({head})[:220], '{p}')" for p in ("let me recall", "adhere to these instructions"))
+    return f"CASE WHEN ({recalls}) AND len({paras(head)}) > 1 THEN array_to_string(({paras(head)})[2:], chr(10) || chr(10)) ELSE {head} END"
+
+
+def last_box(t: str) -> str:
+    return f"string_split(string_split({t}, 'boxed{{')[-1], '}}')[1]"
+
+
+_CASES = " ".join(f"WHEN '{n}' THEN ({EVALUATORS[n]})::BIGINT" for n in EVALUATORS)
+ORACLE["eval_rollup"] = f"""
+WITH o AS (SELECT DISTINCT output_id, function_name, score, model_response, gt_response FROM model_outputs),
+r AS (SELECT output_id, function_name, score, {reasoning('model_response')} AS t, {reasoning('gt_response')} AS g FROM o),
+s AS (SELECT *, CASE WHEN trim(coalesce(t, '')) = '' THEN 0 ELSE CASE function_name {_CASES} END END AS if_score FROM r WHERE trim(g) <> '' AND function_name IS NOT NULL)
+SELECT function_name, round(avg(if_score), 9) AS if_accuracy, round(avg(score), 9) AS accuracy, count(*) AS examples
+FROM s WHERE if_score IS NOT NULL GROUP BY ROLLUP (function_name)"""
+
+_ANSWERS = "(SELECT DISTINCT sample_id, messages[2].content AS text FROM samples WHERE messages[2].content IS NOT NULL)"
+
+
+def normalized(t: str) -> str:
+    for a, b in (("<|begin_of_thought|>", "<think>"), ("<|end_of_thought|>", "</think>"), ("<|begin_of_solution|>", ""), ("<|end_of_solution|>", "")):
+        t = f"replace({t}, '{a}', '{b}')"
+    return (
+        f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '<think>\\n+', '<think>' || chr(10), 'g'), "
+        "'\\n+</think>', chr(10) || '</think>', 'g'), '</think>\\n+', '</think>' || chr(10) || chr(10), 'g'), '\\n+$', '')"
+    )
+
+
+ORACLE["trace_tag_normalize"] = f"SELECT sample_id, {normalized('text')} AS text FROM {_ANSWERS}"
+ORACLE["trace_split"] = f"""
+WITH n AS (SELECT sample_id, string_split(string_split({normalized('text')}, '<think>')[2], '</think>') AS p FROM {_ANSWERS})
+SELECT sample_id, {strip('p[1]')} AS cot, {strip('p[2]')} AS response FROM n WHERE len(p) = 2"""
+ORACLE["trace_split_strict"] = f"""
+WITH n AS (SELECT sample_id, string_split({normalized('text')}, '<think>' || chr(10)) AS a FROM {_ANSWERS}),
+m AS (SELECT sample_id, a, string_split(a[2], '</think>' || chr(10) || chr(10)) AS p FROM n),
+k AS (SELECT *, coalesce(len(a) = 2 AND len(p) = 2, false) AS ok FROM m)
+SELECT sample_id, CASE WHEN ok THEN p[1] END AS cot, CASE WHEN ok THEN p[2] END AS response, CASE WHEN NOT ok THEN 'layout' END AS error FROM k"""
+ORACLE["trace_thought"] = f"""
+WITH r AS (SELECT sample_id, array_to_string(CASE WHEN contains(text, '<think>') THEN string_split(text, '<think>')[2:] ELSE [text] END, '<think>') AS x FROM {_ANSWERS})
+SELECT sample_id, CASE WHEN contains(x, '</think>') THEN array_to_string(string_split(x, '</think>')[:-2], '</think>') ELSE x END AS thought FROM r"""
+ORACLE["trace_reasoning"] = f"SELECT DISTINCT trace_id, {reasoning('raw_answer')} AS reasoning FROM annotated_traces"
+ORACLE["trace_boxed"] = f"""
+SELECT DISTINCT trace_id, regexp_extract(raw_answer, '(?s)</think>.*?\\\\boxed\\{{((?:[^{{}}]|\\{{(?:[^{{}}]|\\{{[^{{}}]*\\}})*\\}})*)\\}}', 1) AS boxed,
+  regexp_extract(raw_answer, '(?s)</think>.*?\\\\boxed\\{{(.*\\}})', 1) AS compat, {last_box('raw_answer')} AS last FROM annotated_traces"""
+
+_KEYWORDS = ["wait", "double-check", "alternatively", "make sure", "another way", "verify", "to confirm"]
+_HAS_KEYWORD = " OR ".join(f"contains(lower(p), '{k}')" for k in _KEYWORDS)
+ORACLE["trace_chunks"] = f"""
+WITH d AS (SELECT DISTINCT trace_id, trace FROM annotated_traces),
+p AS (SELECT trace_id, unnest(l) AS p, generate_subscripts(l, 1) AS rn FROM (SELECT trace_id, list_filter(list_transform({paras('trace')}, lambda x: {strip('x')}), lambda x: x <> '') AS l FROM d)),
+c AS (SELECT trace_id, rn, p, sum(CASE WHEN rn > 1 AND ({_HAS_KEYWORD}) THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY rn) AS ix FROM p)
+SELECT trace_id, ix::BIGINT AS ix, string_agg(p, chr(10) || chr(10) ORDER BY rn) AS chunk FROM c GROUP BY trace_id, ix"""
+
+_CHUNK_ROWS = """(SELECT trace_id, i - 1 AS ix, c[i] AS chunk, a[i].result AS answer FROM
+  (SELECT trace_id, a, c, unnest(range(1, least(len(a), len(c)) + 1)) AS i FROM
+    (SELECT DISTINCT trace_id, "partial_solutions-annotation" AS a, "partial_solutions-chunks" AS c FROM annotated_traces
+     WHERE "partial_solutions-annotation" IS NOT NULL AND "partial_solutions-chunks" IS NOT NULL)))"""
+ORACLE["trace_nearest_merge"] = f"""
+WITH c AS (SELECT *, max(CASE WHEN answer IS NOT NULL THEN ix END) OVER (PARTITION BY trace_id ORDER BY ix) AS b,
+  min(CASE WHEN answer IS NOT NULL THEN ix END) OVER (PARTITION BY trace_id ORDER BY ix DESC) AS a FROM {_CHUNK_ROWS}),
+t AS (SELECT *, CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN ix - b <= a - ix THEN b ELSE a END AS target FROM c)
+SELECT trace_id, target AS ix, string_agg(chunk, chr(10) || chr(10) ORDER BY ix) AS text FROM t WHERE target IS NOT NULL GROUP BY trace_id, target"""
+
+
+def spliced(chunk: str, result: str) -> str:
+    at = f"instr({chunk}, {result})"
+    return (
+        f"CASE WHEN coalesce({at} > 0 AND length({result}) > 0, false) THEN {chunk}[:{at} - 1] || '<partial_solution>' || {result} || '</partial_solution>' "
+        f"|| {chunk}[{at} + length({result}):] ELSE {chunk} END"
+    )
+
+
+ORACLE["trace_splice"] = f"SELECT trace_id, ix, {spliced('chunk', 'answer')} AS chunk FROM {_CHUNK_ROWS}"
+ORACLE["trace_annotated"] = f"""
+WITH s AS (SELECT trace_id, string_agg({spliced('chunk', 'answer')}, chr(10) || chr(10) ORDER BY ix) AS x FROM {_CHUNK_ROWS} GROUP BY trace_id),
+r AS (SELECT DISTINCT trace_id, raw_answer FROM annotated_traces WHERE len("partial_solutions-annotation") > 1)
+SELECT trace_id, x || '</think>' || string_split(raw_answer, '</think>')[-1] AS text FROM s JOIN r USING (trace_id)
+WHERE contains(x || string_split(raw_answer, '</think>')[-1], '<partial_solution>')"""
+
+_NO = "row_number() OVER (ORDER BY doc_id)"
+ORACLE["ds_shards"] = "SELECT doc_id, (ntile(7) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents"
+ORACLE["ds_split_90_10"] = f"SELECT doc_id, CASE WHEN {_NO} <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM documents"
+ORACLE["ds_sample_n"] = "SELECT doc_id, source FROM documents ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id LIMIT 50"
+ORACLE["ds_row_range"] = "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 60 OFFSET 100"
+ORACLE["ds_batches"] = f"SELECT batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, (({_NO} - 1) // 64)::BIGINT AS batch FROM documents) GROUP BY batch"
+
+_TRAIN = """upper_case_forward title_case_forward replace_and_ampersand_forward avoid_the_forward one_word_per_line_forward
+use_multiple_spaces_forward sentences_per_line_forward commas_to_semicolons_forward add_line_numbers_forward json_of_paragraphs_forward
+indent_paragraphs_forward insert_sentence_divider_forward render_as_html_forward upper_case_backward title_case_backward palindromes_backward
+hypernyms_backward""".split()
+_HELD_OUT = "bracket_sentences_forward highlight_logical_words_forward lower_case_forward full_stops_to_exclamation_marks_forward paragraph_count_backward".split()
+ORACLE["ds_ood_split"] = f"""
+SELECT doc_id, f AS function_name, CASE WHEN f IN ({quoted(_HELD_OUT)}) THEN 'ood_test' ELSE 'train' END AS part
+FROM (SELECT doc_id, ([{quoted(_TRAIN + _HELD_OUT)}])[doc_id % {len(_TRAIN + _HELD_OUT)} + 1] AS f FROM documents)"""
+ORACLE["ds_dedup_first"] = "SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"
+ORACLE["ds_dedup_delivered"] = "SELECT sample_id, source, epoch_us(ingested_at) AS ingested_us FROM samples QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at) = 1"
+ORACLE["ds_new_seeds"] = f"""
+WITH l AS (SELECT {strip('x')} AS x FROM (SELECT unnest({lines('text')}) AS x FROM documents WHERE doc_kind = 'instruction')),
+c AS (SELECT DISTINCT {strip("regexp_replace(x, '^- ', '')")} AS instruction FROM l WHERE starts_with(x, '- '))
+SELECT instruction FROM c WHERE instruction <> '' AND instruction NOT IN (SELECT {strip('instruction')} FROM seed_instructions WHERE instruction IS NOT NULL)"""
+_PAIR = "messages[1].role = 'user' AND messages[2].role = 'assistant' AND messages[1].content <> '' AND messages[2].content <> ''"
+ORACLE["ds_first_pair"] = f"SELECT DISTINCT sample_id, len(messages) AS turns, length(messages[1].content) AS asked, length(messages[2].content) AS said FROM samples WHERE {_PAIR}"
+ORACLE["ds_assistant_turns"] = """
+SELECT sample_id, i - 1 AS turn, messages[i].content AS content FROM (SELECT sample_id, messages, unnest(range(1, len(messages) + 1)) AS i
+FROM (SELECT DISTINCT sample_id, messages FROM samples)) WHERE messages[i].role = 'assistant'"""
+ORACLE["ds_two_turns"] = "SELECT split, count(DISTINCT sample_id) AS samples FROM samples WHERE len(messages) = 2 GROUP BY split"
+ORACLE["ds_length_histogram"] = f"SELECT least(floor(w / 20.0), 29)::BIGINT AS bin, count(*) AS n FROM (SELECT len({words('text')}) AS w FROM documents WHERE text IS NOT NULL) WHERE w <= 600 GROUP BY ALL"
+ORACLE["ds_union_common"] = "SELECT split, source, count(*) AS n FROM (SELECT split, source FROM samples UNION ALL SELECT split, source FROM annotated_traces) GROUP BY ALL"
+ORACLE["ds_length_buckets"] = f"""
+SELECT bucket, greatest(1, 16 // (1 + bucket))::INTEGER AS batch_size, count(*) AS n FROM (SELECT (length(text) // 1000)::INTEGER AS bucket FROM {_ANSWERS}) GROUP BY ALL"""
+ORACLE["ds_hyper_grid"] = """
+SELECT lr, hidden, alpha, decay, row_number() OVER (ORDER BY a, b, c, d) - 1 AS ordinal FROM
+(SELECT unnest([0.1::DOUBLE, 0.01]) AS lr, unnest([1, 2]) AS a), (SELECT unnest([0, 64, 128])::BIGINT AS hidden, unnest([1, 2, 3]) AS b),
+(SELECT unnest([0.5::DOUBLE, 1.0]) AS alpha, unnest([1, 2]) AS c), (SELECT unnest([0.0::DOUBLE, 0.01]) AS decay, unnest([1, 2]) AS d)"""
+
+_ALL_FORWARD = dict(_BY_FUNCTION)
+_ALL_FORWARD["identity"] = "text"
+_ALL_FORWARD["json_of_paragraphs_forward"] = _BY_FUNCTION["json_of_paragraphs_forward"]
+_ALL_FORWARD["render_as_html_forward"] = "'" + tr.PAGE_HEAD.replace("'", "''") + "' || " + html_paragraphs("text") + " || '" + tr.PAGE_FOOT + "'"
+_FAN = (
+    "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), f AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS function_name, text, {x} AS new_text FROM d" for n, x in _ALL_FORWARD.items())
+    + """), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY function_name <> 'identity', md5(function_name || '|' || doc_id::VARCHAR || '|0')) AS r
+      FROM f WHERE new_text <> text OR function_name = 'identity'),
+    e AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM k WHERE r <= 8) """
+)
+ORACLE["instr_fan_out_ranks"] = _FAN + "SELECT doc_id, r - 1 AS rank, function_name FROM e WHERE n = 8"
+_NOTES = "chr(10) || chr(10) || '## NOTES' || chr(10) || chr(10) || 'Instructions that you must follow in your reasoning chain (the part of your response before your final answer):' || chr(10) || '- '"
+_PREFIX = (
+    "'<think>' || chr(10) || 'Okay, so before I start reasoning, let me recall the user''s instructions for my reasoning chain: I must use capital letters only.' "
+    "|| chr(10) || 'It''s really important that I adhere to these instructions.' || chr(10) || chr(10)"
 )
+ORACLE["instr_wrapped"] = f"""
+WITH s AS (SELECT DISTINCT sample_id, messages[1].content AS u, messages[2].content AS text FROM samples WHERE {_PAIR}),
+n AS (SELECT sample_id, u, string_split(string_split({normalized('text')}, '<think>')[2], '</think>') AS p FROM s),
+w AS (SELECT sample_id, u || {_NOTES} || 'use capital letters only' AS asked, {_PREFIX} || {upper(strip('p[1]'))} || chr(10) || '</think>' || chr(10) || chr(10) || {strip('p[2]')} AS said FROM n WHERE len(p) = 2)
+SELECT sample_id, asked, said, length(asked) + length(said) + 13 AS num_chars FROM w"""
+ORACLE["instr_reinstructed"] = f"SELECT DISTINCT sample_id, string_split(messages[1].content, chr(10) || chr(10) || '## NOTES')[1] || {_NOTES} || 'be brief' AS asked FROM samples"
+
+
+def _rendered() -> str:
+    from tracewright.operators.instruct import TEMPLATES
+
+    names = ["paragraph_count", "sentence_count", "unique_word_count", "uppercase_word_count", "word_count"]
+    lines_ = ", ".join(f"replace(([{quoted(TEMPLATES[n])}])[doc_id % {len(TEMPLATES[n])} + 1], '{{value}}', {n}::VARCHAR)" for n in names)
+    return f"SELECT doc_id, array_to_string([{lines_}], chr(10)) AS instructions FROM ({ORACLE['feat_counts']}) WHERE word_count IS NOT NULL"
+
+
+ORACLE["instr_rendered"] = _rendered()
+
+_UP = upper("text")
+ORACLE["gen_tested_functions"] = f"""
+WITH c AS (SELECT seed_id AS instruction_id, doc_id, text, text = {_UP} AS expected FROM documents WHERE seed_id IS NOT NULL AND text IS NOT NULL),
+f AS (SELECT seed_id AS instruction_id, unnest(['upper_case_forward', 'lower_case_forward', 'commas_to_semicolons_forward', 'full_stops_to_exclamation_marks_forward']) AS function_name FROM seed_instructions),
+r AS (SELECT instruction_id, function_name, doc_id, (CASE function_name WHEN 'upper_case_forward' THEN text = {_UP} WHEN 'lower_case_forward' THEN text = lower(text)
+  WHEN 'commas_to_semicolons_forward' THEN NOT contains(text, ', ') ELSE NOT contains(text, '.') END) = expected AS ok FROM f JOIN c USING (instruction_id)),
+g AS (SELECT *, max(ok) OVER (PARTITION BY instruction_id, doc_id) AS good FROM r),
+a AS (SELECT instruction_id, function_name, avg(ok::INT) AS accuracy FROM g WHERE good GROUP BY ALL)
+SELECT instruction_id, function_name, round(coalesce(accuracy, 0), 9) AS accuracy FROM f LEFT JOIN a USING (instruction_id, function_name) WHERE coalesce(accuracy, 0) >= 0.5"""
+ORACLE["gen_judge_scores"] = """
+WITH j AS (SELECT seed_id, nullif(regexp_extract(text, 'Score:\\s*(\\d+)', 1), '')::INT AS s FROM documents WHERE doc_kind = 'judge' AND seed_id IS NOT NULL)
+SELECT seed_id, round(coalesce(avg(s), 0), 9) AS mean_score, coalesce(avg(s), 0) > 5 AS kept FROM j GROUP BY seed_id"""
+ORACLE["gen_preferences"] = """
+SELECT (coalesce(if_score, 0) > 0)::INTEGER AS is_positive, count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (ingested_at, finished_at) FROM model_outputs)
+WHERE model_response IS NOT NULL AND instruction IS NOT NULL GROUP BY ALL"""
+ORACLE["gen_translated"] = "SELECT doc_id, '[fr] ' || coalesce(text, '') AS new_text FROM documents"
+
+
+def _short_form() -> str:
+    x = "y"
+    lit = lambda c, a, b: f"replace({c}, '{a}', '{b}')"
+    sub = lambda c, a, b: f"regexp_replace({c}, '{a}', '{b}', 'g')"
+    x = f"replace({x}, chr(10), '')"
+    for a, b in (("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")):
+        x = lit(x, a, b)
+    x = lit(lit(lit(x, "\\%", ""), " .", " 0."), "{.", "{0.")
+    x = sub(x, "^\\.", "0.")
+    one = f"(SELECT y, {x} AS z FROM r)"
+    side = "CASE WHEN len(string_split(z, '=')) = 2 AND length(string_split(z, '=')[1]) <= 2 THEN string_split(z, '=')[2] ELSE z END"
+    z = sub(side, "\\\\sqrt([^{])", "\\\\sqrt{\\1}")
+    z = lit(z, " ", "")
+    z = sub(z, "\\\\frac([^{])([^{])", "\\\\frac{\\1}{\\2}")
+    z = sub(z, "\\\\frac([^{])\\{", "\\\\frac{\\1}{")
+    z = sub(z, "^0\\.5$", "\\\\frac{1}{2}")
+    z = sub(z, "^(0|-?[1-9]\\d*)/(0|-?[1-9]\\d*)$", "\\\\frac{\\1}{\\2}")
+    return f"""
+WITH d AS (SELECT DISTINCT trace_id, "partial_solutions-annotation" AS a FROM annotated_traces),
+e AS (SELECT trace_id, i - 1 AS ix, a[i].result AS result FROM (SELECT trace_id, a, unnest(range(1, len(a) + 1)) AS i FROM d)),
+r AS (SELECT DISTINCT {strip('result')} AS y FROM e WHERE result IS NOT NULL),
+f AS (SELECT y, {z} AS form FROM {one})
+SELECT DISTINCT trace_id, ix, form FROM e JOIN f ON f.y = {strip('result')}"""
+
+
+ORACLE["math_short_form"] = _short_form()
+_BOX = "regexp_extract(raw_answer, '(?s)</think>.*?\\\\boxed\\{((?:[^{}]|\\{(?:[^{}]|\\{[^{}]*\\})*\\})*)\\}', 1)"
+ORACLE["math_accuracy"] = f"""
+WITH d AS (SELECT DISTINCT trace_id, {_BOX} AS given, final_answer FROM annotated_traces),
+o AS (SELECT CASE WHEN given <> '' THEN lower(given) = lower(final_answer) END AS ok FROM d)
+SELECT count(*) AS samples, count(ok) AS graded, round(avg(ok::INT), 9) AS accuracy_of_graded, round(sum(coalesce(ok, false)::INT) / count(*), 9) AS accuracy FROM o"""
+
+_PROB = "(SELECT DISTINCT output_id, score AS y, (output_id * 7919 % 997 + 0.5::DOUBLE) / 997.0::DOUBLE AS p FROM model_outputs WHERE score IS NOT NULL)"
+ORACLE["calibration_ece"] = f"""
+WITH b AS (SELECT ceil(p * 15)::INT AS bin, count(*) AS n, avg(p) AS conf, avg(y) AS acc FROM {_PROB} GROUP BY 1)
+SELECT round(sum(CASE WHEN bin > 0 THEN n * abs(conf - acc) ELSE 0 END) / sum(n), 9) AS ece FROM b"""
+ORACLE["calibration_losses"] = f"""
+WITH d AS (SELECT * FROM {_PROB}), r AS (SELECT count(*) FILTER (y = 0) / greatest(count(*) FILTER (y = 1), 1) AS ratio FROM d)
+SELECT round(avg((p - y) * (p - y)), 9) AS brier, round(avg(CASE WHEN y = 1 THEN -ratio * ln(p) ELSE -ln(1 - p) END), 8) AS bce,
+  round(avg((round_even(p, 0) = y)::INT), 9) AS accuracy, round(max(ratio), 9) AS ratio FROM d, r"""
+ORACLE["latency_p90"] = "SELECT event_type, count(*) AS n, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.9), 9) AS p90 FROM events GROUP BY event_type"
+ORACLE["bench_best"] = """
+SELECT run_id, avg_tokens_per_second AS rate, round(75000000 / (avg_tokens_per_second * 3600), 6) AS hours, round(avg_tokens_per_second / 60, 6) AS speedup
+FROM serving_runs WHERE avg_tokens_per_second IS NOT NULL ORDER BY avg_tokens_per_second DESC, run_id LIMIT 1"""
+ORACLE["bench_summary"] = """
+SELECT config.tensor_parallel_size::BIGINT AS parallel, count(*) AS runs, round(max(avg_tokens_per_second), 6) AS best, round(quantile_cont(p90_latency_seconds, 0.9), 6) AS p90
+FROM serving_runs WHERE success GROUP BY 1"""
+ORACLE["bench_grid"] = """
+WITH g AS (SELECT p, block, u, b, row_number() OVER (ORDER BY p, block, u, b) AS o FROM (SELECT unnest([1, 2, 4])::BIGINT AS p), (SELECT unnest([8, 16, 32])::BIGINT AS block),
+  (SELECT unnest([0.8::DOUBLE, 0.9, 0.95]) AS u), (SELECT unnest([1, 4, 8, 16, 32, 48, 64])::BIGINT AS b)
+  WHERE (p = 4 OR (block = 16 AND u = 0.95)) AND ((p >= 4 AND b >= 8) OR (p = 1 AND b <= 16) OR (p = 2 AND b <= 32)))
+SELECT row_number() OVER (ORDER BY -p, abs(block - 16), o) - 1 AS ordinal, p AS parallel, block, u AS utilization, b AS batch FROM g QUALIFY ordinal < 20"""
+_LIST = """(SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS index,
+  coalesce(nullif(array_to_string(list_filter(applied_functions, lambda x: x IS NOT NULL), ', '), ''), 'No function') AS preview, coalesce(source, 'unknown') AS type
+  FROM (SELECT DISTINCT sample_id, applied_functions, source FROM samples))"""
+ORACLE["viewer_list"] = f"SELECT * FROM {_LIST}"
+ORACLE["viewer_item"] = f"SELECT * FROM {_LIST} WHERE index = 17"
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+ORACLE["viewer_highlight"] = f"""
+SELECT doc_id, regexp_replace(regexp_replace({_ESCAPED}, '(?s)&lt;think&gt;(.*?)&lt;/think&gt;', '<span class="think">\\1</span>', 'g'),
+  '(?s)&lt;partial_solution&gt;(.*?)&lt;/partial_solution&gt;', '<span class="partial-solution">\\1</span>', 'g') AS page FROM documents"""

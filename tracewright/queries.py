@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions import external
 from tracewright.functions import text as t
-from tracewright.operators import evaluators, features
+from tracewright.operators import dataset, evaluators, features, grading, instruct, metrics, pipeline, probe, trace, viewer
 from tracewright.operators import transforms as tr
+from tracewright.plans import mix as plans_mix
+from tracewright.plans.mix import HELD_OUT_FUNCTIONS, TRAIN_FUNCTIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +98,422 @@ def feat_enumeration(spark: SparkSession, d: str) -> DataFrame:
 def feat_alliteration_haiku(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     return _docs(spark, d).select("doc_id", features.is_alliterative(text).alias("alliterative"), features.is_haiku(text).alias("haiku"))
+
+
+# Evaluators over model outputs against the reference response.
+
+
+def _evaluator(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = _t(spark, d, "model_outputs").select("output_id", "model_response", "gt_response").distinct()
+        return rows.select("output_id", evaluators.EVALUATORS[name](F.col("model_response"), F.col("gt_response")).alias("score"))
+
+    return run
+
+
+QUERIES |= {f"ev_{n}": _evaluator(n) for n in evaluators.EVALUATORS}
+
+
+@query
+def eval_forward_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return evaluators.forward_matrix(_docs(spark, d))
+
+
+def _outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Model outputs, an id once."""
+    return _t(spark, d, "model_outputs").drop("ingested_at", "finished_at").distinct()
+
+
+@query
+def eval_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.rollup_by_function(metrics.scored(_outputs(spark, d)))
+
+
+# Traces.
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns of samples."""
+    rows = _t(spark, d, "samples").select("sample_id", F.get("messages", F.lit(1))["content"].alias("text"))
+    return rows.where("text is not null").distinct()
+
+
+@query
+def trace_tag_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("sample_id", trace.normalize_tags(F.col("text")).alias("text"))
+
+
+@query
+def trace_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = _answers(spark, d).select("sample_id", trace.split_thought(trace.normalize_tags(F.col("text"))).alias("s")).where("s is not null")
+    return rows.select("sample_id", "s.cot", "s.response")
+
+
+@query
+def trace_split_strict(spark: SparkSession, d: str) -> DataFrame:
+    rows = _answers(spark, d).select("sample_id", trace.split_thought_strict(trace.normalize_tags(F.col("text"))).alias("s"))
+    return rows.select("sample_id", "s.cot", "s.response", "s.error")
+
+
+@query
+def trace_thought(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("sample_id", trace.thought(F.col("text")).alias("thought"))
+
+
+@query
+def trace_reasoning(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "annotated_traces").select("trace_id", trace.reasoning(F.col("raw_answer")).alias("reasoning")).distinct()
+
+
+@query
+def trace_boxed(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.col("raw_answer")
+    rows = _t(spark, d, "annotated_traces").select("trace_id", trace.boxed_answer(raw).alias("boxed"), trace.boxed_answer_compat(raw).alias("compat"), trace.last_box(raw).alias("last"))
+    return rows.distinct()
+
+
+@query
+def trace_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "annotated_traces").select("trace_id", "trace").distinct()
+    return rows.select("trace_id", F.posexplode(trace.chunks(F.col("trace"))).alias("ix", "chunk")).select("trace_id", F.col("ix").cast("long").alias("ix"), "chunk")
+
+
+def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of traces with the result of the annotation at the same place."""
+    rows = _t(spark, d, "annotated_traces").select("trace_id", F.col("`partial_solutions-annotation`").alias("a"), F.col("`partial_solutions-chunks`").alias("c")).distinct()
+    pairs = rows.select("trace_id", F.posexplode(trace.zip_shorter(F.col("a"), F.col("c"))).alias("ix", "z"))
+    return pairs.select("trace_id", F.col("ix").cast("long").alias("ix"), F.col("z.1").alias("chunk"), F.col("z.0.result").alias("answer"))
+
+
+@query
+def trace_nearest_merge(spark: SparkSession, d: str) -> DataFrame:
+    return trace.merge_by_nearest_answer(_chunk_rows(spark, d), "trace_id")
+
+
+@query
+def trace_splice(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_rows(spark, d).select("trace_id", "ix", trace.splice_tag(F.col("chunk"), F.col("answer")).alias("chunk"))
+
+
+@query
+def trace_annotated(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "annotated_traces").select("trace_id", "raw_answer", F.col("`partial_solutions-annotation`").alias("a"), F.col("`partial_solutions-chunks`").alias("c")).distinct()
+    return rows.select("trace_id", trace.annotated_trace(F.col("c"), F.col("a"), F.col("raw_answer")).alias("text")).where("text is not null")
+
+
+# Datasets.
+
+
+@query
+def ds_shards(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.sharded(_docs(spark, d).select("doc_id"), 7, "doc_id")
+
+
+@query
+def ds_split_90_10(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.positional_split(_docs(spark, d).select("doc_id"), 0.9, "doc_id")
+
+
+@query
+def ds_sample_n(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.sample_n(_docs(spark, d).select("doc_id", "source"), 50, "doc_id", seed=42)
+
+
+@query
+def ds_row_range(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.row_range(_docs(spark, d).select("doc_id"), 100, 160, "doc_id")
+
+
+@query
+def ds_batches(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.batched(_docs(spark, d).select("doc_id"), 64, "doc_id").groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query
+def ds_ood_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("doc_id", instruct.one_function(F.col("doc_id"), TRAIN_FUNCTIONS + HELD_OUT_FUNCTIONS).alias("function_name"))
+    return rows.withColumn("part", F.when(F.col("function_name").isin(HELD_OUT_FUNCTIONS), "ood_test").otherwise("train"))
+
+
+@query
+def ds_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.first_per_value(_docs(spark, d).select("doc_id", "text"), ["text"], "doc_id")
+
+
+@query
+def ds_dedup_delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Rows delivered twice: the first delivery of each id."""
+    rows = _t(spark, d, "samples").select("sample_id", "source", "ingested_at")
+    return dataset.first_per_value(rows, ["sample_id"], "ingested_at").select("sample_id", "source", F.unix_micros("ingested_at").alias("ingested_us"))
+
+
+@query
+def ds_new_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Bulleted instructions of documents that are not seeds yet."""
+    answers = _docs(spark, d).where("doc_kind = 'instruction'").select(F.col("text").alias("answer"))
+    known = _t(spark, d, "seed_instructions").select(t.strip(F.col("instruction")).alias("instruction"))
+    return pipeline.new_seeds(answers, known)
+
+
+@query
+def ds_first_pair(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "samples").where(dataset.well_formed_pair(F.col("messages")))
+    m = lambda i: F.get("messages", F.lit(i))["content"]
+    return rows.select("sample_id", F.size("messages").cast("long").alias("turns"), F.length(m(0)).cast("long").alias("asked"), F.length(m(1)).cast("long").alias("said")).distinct()
+
+
+@query
+def ds_assistant_turns(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.assistant_turns(_t(spark, d, "samples").select("sample_id", "messages").distinct(), "sample_id")
+
+
+@query
+def ds_two_turns(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.with_turns(_t(spark, d, "samples")).groupBy("split").agg(F.countDistinct("sample_id").alias("samples"))
+
+
+@query
+def ds_length_histogram(spark: SparkSession, d: str) -> DataFrame:
+    words = features.word_count(F.col("text")).cast("double")
+    return dataset.histogram(_docs(spark, d).where("text is not null"), words, 0.0, 600.0)
+
+
+@query
+def ds_union_common(spark: SparkSession, d: str) -> DataFrame:
+    both = dataset.concatenated(_t(spark, d, "samples"), _t(spark, d, "annotated_traces"))
+    return both.groupBy("split", "source").agg(F.count("*").alias("n"))
+
+
+@query
+def ds_length_buckets(spark: SparkSession, d: str) -> DataFrame:
+    rows = dataset.length_buckets(_answers(spark, d), F.col("text"), 16, 1000)
+    return rows.groupBy("bucket", "batch_size").agg(F.count("*").alias("n"))
+
+
+@query
+def ds_hyper_grid(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.grid(spark, lr=[0.1, 0.01], hidden=[0, 64, 128], alpha=[0.5, 1.0], decay=[0.0, 0.01])
+
+
+# Instructions.
+
+
+@query
+def instr_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    rows = instruct.fan_out(_docs(spark, d))
+    return rows.groupBy("function_name").agg(F.count("*").alias("n"), F.sum(F.length("new_text")).alias("chars"))
+
+
+@query
+def instr_fan_out_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return instruct.fan_out(_docs(spark, d)).select("doc_id", F.col("rank").cast("long").alias("rank"), "function_name")
+
+
+@query
+def instr_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    """Training samples: the user turn with an instruction, the reasoning transformed to follow it."""
+    rows = _t(spark, d, "samples").where(dataset.well_formed_pair(F.col("messages"))).select("sample_id", "messages").distinct()
+    m = lambda i: F.get("messages", F.lit(i))["content"]
+    parts = rows.select("sample_id", m(0).alias("user"), trace.split_thought(trace.normalize_tags(m(1))).alias("s")).where("s is not null")
+    made = parts.select("sample_id", instruct.wrap_sample(F.col("user"), tr.upper_case(F.col("s.cot")), F.col("s.response"), F.lit("use capital letters only")).alias("messages"))
+    return made.select("sample_id", F.get("messages", F.lit(0))["content"].alias("asked"), F.get("messages", F.lit(1))["content"].alias("said"), instruct.num_chars(F.col("messages")).alias("num_chars"))
+
+
+@query
+def instr_reinstructed(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "samples").select("sample_id", F.get("messages", F.lit(0))["content"].alias("user")).distinct()
+    return rows.select("sample_id", instruct.reinstruct(F.col("user"), F.lit("a"), F.lit("be brief"))["user"].alias("asked"))
+
+
+@query
+def instr_rendered(spark: SparkSession, d: str) -> DataFrame:
+    counted = features.counts(_docs(spark, d)).where("word_count is not null")
+    names = ["word_count", "unique_word_count", "sentence_count", "paragraph_count", "uppercase_word_count"]
+    values = counted.select("doc_id", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("string") for n in names]))).alias("feature", "value"))
+    return instruct.render(values, instruct.template_table(spark))
+
+
+# Generate, verify, filter.
+
+
+@query
+def gen_parsed_functions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).where("doc_kind = 'code'").select("doc_id", pipeline.parsed_function(F.col("text")).alias("p")).where("p is not null")
+    return rows.select("doc_id", pipeline.cleaned_function(F.col("p.func")).alias("func"), F.coalesce(F.size("p.cases"), F.lit(0)).cast("long").alias("cases"))
+
+
+@query
+def gen_suspicious_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).where("doc_kind = 'code'").select(pipeline.parsed_function(F.col("text")).alias("p")).where("p is not null")
+    return pipeline.suspicious_lines(rows.select("p.func"))
+
+
+@query
+def gen_tested_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Registered predicates against cases made from documents and what the reference transform says."""
+    names = ["upper_case_forward", "lower_case_forward", "commas_to_semicolons_forward", "full_stops_to_exclamation_marks_forward"]
+    seeds = _t(spark, d, "seed_instructions").select(F.col("seed_id").alias("instruction_id"))
+    functions = seeds.select("instruction_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("function_name"))
+    docs = _docs(spark, d).where("seed_id is not null and text is not null")
+    cases = docs.select(F.col("seed_id").alias("instruction_id"), F.col("doc_id").alias("case_id"), F.col("text").alias("input"), (F.col("text") == F.upper("text")).cast("string").alias("output"))
+    tested = pipeline.tested_functions(functions, cases)
+    return tested.select("instruction_id", "function_name", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query
+def gen_judge_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).where("doc_kind = 'judge' and seed_id is not null").select("seed_id", "text")
+    return pipeline.judged(rows, "seed_id", "text")
+
+
+@query
+def gen_preferences(spark: SparkSession, d: str) -> DataFrame:
+    rows = _outputs(spark, d).where("model_response is not null and instruction is not null")
+    kept = rows.select(F.col("instruction").alias("query"), F.col("model_response").alias("response"), (F.coalesce("if_score", F.lit(0.0)) > 0).alias("kept"))
+    return pipeline.preferences(kept).groupBy("is_positive").agg(F.count("*").alias("n"))
+
+
+@query
+def gen_verified_responses(spark: SparkSession, d: str) -> DataFrame:
+    rows = _outputs(spark, d).where("function_name is not null and model_response is not null")
+    responses = rows.select(F.col("output_id").alias("response_id"), F.col("function_name").alias("instruction_id"), F.col("model_reasoning").alias("response"), F.col("instruction").alias("query"))
+    functions = rows.select(F.col("function_name").alias("instruction_id"), "function_name").distinct()
+    return pipeline.verified_responses(responses, functions).select("response_id", "kept")
+
+
+@query
+def gen_stub_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds, rewrites and judgements with the offline generators."""
+    seeds = _t(spark, d, "seed_instructions").select("seed_id", t.strip(F.col("instruction")).alias("instruction"))
+    judgements = pipeline.asked_k_times(seeds, 3).withColumn("prompt", instruct.prompt("judge", instruction=F.col("instruction"), response=F.col("attempt").cast("string"), query=F.col("seed_id").cast("string")))
+    return pipeline.judged(external.generated(judgements, external.HashJudge), "seed_id")
+
+
+@query
+def gen_nli_filter(spark: SparkSession, d: str) -> DataFrame:
+    seeds = _t(spark, d, "seed_instructions").select("seed_id", "instruction", F.array(F.lower("instruction"), F.concat(F.lit("do not "), F.col("instruction"))).alias("back_instruction"))
+    return pipeline.consistent_instructions(seeds).select("seed_id")
+
+
+@query
+def gen_translated(spark: SparkSession, d: str) -> DataFrame:
+    return external.translated(_docs(spark, d).select("doc_id", "text"), external.TagTranslator, "fr").select("doc_id", "new_text")
+
+
+# Math answers.
+
+
+@query
+def math_short_form(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "annotated_traces").select("trace_id", F.posexplode(F.transform("`partial_solutions-annotation`", lambda a: a["result"])).alias("ix", "result")).where("result is not null")
+    return rows.select("trace_id", F.col("ix").cast("long").alias("ix"), grading.short_form(F.col("result")).alias("form")).distinct()
+
+
+@query
+def math_grade(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "annotated_traces").select("trace_id", "raw_answer", "final_answer").distinct()
+    return rows.select("trace_id", grading.grade(trace.boxed_answer(F.col("raw_answer")), F.col("final_answer")).alias("correct"))
+
+
+@query
+def math_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "annotated_traces").select("trace_id", trace.boxed_answer(F.col("raw_answer")).alias("given"), "final_answer").distinct()
+    correct = F.when(F.col("given") != "", F.lower("given") == F.lower("final_answer"))
+    out = metrics.gradable_accuracy(rows.withColumn("ok", correct), F.col("ok"))
+    return out.select("samples", "graded", F.round("accuracy_of_graded", 9).alias("accuracy_of_graded"), F.round("accuracy", 9).alias("accuracy"))
+
+
+# Metrics.
+
+
+def _probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Scores as labels with a probability that depends on the id and stays off the edges of the bins."""
+    rows = _outputs(spark, d).where("score is not null").select("output_id", F.col("score").alias("y")).distinct()
+    return rows.withColumn("p", (F.pmod(F.col("output_id") * 7919, F.lit(997)) + 0.5) / 997.0)
+
+
+@query
+def calibration_ece(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ece(_probabilities(spark, d), F.col("p"), F.col("y")).select(F.round("ece", 9).alias("ece"))
+
+
+@query
+def calibration_losses(spark: SparkSession, d: str) -> DataFrame:
+    rows, p, y = _probabilities(spark, d), F.col("p"), F.col("y")
+    ratio = rows.agg(metrics.class_ratio(y).alias("ratio"))
+    return rows.crossJoin(F.broadcast(ratio)).agg(  # one row
+        F.round(metrics.brier(p, y), 9).alias("brier"), F.round(metrics.weighted_bce(p, y, F.col("ratio")), 8).alias("bce"),
+        F.round(metrics.rounded_accuracy(p, y), 9).alias("accuracy"), F.round(F.max("ratio"), 9).alias("ratio"),
+    )
+
+
+@query
+def latency_p90(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.latency(_t(spark, d, "events"), "event_type", F.col("value"))
+
+
+@query
+def bench_best(spark: SparkSession, d: str) -> DataFrame:
+    rate = F.col("avg_tokens_per_second")
+    return metrics.best_run(_t(spark, d, "serving_runs")).select("run_id", rate.alias("rate"), F.round(metrics.projected_hours(rate), 6).alias("hours"), F.round(metrics.speedup(rate), 6).alias("speedup"))
+
+
+@query
+def bench_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "serving_runs").where("success")
+    return rows.groupBy(F.col("config.tensor_parallel_size").cast("long").alias("parallel")).agg(
+        F.count("*").alias("runs"), F.round(F.max("avg_tokens_per_second"), 6).alias("best"), F.round(F.percentile("p90_latency_seconds", 0.9), 6).alias("p90")
+    )
+
+
+@query
+def bench_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(i, *c) for i, c in enumerate(metrics.benchmark_grid(4))]
+    return spark.createDataFrame(rows, "ordinal long, parallel long, block long, utilization double, batch long")
+
+
+@query
+def probe_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return probe.grid_search(_t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label")))
+
+
+# Viewer.
+
+
+@query
+def viewer_list(spark: SparkSession, d: str) -> DataFrame:
+    return viewer.listing(_t(spark, d, "samples").select("sample_id", "applied_functions", "source").distinct())
+
+
+@query
+def viewer_item(spark: SparkSession, d: str) -> DataFrame:
+    return viewer.item(viewer_list(spark, d), 17)
+
+
+@query
+def viewer_highlight(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", viewer.highlighted(F.col("text")).alias("page"))
+
+
+# Whole pipelines.
+
+
+@query
+def mix_synthesis(spark: SparkSession, d: str) -> DataFrame:
+    return plans_mix.synthesize(_t(spark, d, "samples")).select("sample_id", "part", "applied_functions", "num_chars")
+
+
+@query
+def feat_rows(spark: SparkSession, d: str) -> DataFrame:
+    lexicon = _docs(spark, d).select(F.explode(t.words(F.lower(F.col("text")))).alias("word")).where("word rlike '^[a-z]{4,6}$'").distinct()
+    out = features.feature_rows(_docs(spark, d).where("text is not null"), lexicon)
+    return out.select("doc_id", "word_count", F.map_keys("sent_starts_with").alias("openings"), "hidden_acrostic")
+
+
+@query
+def feat_hypernyms(spark: SparkSession, d: str) -> DataFrame:
+    """Lowest common ancestors under a small lexicon: a noun, its last word, and the thing as such."""
+    nouns = _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+ (?:baskets|boxes|crates|jars|trays|barrels|sacks|bottles|urns))"), 1)).alias("noun"))
+    words = nouns.select("noun").distinct()
+    lexicon = words.select("noun", F.substring_index("noun", " ", -1).alias("ancestor"), F.lit(2).alias("depth")).unionByName(words.select("noun", F.lit("container").alias("ancestor"), F.lit(1).alias("depth")))
+    return features.common_hypernyms(nouns, lexicon, ["entity"])
