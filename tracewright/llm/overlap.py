@@ -82,7 +82,8 @@ def _keys(tau: float, train: bool):
                 k = int(tau * len(words))
                 parts = substrings(words, k) if train else [(i, s) for i, _, s in segments(words, k)]
                 rows += [(block, text, f"{len(words)}{_BAR}{i}{_BAR}{s}") for i, s in set(parts)]
-            yield pd.DataFrame(rows, columns=["block", "text_key", "segment"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["block", "text_key", "segment"])
 
     return make
 

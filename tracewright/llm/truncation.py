@@ -106,7 +106,8 @@ def shortened(texts: DataFrame) -> DataFrame:
                         break
                     if (head := text[:k]) in prefixes and n > best.get(head, 0):
                         best[head] = n
-        yield pd.DataFrame({"text": list(best), "longer": list(best.values())})
+        if best:
+            yield pd.DataFrame({"text": list(best), "longer": list(best.values())})
 
     after = texts.mapInPandas(continued, "text string, longer long").groupBy("text").agg(F.max("longer").alias("longer"))
     return runs.where("not pending").select("text", "support", "longer").unionByName(texts.join(after, "text").select("text", "support", "longer")).where("longer > 0")
