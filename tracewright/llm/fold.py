@@ -41,12 +41,11 @@ _PAIRS.update({chr(c): " " for c in range(0x80, 0x10000) if unicodedata.category
 #: Characters that show nothing: format characters, variation selectors,
 #: fillers and controls other than tab and line ends.
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\uffa0\ufe00-\ufe0f\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u0084\u0086-\u009f"
-_CF = "".join(
-    f"\\U{c:08x}" if c > 0xFFFF else f"\\u{c:04x}"
-    for c in range(sys.maxunicode + 1)
-    if unicodedata.category(chr(c)) == "Cf"
-)
-_INVISIBLE_PY = re.compile(f"[{INVISIBLE}{_CF}]+")
+_CF = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"]
+# Two classes, since one that goes beyond the basic plane is searched far more slowly.
+_INVISIBLE_PY = re.compile(f"[{INVISIBLE}{''.join(chr(c) for c in _CF if c <= 0xFFFF)}]+")
+_INVISIBLE_HIGH = re.compile(f"[{''.join(chr(c) for c in _CF if c > 0xFFFF)}]+")
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
 _SUSPECT = re.compile("[" + "".join(_PAIRS) + "".join(_LIGATURES) + "]")
 _TRANSLATE = {ord(a): b for a, b in _PAIRS.items()} | {ord(a): b for a, b in _LIGATURES.items()}
 
@@ -69,6 +68,8 @@ def fold(text: str) -> str:
         text = text.translate(_TRANSLATE)
     if _INVISIBLE_PY.search(text):
         text = _INVISIBLE_PY.sub("", text)
+    if _HIGH.search(text):
+        text = _INVISIBLE_HIGH.sub("", text)
     return unicodedata.normalize("NFC", text)
 
 
