@@ -44,7 +44,9 @@ INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\uffa0\ufe00-\ufe0
 _CF = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"]
 # Two classes, since one that goes beyond the basic plane is searched far more slowly.
 _INVISIBLE_PY = re.compile(f"[{INVISIBLE}{''.join(chr(c) for c in _CF if c <= 0xFFFF)}]+")
-_INVISIBLE_HIGH = re.compile(f"[{''.join(chr(c) for c in _CF if c > 0xFFFF)}]+")
+_INVISIBLE_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
+_HIGH = re.compile(f"[{''.join(chr(c) for c in _CF if c > 0xFFFF)}]+")
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
 _HIGH = re.compile("[\U00010000-\U0010ffff]")
 _SUSPECT = re.compile("[" + "".join(_PAIRS) + "".join(_LIGATURES) + "]")
 _TRANSLATE = {ord(a): b for a, b in _PAIRS.items()} | {ord(a): b for a, b in _LIGATURES.items()}
@@ -63,7 +65,7 @@ _BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|table|h[1-6]|hr|html|body|he
 def fold(text: str) -> str:
     """Python twin of :func:`fold_column`, with NFC; for Arrow batches."""
     if text.isascii():
-        return text
+        return _CONTROL.sub("", text) if _CONTROL.search(text) else text
     if _SUSPECT.search(text):
         text = text.translate(_TRANSLATE)
     if _INVISIBLE_PY.search(text):
@@ -83,15 +85,27 @@ def strip_markup(text: str) -> str:
     return text
 
 
+def _java_class(chars: str) -> str:
+    return "".join(c if c == "-" else f"\\u{ord(c):04x}" for c in chars)
+
+
+_INVISIBLE_JAVA = f"\\p{{Cf}}{_java_class(INVISIBLE)}"
+_SUSPECT_JAVA = f"[{_INVISIBLE_JAVA}{_java_class(''.join(_PAIRS).replace('-', '')) + _java_class(''.join(_LIGATURES))}]"
+
+
 def fold_column(text: Column) -> Column:
-    """Look-alikes, full-width forms and blanks mapped; invisible ones dropped."""
+    """Look-alikes, full-width forms and blanks mapped; invisible ones dropped.
+
+    A text without any such character passes as it is, after one search.
+    """
     out = F.translate(text, "".join(_PAIRS), "".join(_PAIRS.values()))
     for a, b in _LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, "[\\p{Cf}" + "".join(f"\\u{ord(c):04x}" if c != "-" else "-" for c in INVISIBLE) + "]+", "")
+    return F.when(text.rlike(_SUSPECT_JAVA), F.regexp_replace(out, f"[{_INVISIBLE_JAVA}]+", "")).otherwise(text)
 
 
 def coarse_column(text: Column) -> Column:
     """Accent-blind form: equal for all texts that the collation calls equal."""
-    out = F.translate(fold_column(text), "".join(_BASE), "".join(_BASE.values()))
-    return F.regexp_replace(out, "[\\p{M}\\u1100-\\u11ff\\uac00-\\ud7a3]+", "")
+    folded = fold_column(text)
+    blind = F.regexp_replace(F.translate(folded, "".join(_BASE), "".join(_BASE.values())), "[\\p{M}\\u1100-\\u11ff\\uac00-\\ud7a3]+", "")
+    return F.when(F.octet_length(folded) == F.length(folded), folded).otherwise(blind)

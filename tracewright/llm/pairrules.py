@@ -27,11 +27,11 @@ _DECLINES = re.compile(
     r"|i'm (?:unable to|not able|not permitted|not allowed|not comfortable)"
     r"|my (?:guidelines|rules|policy|policies|instructions) (?:keep|prevent|forbid|prohibit|do not allow|don'?t allow|do not permit|stop)"
     r"|(?:against|outside) my (?:guidelines|rules|policy|policies)"
-    r"|ich (?:kann|könnte|darf|möchte|will|werde)\b[^.!?]{0,40}\b(?:nicht|nichts|keine?n?|ablehnen)\b|ich bin nicht (?:in der lage|befugt|berechtigt)|ich lehne\b|ich muss[^.!?]{0,40}ablehnen|ich sehe mich außerstande"
+    r"|ich (?:kann|könnte|darf|möchte|will|werde)\b[^.!?]{0,40}\b(?:nicht|nichts|keine?n?|ablehnen)\b|(?:kann|darf|möchte|will|werde) ich\b[^.!?]{0,60}\b(?:nicht|nichts|keine?n?)\b|ich bin nicht (?:in der lage|befugt|berechtigt)|ich lehne\b|ich muss[^.!?]{0,40}ablehnen|ich sehe mich außerstande"
     r"|(?:meine )?(?:richtlinien|regeln|vorgaben) (?:verbieten|erlauben|untersagen|verhindern|lassen)"
     r"|je (?:ne (?:peux|puis|suis|veux|souhaite|pourrai|saurais|vais)|refuse|préfère ne|préférerais ne|dois (?:refuser|décliner)|suis (?:incapable|dans l'impossibilité|contraint)|décline)"
     r"|mes (?:règles|consignes|directives|principes) (?:m'interdisent|ne me permettent|m'empêchent)"
-    r"|no (?:puedo|podré|me es posible|me está permitido|soy capaz|estoy autorizad[oa]|estoy en condiciones|deseo|quiero|voy a)|me niego|debo (?:rechazar|declinar|negarme)|prefiero no|mis (?:normas|directrices|reglas|pautas) (?:me )?(?:prohíben|impiden|no)"
+    r"|no (?:(?:te|le|os|les) )?(?:puedo|podré|me es posible|me está permitido|soy capaz|estoy autorizad[oa]|estoy en condiciones|deseo|quiero|voy a)|me niego|debo (?:rechazar|declinar|negarme)|prefiero no|mis (?:normas|directrices|reglas|pautas) (?:me )?(?:prohíben|impiden|no)"
     r")",
     re.I,
 )

@@ -37,6 +37,8 @@ MAX_BEYOND = 0.02
 NEAR = 40
 #: Open sentences are cuts where at most this share of a group's texts end so.
 MAX_OPEN_SHARE = 0.2
+#: Rows by which the share in the whole table counts in that of a source.
+PRIOR = 20
 
 #: Prefixes that may wait at the ends of sorted partitions.
 MAX_WAITING = 1_000_000
@@ -126,8 +128,12 @@ def resolved(features: DataFrame) -> DataFrame:
     by_length = hit.groupBy("table_name", "record_id").agg(F.collect_set("length").alias("spike_lengths"))
     lines = features.where("tail is not null").groupBy(F.col("tail").alias("text")).agg(F.count("*").alias("support"))
     longer = shortened(lines).select(F.col("text").alias("tail"), "support", "longer")
-    share = features.where("state <> 'blank'").groupBy("table_name", "source").agg(
-        F.avg(F.when((F.col("state") == "open") & ~F.col("tail").startswith(LABELLED), 1.0).otherwise(0.0)).alias("open_share")
+    prose = (F.col("state") == "open") & ~F.col("tail").startswith(LABELLED)
+    table = Window.partitionBy("table_name")
+    share = (
+        features.where("state <> 'blank'").groupBy("table_name", "source").agg(F.count("*").alias("n"), F.count_if(prose).alias("o"))
+        # one row per source; small sources lean on their table
+        .select("table_name", "source", ((F.col("o") + PRIOR * F.sum("o").over(table) / F.sum("n").over(table)) / (F.col("n") + PRIOR)).alias("open_share"))
     )
     labelled = F.col("tail").startswith(LABELLED)
     opened = F.col("state") == "open"
