@@ -30,13 +30,13 @@ _CYRILLIC = (
 )
 _GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορυνγιϲϳ", "ABEZHIKMNOPTYXaopuvyicj")
 _LATIN_ARMENIAN = ("ɡɑıօհոսցԁՕՏ", "gaiohnugdOS")
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
-_PAIRS: dict[str, str] = {}
+PAIRS: dict[str, str] = {}
 for _a, _b in (_CYRILLIC, _GREEK, _LATIN_ARMENIAN):
-    _PAIRS.update(zip(_a, _b, strict=True))
-_PAIRS.update({chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)})
-_PAIRS.update({chr(c): " " for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Zs"})
+    PAIRS.update(zip(_a, _b, strict=True))
+PAIRS.update({chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)})
+PAIRS.update({chr(c): " " for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Zs"})
 
 #: Characters that show nothing: format characters, variation selectors,
 #: fillers and controls other than tab and line ends.
@@ -48,15 +48,15 @@ _INVISIBLE_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
 _HIGH = re.compile(f"[{''.join(chr(c) for c in _CF if c > 0xFFFF)}]+")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
 _HIGH = re.compile("[\U00010000-\U0010ffff]")
-_SUSPECT = re.compile("[" + "".join(_PAIRS) + "".join(_LIGATURES) + "]")
-_TRANSLATE = {ord(a): b for a, b in _PAIRS.items()} | {ord(a): b for a, b in _LIGATURES.items()}
+_SUSPECT = re.compile("[" + "".join(PAIRS) + "".join(LIGATURES) + "]")
+_TRANSLATE = {ord(a): b for a, b in PAIRS.items()} | {ord(a): b for a, b in LIGATURES.items()}
 
 # Accented letters to their base letter, for the coarse key.
 _BASE = {}
-for _c in range(0xC0, 0x2000):
+for _c in (*range(0xC0, 0x2000), 0x2126, 0x212A, 0x212B):
     _n = unicodedata.normalize("NFD", chr(_c))
-    if len(_n) > 1 and unicodedata.combining(_n[1]):
-        _BASE[chr(_c)] = _PAIRS.get(_n[0], _n[0])
+    if _n != chr(_c) and (len(_n) == 1 or unicodedata.combining(_n[1])):
+        _BASE[chr(_c)] = PAIRS.get(_n[0], _n[0])
 
 _INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|small|mark|sub|sup|font|a|code)(?:\s[^<>]*)?/?>", re.I)
 _BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|table|h[1-6]|hr|html|body|head|blockquote|pre|section)(?:\s[^<>]*)?/?>", re.I)
@@ -90,7 +90,13 @@ def _java_class(chars: str) -> str:
 
 
 _INVISIBLE_JAVA = f"\\p{{Cf}}{_java_class(INVISIBLE)}"
-_SUSPECT_JAVA = f"[{_INVISIBLE_JAVA}{_java_class(''.join(_PAIRS).replace('-', '')) + _java_class(''.join(_LIGATURES))}]"
+# A few ranges that hold every character above: Java tries the members of a
+# class one after the other, so a class of single characters is slow.
+_MAYBE_JAVA = (
+    r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u0131\u0180-\u1eff\u2000-\u200f\u2028-\u202f\u205f-\u206f"
+    r"\u3000\u3164\ufb00-\ufb06\ufe00-\ufe0f\ufeff-\uffff\x{110bd}-\x{e0fff}]"
+)
+_ACCENTS_JAVA = r"[\xc0-\u1fff\u20d0-\u20ff\u2126-\u212b\uac00-\ud7a3]"
 
 
 def fold_column(text: Column) -> Column:
@@ -98,14 +104,13 @@ def fold_column(text: Column) -> Column:
 
     A text without any such character passes as it is, after one search.
     """
-    out = F.translate(text, "".join(_PAIRS), "".join(_PAIRS.values()))
-    for a, b in _LIGATURES.items():
+    out = F.translate(text, "".join(PAIRS), "".join(PAIRS.values()))
+    for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.when(text.rlike(_SUSPECT_JAVA), F.regexp_replace(out, f"[{_INVISIBLE_JAVA}]+", "")).otherwise(text)
+    return F.when(text.rlike(_MAYBE_JAVA), F.regexp_replace(out, f"[{_INVISIBLE_JAVA}]+", "")).otherwise(text)
 
 
-def coarse_column(text: Column) -> Column:
-    """Accent-blind form: equal for all texts that the collation calls equal."""
-    folded = fold_column(text)
+def blind_column(folded: Column) -> Column:
+    """Without accents: equal for all folded texts that the collation calls equal."""
     blind = F.regexp_replace(F.translate(folded, "".join(_BASE), "".join(_BASE.values())), "[\\p{M}\\u1100-\\u11ff\\uac00-\\ud7a3]+", "")
-    return F.when(F.octet_length(folded) == F.length(folded), folded).otherwise(blind)
+    return F.when(folded.rlike(_ACCENTS_JAVA), blind).otherwise(folded)

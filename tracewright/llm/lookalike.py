@@ -4,16 +4,17 @@ Texts are mapped (:mod:`tracewright.llm.fold`) and grouped under the
 accent-sensitive ``UNICODE`` collation, in which canonically equivalent
 sequences are equal and case, accents, raised figures and fractions are not.
 
-Plan.  Whole texts are shuffled only where two different texts fall together:
-a scan gives each row two 64-bit hashes, of the accent-blind mapped text
-(``bucket``) and of the raw text (``variant``); one aggregation keeps buckets
-with two or more variants; only the distinct texts of those go through the
+Plan.  A first scan gives each row two 64-bit hashes, of the accent-blind
+mapped text (``bucket``) and of the raw text (``variant``), which go to the
+shared folder with the id.  Buckets with two or more variants are few; one id
+for each of their variants is written too, so that its size is known when the
+texts are fetched by a second scan, and only those texts go through the
 collation.  Copies of one text share a variant and meet the rest only in the
 final join, so a text that makes up a third of all rows costs one row.
 
 Defined results: null text has no partner and a null form; an empty text is
 its own form; exact copies share a class and are no pair; extra columns are
-ignored; a repeated id counts once.
+ignored; a repeated id counts once in pairs and gives a form for each row.
 """
 
 from __future__ import annotations
@@ -21,19 +22,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.fold import coarse_column, fold_column
+from tracewright.llm.fold import blind_column, fold_column
+from tracewright.llm.shared import written
 
 COLLATION = "UNICODE"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col)
-    return docs.where(text.isNotNull()).select(
-        F.col(id_col).alias("_id"),
-        text.alias("_text"),
-        F.xxhash64(coarse_column(text)).alias("_bucket"),
-        F.xxhash64(text).alias("_variant"),
+def _hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, bucket, variant`` of each row with a text, written to the shared folder."""
+    # two projections, so that the mapped text is made once
+    folded = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("variant"), fold_column(F.col(text_col)).alias("_folded"))
+    return written(folded.select("_id", F.xxhash64(blind_column(F.col("_folded"))).alias("bucket"), "variant"), "lookalike")
+
+
+def _classes(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    crowded = (
+        keyed.groupBy("bucket").agg(F.min("variant").alias("lo"), F.max("variant").alias("hi")).where("lo <> hi").select("bucket")
+    )
+    crowded = written(crowded, "lookalike")
+    chosen = written(keyed.join(crowded, "bucket", "left_semi").groupBy("bucket", "variant").agg(F.min("_id").alias("_id")), "lookalike")
+    texts = (
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        .where("_text is not null")
+        .join(chosen, "_id")
+        .where(F.xxhash64("_text") == F.col("variant"))
+        .withColumn("_mapped", fold_column(F.col("_text")))
+    )
+    plain = F.struct((F.col("_text") != F.col("_mapped")).alias("n"), F.length("_mapped").alias("l"), F.col("_mapped").alias("t"))
+    grouped = texts.groupBy("bucket", F.collate("_mapped", COLLATION).alias("_form")).agg(
+        F.min("_id").alias("class_id"), F.min(plain)["t"].alias("canonical"), F.collect_set("variant").alias("_variants")
     )
+    return grouped.where(F.size("_variants") > 1).select("bucket", F.explode("_variants").alias("variant"), "class_id", "canonical")
 
 
 def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,64 +63,28 @@ def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the mapped text of the member that is written the most plainly, ties by
     code points).
     """
-    keyed = _keyed(docs, id_col, text_col)
-    crowded = (
-        keyed.groupBy("_bucket")
-        .agg(F.min("_variant").alias("_lo"), F.max("_variant").alias("_hi"))
-        .where("_lo <> _hi")
-        .select("_bucket")
-    )
-    texts = (
-        keyed.join(crowded, "_bucket", "left_semi")
-        .groupBy("_bucket", "_variant")
-        .agg(F.min("_id").alias("_id"), F.min("_text").alias("_text"))
-        .withColumn("_mapped", fold_column(F.col("_text")))
-    )
-    grouped = texts.groupBy("_bucket", F.collate("_mapped", COLLATION).alias("_form")).agg(
-        F.min("_id").alias("class_id"),
-        F.min(F.struct((F.col("_text") != F.col("_mapped")).alias("n"), F.length("_mapped").alias("l"), F.col("_mapped").alias("t")))["t"].alias("canonical"),
-        F.collect_set("_variant").alias("_variants"),
-    )
-    return grouped.where(F.size("_variants") > 1).select(
-        F.col("_bucket").alias("bucket"), F.explode("_variants").alias("variant"), "class_id", "canonical"
-    )
+    return _classes(docs, _hashes(docs, id_col, text_col), id_col, text_col)
+
+
+def lookalike_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_id, variant, class_id, canonical`` of every row whose text looks like another, different one."""
+    keyed = _hashes(docs, id_col, text_col)
+    return keyed.join(_classes(docs, keyed, id_col, text_col), ["bucket", "variant"]).drop("bucket").distinct()
 
 
 def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (``doc_a`` < ``doc_b``) that look the same and differ in code points."""
-    members = (
-        _keyed(docs, id_col, text_col)
-        .select("_id", F.col("_bucket").alias("bucket"), F.col("_variant").alias("variant"))
-        .distinct()
-        .join(lookalike_classes(docs, id_col, text_col).drop("canonical"), ["bucket", "variant"])
-        .select("_id", "variant", "bucket", "class_id")
-    )
+    members = written(lookalike_members(docs, id_col, text_col).drop("canonical"), "lookalike")
     a, b = members.alias("a"), members.alias("b")
-    return (
-        a.join(
-            b,
-            (F.col("a.bucket") == F.col("b.bucket"))
-            & (F.col("a.class_id") == F.col("b.class_id"))
-            & (F.col("a.variant") != F.col("b.variant"))
-            & (F.col("a._id") < F.col("b._id")),
-        )
-        .select(F.col("a._id").alias("doc_a"), F.col("b._id").alias("doc_b"))
-        .distinct()
-    )
+    same = (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.variant") != F.col("b.variant")) & (F.col("a._id") < F.col("b._id"))
+    return a.join(b, same).select(F.col("a._id").alias("doc_a"), F.col("b._id").alias("doc_b")).distinct()
 
 
 def canonical_forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with its form: ``doc_id, class_id, canonical_text``.
+    """Every row with its form: ``doc_id, class_id, canonical_text``.
 
     ``class_id`` is null where no other text looks the same.
     """
-    text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        fold_column(text).alias("_mapped"),
-        F.xxhash64(coarse_column(text)).alias("bucket"),
-        F.xxhash64(text).alias("variant"),
-    ).dropDuplicates(["doc_id", "bucket", "variant"])
-    return rows.join(lookalike_classes(docs, id_col, text_col), ["bucket", "variant"], "left").select(
-        "doc_id", "class_id", F.when(F.col("_mapped").isNotNull(), F.coalesce("canonical", "_mapped")).alias("canonical_text")
-    )
+    members = written(lookalike_members(docs, id_col, text_col), "lookalike").select(F.col("_id").alias("doc_id"), F.col("variant").alias("_v"), "class_id", "canonical")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_v"), fold_column(F.col(text_col)).alias("_mapped"))
+    return rows.join(members, ["doc_id", "_v"], "left").select("doc_id", "class_id", F.coalesce("canonical", "_mapped").alias("canonical_text"))
