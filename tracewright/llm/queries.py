@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import cube, leak, lookalike, mixing, overlap, packing, pairs, truncation
+from tracewright.llm import cube, fold, leak, lookalike, mixing, overlap, packing, pairs, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -144,4 +144,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_forms": p8_forms,
 }
 
-ORACLE: dict[str, str] = {}
+# DuckDB statements for the queries that SQL can express over whole tables.
+
+
+def _folded(t: str) -> str:
+    pairs = fold.PAIRS
+    out = f"translate({t}, '{''.join(pairs).replace(chr(39), chr(39) * 2)}', '{''.join(pairs.values()).replace(chr(39), chr(39) * 2)}')"
+    for a, b in fold.LIGATURES.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    invisible = "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in fold.INVISIBLE)
+    return f"regexp_replace({out}, '[\\p{{Cf}}{invisible}]+', '', 'g')"
+
+
+ORACLE: dict[str, str] = {
+    "p8_found": f"""
+WITH d AS (SELECT DISTINCT doc_id, text, nfc_normalize({_folded('text')}) AS f FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.f = b.f AND a.text <> b.text AND a.doc_id < b.doc_id""",
+    "p8_forms": f"""
+WITH d AS (SELECT doc_id, text, {_folded('text')} AS m FROM documents),
+k AS (SELECT *, nfc_normalize(m) AS f FROM d),
+c AS (SELECT f, min(doc_id) AS class_id, arg_min(m, ROW(text <> m, length(m), m)) AS canonical FROM k WHERE text IS NOT NULL GROUP BY f HAVING count(DISTINCT text) > 1)
+SELECT doc_id, class_id, coalesce(canonical, m) AS canonical_text FROM k LEFT JOIN c USING (f)""",
+    "p6_found": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(replace({_folded("regexp_replace(text, '</?(?:p|br|div)(?:[ \\n][^<>]*)?/?>', chr(10), 'gi')")}, 'ß', 'ss')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(replace(nfc_normalize({_folded('problem')}), 'ß', 'ss')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark_items),
+g AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+h AS (SELECT doc_id, hash(w[k:k + 11]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM w))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (h)""",
+}
