@@ -429,7 +429,7 @@ ORACLE["gen_judge_scores"] = """
 WITH j AS (SELECT seed_id, nullif(regexp_extract(text, 'Score:\\s*(\\d+)', 1), '')::INT AS s FROM documents WHERE doc_kind = 'judge' AND seed_id IS NOT NULL)
 SELECT seed_id, round(coalesce(avg(s), 0), 9) AS mean_score, coalesce(avg(s), 0) > 5 AS kept FROM j GROUP BY seed_id"""
 ORACLE["gen_preferences"] = """
-SELECT (coalesce(if_score, 0) > 0)::INTEGER AS is_positive, count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (ingested_at, finished_at) FROM model_outputs)
+SELECT (coalesce(if_score, 0) > 0)::INTEGER AS is_positive, count(*) AS n FROM (SELECT DISTINCT output_id, if_score, model_response, instruction FROM model_outputs)
 WHERE model_response IS NOT NULL AND instruction IS NOT NULL GROUP BY ALL"""
 ORACLE["gen_translated"] = "SELECT doc_id, '[fr] ' || coalesce(text, '') AS new_text FROM documents"
 
@@ -495,3 +495,29 @@ _ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt
 ORACLE["viewer_highlight"] = f"""
 SELECT doc_id, regexp_replace(regexp_replace({_ESCAPED}, '(?s)&lt;think&gt;(.*?)&lt;/think&gt;', '<span class="think">\\1</span>', 'g'),
   '(?s)&lt;partial_solution&gt;(.*?)&lt;/partial_solution&gt;', '<span class="partial-solution">\\1</span>', 'g') AS page FROM documents"""
+
+ORACLE["instr_fan_out"] = _FAN + "SELECT function_name, count(*) AS n FROM e WHERE n = 8 GROUP BY function_name"
+
+# Functions in fenced JSON: lines that fetch are dropped.
+_FENCED = "trim(regexp_extract(text, '(?s)```json(.*?)```', 1), chr(10) || ' ')"
+_CODE = f"(SELECT doc_id, TRY({_FENCED}::JSON) AS j FROM documents WHERE doc_kind = 'code')"
+ORACLE["gen_parsed_functions"] = f"""
+SELECT doc_id, array_to_string(list_filter(string_split(j->>'$.func', chr(10)), lambda x: NOT contains(x, 'download') AND NOT contains(x, 'requests')), chr(10)) AS func,
+  coalesce(json_array_length(j, '$.cases'), 0)::BIGINT AS cases FROM {_CODE} WHERE json_type(j, '$.func') = 'VARCHAR'"""
+ORACLE["gen_suspicious_lines"] = f"""
+SELECT DISTINCT line FROM (SELECT unnest(string_split(j->>'$.func', chr(10))) AS line FROM {_CODE} WHERE json_type(j, '$.func') = 'VARCHAR')
+WHERE regexp_matches(line, 'import|download|requests')"""
+_SUM_CASES = " ".join(f"WHEN '{n}' THEN ({EVALUATORS[n]})::BIGINT" for n in EVALUATORS)
+ORACLE["gen_verified_responses"] = f"""
+WITH o AS (SELECT DISTINCT output_id, function_name, model_reasoning AS t, model_reasoning AS g, instruction FROM model_outputs WHERE function_name IS NOT NULL AND model_response IS NOT NULL),
+r AS (SELECT output_id, function_name, t, instruction, coalesce(CASE function_name {_SUM_CASES} END, 0) AS m FROM o)
+SELECT output_id AS response_id, m > 0 AS kept FROM r QUALIFY row_number() OVER (PARTITION BY function_name, t, instruction ORDER BY output_id) = 1"""
+ORACLE["math_grade_exact"] = f"""
+SELECT DISTINCT trace_id, lower({_BOX}) = lower(final_answer) AS correct FROM annotated_traces WHERE {_BOX} <> '' AND final_answer <> ''
+  AND regexp_full_match({_BOX}, '[1-9]\\d*') AND regexp_full_match(final_answer, '[1-9]\\d*')"""
+_NOUN = r"\p{L}+ (?:baskets|boxes|crates|jars|trays|barrels|sacks|bottles|urns)"
+ORACLE["feat_hypernyms"] = f"""
+WITH n AS (SELECT DISTINCT doc_id, noun FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_NOUN}')) AS noun FROM documents)),
+k AS (SELECT a.doc_id, a.noun AS x, b.noun AS y, CASE WHEN string_split(a.noun, ' ')[2] = string_split(b.noun, ' ')[2] THEN string_split(a.noun, ' ')[2] ELSE 'container' END AS hypernym
+  FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.noun < b.noun)
+SELECT doc_id, hypernym, list_sort(list_distinct(list_concat(list(x), list(y)))) AS nouns FROM k GROUP BY doc_id, hypernym"""

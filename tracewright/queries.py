@@ -21,6 +21,16 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer partitions than the cluster has cores.
+
+    A small file of one row group is one partition, however costly its rows
+    are; a scan of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents")
 
@@ -49,7 +59,7 @@ def tf_json_of_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def feat_counts(spark: SparkSession, d: str) -> DataFrame:
-    return features.counts(_docs(spark, d))
+    return features.counts(spread(_docs(spark, d).select("doc_id", "text")))
 
 
 @query
@@ -65,7 +75,7 @@ def feat_repeated_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def feat_ngram_repetitions(spark: SparkSession, d: str) -> DataFrame:
-    return features.repeated_ngrams(_docs(spark, d))
+    return features.repeated_ngrams(spread(_docs(spark, d).select("doc_id", "text")))
 
 
 @query
@@ -116,12 +126,13 @@ QUERIES |= {f"ev_{n}": _evaluator(n) for n in evaluators.EVALUATORS}
 
 @query
 def eval_forward_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return evaluators.forward_matrix(_docs(spark, d))
+    return evaluators.forward_matrix(spread(_docs(spark, d).select("doc_id", "text")))
 
 
 def _outputs(spark: SparkSession, d: str) -> DataFrame:
     """Model outputs, an id once."""
-    return _t(spark, d, "model_outputs").drop("ingested_at", "finished_at").distinct()
+    columns = ["output_id", "sample_id", "instruction", "function_name", "model_response", "model_reasoning", "gt_response", "if_score", "score"]
+    return _t(spark, d, "model_outputs").select(*columns).dropDuplicates(["output_id"])
 
 
 @query
@@ -300,13 +311,13 @@ def ds_hyper_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def instr_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    rows = instruct.fan_out(_docs(spark, d))
-    return rows.groupBy("function_name").agg(F.count("*").alias("n"), F.sum(F.length("new_text")).alias("chars"))
+    rows = instruct.fan_out(spread(_docs(spark, d).select("doc_id", "text")))
+    return rows.groupBy("function_name").agg(F.count("*").alias("n"))
 
 
 @query
 def instr_fan_out_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return instruct.fan_out(_docs(spark, d)).select("doc_id", F.col("rank").cast("long").alias("rank"), "function_name")
+    return instruct.fan_out(spread(_docs(spark, d).select("doc_id", "text"))).select("doc_id", F.col("rank").cast("long").alias("rank"), "function_name")
 
 
 @query
@@ -415,6 +426,14 @@ def math_grade(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("trace_id", grading.grade(trace.boxed_answer(F.col("raw_answer")), F.col("final_answer")).alias("correct"))
 
 
+@query
+def math_grade_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Grades of whole numbers, where equality as text decides."""
+    rows = _t(spark, d, "annotated_traces").select("trace_id", trace.boxed_answer(F.col("raw_answer")).alias("given"), "final_answer").distinct()
+    whole = rows.where(F.col("given").rlike("^[1-9][0-9]*$") & F.col("final_answer").rlike("^[1-9][0-9]*$"))
+    return whole.select("trace_id", grading.grade(F.col("given"), F.col("final_answer")).alias("correct"))
+
+
 @query
 def math_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "annotated_traces").select("trace_id", trace.boxed_answer(F.col("raw_answer")).alias("given"), "final_answer").distinct()

@@ -25,9 +25,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def read_jsonl_skipping_blank(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """As :func:`read_jsonl`, without blank lines."""
+    """The records of a file, without blank lines and lines that do not parse."""
+    full = StructType([f for f in schema.fields if f.name != CORRUPT]).add(CORRUPT, "string")
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    return parsed.where(F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -81,4 +83,4 @@ def ingest(spark: SparkSession, path: str, schema: StructType) -> str:
 
 def merged_shards(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """All part files of a folder, without lines that do not parse."""
-    return read_jsonl(spark, folder, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return read_jsonl_skipping_blank(spark, folder, schema)
