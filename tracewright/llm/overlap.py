@@ -11,9 +11,10 @@ word by word over the whole texts.
 
 The join key also holds the hash of all quantities of the text, which must be
 equal in a pair; segments of stock phrases, which a third of all rows may
-share, therefore meet only within texts of the same quantities, and texts
-compared always have search strings of one length.  Equal texts are one
-representative each until the very end.
+share, therefore meet only within texts of the same quantities, whose search
+strings have one length.  Texts without any number are compared over all words
+and with all lengths in reach.  Equal texts are one representative each until
+the very end.
 
 The parsed rows are written once to the shared folder.  Defined results: null
 or blank texts, and rows whose split is null, are in no pair; a repeated id
@@ -54,34 +55,45 @@ def segments(words: list[str], k: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def substrings(words: list[str], k: int) -> list[tuple[int, str]]:
-    """(number, text) of all places where a segment of a string as long as this may stand.
+def substrings(words: list[str], k: int, length: int | None = None) -> list[tuple[int, str]]:
+    """(number, text) of all places where a segment of a string of ``length`` words may stand.
 
-    With i segments before it and k - i after it, a segment that is the first
-    unchanged one is shifted by at most i, and by at most k - i if the rest is
-    to hold the remaining edits (both strings being of equal length).
+    The first unchanged segment, with i segments before it, is shifted by at
+    most i edits from its place seen from the front, and by at most k - i from
+    its place seen from the back.
     """
-    k = min(k, max(len(words) - 1, 0))
-    small, large = divmod(len(words), k + 1)
+    length = len(words) if length is None else length
+    k = min(k, max(length - 1, 0))
+    behind = len(words) - length
+    small, large = divmod(length, k + 1)
     out, at = [], 0
     for i in range(k + 1):
         size = small + (i > k - large)
-        shift = min(i, k - i)
-        for p in range(max(0, at - shift), min(len(words) - size, at + shift) + 1):
-            out.append((i, _BAR.join(words[p : p + size])))
+        first = max(0, at - i, at + behind - (k - i))
+        last = min(len(words) - size, at + i, at + behind + (k - i))
+        out += [(i, _BAR.join(words[p : p + size])) for p in range(first, last + 1)]
         at += size
     return out
 
 
+def lengths(n: int, tau: float) -> list[int]:
+    """Lengths of evaluation strings that a training string of n words can be within reach of."""
+    return [m for m in range(int(n / (1 + tau)), int(n / (1 - tau)) + 2) if abs(m - n) <= int(tau * m)]
+
+
 def _keys(tau: float, train: bool):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for block, text, body in zip(b["block"], b["text_key"], b["body"], strict=True):
-                words = search_string(parse(body))
-                k = int(tau * len(words))
-                parts = substrings(words, k) if train else [(i, s) for i, _, s in segments(words, k)]
-                rows += [(block, text, f"{len(words)}{_BAR}{i}{_BAR}{s}") for i, s in set(parts)]
+                problem = parse(body)
+                words = search_string(problem)
+                n = len(words)
+                # strings around the same quantities have one length
+                for m in [n] if not train or problem.numbers else lengths(n, tau):
+                    k = int(tau * m)
+                    parts = substrings(words, k, m) if train else [(i, s) for i, _, s in segments(words, k)]
+                    rows += [(block, text, f"{m}{_BAR}{i}{_BAR}{s}") for i, s in set(parts)]
             if rows:
                 yield pd.DataFrame(rows, columns=["block", "text_key", "segment"])
 
