@@ -499,8 +499,9 @@ SELECT doc_id, regexp_replace(regexp_replace({_ESCAPED}, '(?s)&lt;think&gt;(.*?)
 ORACLE["instr_fan_out"] = _FAN + "SELECT function_name, count(*) AS n FROM e WHERE n = 8 GROUP BY function_name"
 
 # Functions in fenced JSON: lines that fetch are dropped.
-_FENCED = "trim(regexp_extract(text, '(?s)```json(.*?)```', 1), chr(10) || ' ')"
-_CODE = f"(SELECT doc_id, TRY({_FENCED}::JSON) AS j FROM documents WHERE doc_kind = 'code')"
+_FENCED = f"regexp_replace(regexp_extract(text, '(?s)```json(.*?)```', 1), '^[{_B}\\x{{feff}}]+|[{_B}\\x{{feff}}]+$', '', 'g')"
+_LOOSE = "regexp_extract(text, '(?s)(\\{.*?\"func\".*\\})', 1)"
+_CODE = f"(SELECT doc_id, coalesce(TRY({_FENCED}::JSON), TRY({_LOOSE}::JSON)) AS j FROM documents WHERE doc_kind = 'code')"
 ORACLE["gen_parsed_functions"] = f"""
 SELECT doc_id, array_to_string(list_filter(string_split(j->>'$.func', chr(10)), lambda x: NOT contains(x, 'download') AND NOT contains(x, 'requests')), chr(10)) AS func,
   coalesce(json_array_length(j, '$.cases'), 0)::BIGINT AS cases FROM {_CODE} WHERE json_type(j, '$.func') = 'VARCHAR'"""
@@ -521,3 +522,41 @@ WITH n AS (SELECT DISTINCT doc_id, noun FROM (SELECT doc_id, unnest(regexp_extra
 k AS (SELECT a.doc_id, a.noun AS x, b.noun AS y, CASE WHEN string_split(a.noun, ' ')[2] = string_split(b.noun, ' ')[2] THEN string_split(a.noun, ' ')[2] ELSE 'container' END AS hypernym
   FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.noun < b.noun)
 SELECT doc_id, hypernym, list_sort(list_distinct(list_concat(list(x), list(y)))) AS nouns FROM k GROUP BY doc_id, hypernym"""
+
+# The mix: a function per sample, applied to its reasoning.
+
+
+def _mix() -> str:
+    from tracewright.operators import instruct
+    from tracewright.plans.mix import HELD_OUT_FUNCTIONS, TRAIN_FUNCTIONS
+
+    names = [n for n in TRAIN_FUNCTIONS + HELD_OUT_FUNCTIONS if n in tr.FORWARD or n in tr.BACKWARD]
+    backward = {
+        "upper_case_backward": ("Write in capitals: ", upper_words("text")),
+        "title_case_backward": ("Begin with a capital: ", title_words("text")),
+        "palindromes_backward": ("Use the palindromes: ", palindromes("text")),
+    }
+    texts, notes = [], []
+    for n in names:
+        if n in backward:
+            note, found = backward[n]
+            texts.append(f"WHEN '{n}' THEN CASE WHEN len({found}) > 0 THEN text END")
+            notes.append(f"WHEN '{n}' THEN '{note}' || array_to_string(({found})[:3], ', ')")
+        elif n == "paragraph_count_backward":
+            texts.append(f"WHEN '{n}' THEN CASE WHEN {paragraph_count('text')} > 0 THEN text END")
+            notes.append(f"WHEN '{n}' THEN 'Write ' || ({paragraph_count('text')})::VARCHAR || ' paragraphs.'")
+        else:
+            texts.append(f"WHEN '{n}' THEN {_ALL_FORWARD[n]}")
+            notes.append(f"WHEN '{n}' THEN {quoted([tr.FORWARD[n][1]])}")
+    constant = len(instruct.NOTES) + len("<think>\nOkay, so before I start reasoning, let me recall the user's instructions for my reasoning chain: I must .\nIt's really important that I adhere to these instructions.\n\n") + len("\n</think>\n\n") + 13
+    return f"""
+WITH s AS (SELECT DISTINCT sample_id, messages[1].content AS u, messages[2].content AS text FROM samples WHERE {_PAIR}),
+n AS (SELECT sample_id, u, string_split(string_split({normalized('text')}, '<think>')[2], '</think>') AS p FROM s),
+c AS (SELECT sample_id, u, {strip('p[1]')} AS text, {strip('p[2]')} AS response, ([{quoted(names)}])[sample_id % {len(names)} + 1] AS f FROM n WHERE len(p) = 2),
+m AS (SELECT *, CASE f {' '.join(texts)} END AS t, CASE f {' '.join(notes)} END AS note FROM c)
+SELECT sample_id, CASE WHEN f IN ({quoted(HELD_OUT_FUNCTIONS)}) THEN 'ood_test' ELSE 'train' END AS part, f AS applied_functions,
+  length(u) + 2 * length(note) + length(t) + length(response) + {constant} AS num_chars
+FROM m WHERE t IS NOT NULL AND (ends_with(f, '_backward') OR t <> text)"""
+
+
+ORACLE["mix_synthesis"] = _mix()
