@@ -169,7 +169,8 @@ def judge(prompt: str | None, response: str | None) -> Verdict:
         said = problem_text(part.answer)
         if is_copy(words, [w.casefold() for w in _WORD.findall(said)], end.state == "closed"):
             return result("copy")
-    if is_refusal(part.answer):
+    # a text that breaks off may only have come as far as "I cannot"
+    if end.state == "closed" and is_refusal(part.answer):
         return result("refusal")
     if expected and end.state != "cut":
         got = language(_own_words(part.answer, runs))

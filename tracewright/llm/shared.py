@@ -21,9 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder."""
+    """The rows of ``df`` as a Parquet table in the shared folder.
+
+    It stays there, since results read it when they are used; see :func:`release`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables this process has written, once no result needs them; gives their number."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = len(_made)
+    while _made:
+        p = path(_made.pop())
+        p.getFileSystem(conf).delete(p, True)
+    return done
