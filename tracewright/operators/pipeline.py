@@ -55,7 +55,8 @@ def parsed_function(answer: Column) -> Column:
     """``func, cases`` from a fenced block, else from the first object with a "func"; null if neither parses."""
     fenced = F.regexp_extract(answer, r"(?s)```json(.*?)```", 1)
     loose = F.regexp_extract(answer, r'(?s)(\{.*?"func".*\})', 1)
-    parse = lambda x: F.from_json(F.nullif(strip(x), F.lit("")), EVAL_SCHEMA)
+    # a block that is not JSON to its end counts for nothing, though a part of it could be read
+    parse = lambda x: F.when(F.try_parse_json(strip(x)).isNotNull(), F.from_json(strip(x), EVAL_SCHEMA))
     first = parse(fenced)
     chosen = F.when(first["func"].isNotNull(), first).otherwise(parse(loose))
     return F.when(chosen["func"].isNotNull(), chosen)

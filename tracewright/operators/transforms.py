@@ -195,13 +195,18 @@ def apply_forward(name: str, text: Column) -> Column:
 def top_word(text: Column) -> Column:
     """Most frequent word in lower case with its count, ties by first place; struct ``word, freq``."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-
-    def best(w: Column) -> Column:
-        once = lambda x: F.struct(F.size(F.filter(w, lambda y: y == x)).alias("freq"), (-F.array_position(w, x)).alias("p"), x.alias("word"))
-        top = F.array_max(F.transform(F.array_distinct(w), once))
-        return F.when(F.size(w) > 0, F.struct(top["word"].alias("word"), top["freq"].cast("long").alias("freq")))
-
-    return t.let(found, best)
+    # sorted by word and place, equal words are runs; the first of a run is the word's first place
+    placed = F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+
+    def best(s: Column) -> Column:
+        word = lambda i: F.element_at(s, i)["word"]
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (word(i) != word(F.greatest(i - 1, F.lit(1)))))
+        run = lambda b, end: F.struct((end - b).alias("freq"), (-F.element_at(s, b)["at"]).alias("p"), word(b).alias("word"))
+        runs = t.let(begins, lambda x: F.transform(x, lambda b, k: run(b, F.coalesce(F.get(x, k + 1), F.size(s) + 1))))
+        top = F.array_max(runs)
+        return F.when(F.size(s) > 0, F.struct(top["word"].alias("word"), top["freq"].cast("long").alias("freq")))
+
+    return t.let(placed, best)
 
 
 def include_word(text: Column) -> Column:

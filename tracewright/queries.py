@@ -64,7 +64,7 @@ def feat_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def feat_top_word(spark: SparkSession, d: str) -> DataFrame:
-    best = _docs(spark, d).select("doc_id", tr.top_word(F.col("text")).alias("b")).where("b is not null")
+    best = spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", tr.top_word(F.col("text")).alias("b")).where("b is not null")
     return best.select("doc_id", "b.word", "b.freq")
 
 
