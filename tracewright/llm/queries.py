@@ -166,7 +166,7 @@ k AS (SELECT *, nfc_normalize(m) AS f FROM d),
 c AS (SELECT f, min(doc_id) AS class_id, arg_min(m, ROW(text <> m, length(m), m)) AS canonical FROM k WHERE text IS NOT NULL GROUP BY f HAVING count(DISTINCT text) > 1)
 SELECT doc_id, class_id, coalesce(canonical, m) AS canonical_text FROM k LEFT JOIN c USING (f)""",
     "p6_found": f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(replace({_folded("regexp_replace(text, '</?(?:p|br|div)(?:[ \\n][^<>]*)?/?>', chr(10), 'gi')")}, 'ß', 'ss')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(replace(nfc_normalize({_folded("regexp_replace(text, '</?(?:p|br|div)(?:[ \\n][^<>]*)?/?>', chr(10), 'gi')")}), 'ß', 'ss')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(replace(nfc_normalize({_folded('problem')}), 'ß', 'ss')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark_items),
 g AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
 h AS (SELECT doc_id, hash(w[k:k + 11]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM w))
