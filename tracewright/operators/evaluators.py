@@ -58,9 +58,9 @@ def one_word_per_line(text: Column, gt: Column) -> Column:
 
 def use_multiple_spaces(text: Column, gt: Column) -> Column:
     """All runs of spaces inside the text have one length, of 2 to 4."""
-    runs = F.regexp_extract_all(text, F.lit(rf"(?<={t.NON_WS})( +)(?={t.NON_WS})"), 1)
+    runs = F.regexp_extract_all(text, F.lit(rf"{t.NON_WS}( +)(?={t.NON_WS})"), 1)
     sizes = F.array_distinct(F.transform(runs, F.length))
-    return _bit((F.size(sizes) == 0) | ((F.size(sizes) == 1) & F.coalesce(F.get(sizes, F.lit(0)).between(2, 4), F.lit(False))))
+    return _bit(t.let(sizes, lambda s: (F.size(s) == 0) | ((F.size(s) == 1) & F.coalesce(F.get(s, F.lit(0)).between(2, 4), F.lit(False)))))
 
 
 def upper_case(text: Column, gt: Column) -> Column:
@@ -206,7 +206,12 @@ def forward_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Each forward transform applied and judged: mean score and count per function."""
     names = [n for n in tr.FORWARD if n in EVALUATORS and n not in EXTERNAL]
     text = F.col(text_col)
-    cases = [F.struct(F.lit(n).alias("function_name"), EVALUATORS[n](tr.FORWARD[n][0](text), text).alias("score")) for n in names]
+
+    def score(name: str) -> Column:
+        # bound, since an evaluator may use its text several times
+        return t.let(tr.FORWARD[name][0](text), lambda x: EVALUATORS[name](x, text))
+
+    cases = [F.struct(F.lit(n).alias("function_name"), score(n).alias("score")) for n in names]
     return (
         docs.where(text.isNotNull())
         .select(F.explode(F.array(*cases)).alias("c"))

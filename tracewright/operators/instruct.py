@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import let
 from tracewright.operators import transforms as tr
 
 #: Longest chat, in characters, where a cap is wanted.
@@ -103,11 +104,11 @@ def fan_out(rows: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str =
     fits = F.filter(all_forward(text), lambda c: (c["new_text"] != text) | (c["function_name"] == "identity"))
     order = lambda c: F.struct((c["function_name"] != "identity").alias("k"), F.md5(F.concat_ws("|", c["function_name"], F.col(id_col).cast("string"), F.lit(str(seed)))).alias("h"), c.alias("c"))
     ranked = F.slice(F.array_sort(F.transform(fits, order)), 1, n)
+    # bound, since a filter on the size would be pushed below and compute all transforms again
+    whole = let(ranked, lambda r: F.when(F.size(r) == n, r))
     return (
         rows.where(text.isNotNull())
-        .select(id_col, ranked.alias("r"))
-        .where(F.size("r") == n)
-        .select(id_col, F.posexplode("r").alias("rank", "x"))
+        .select(id_col, F.posexplode(whole).alias("rank", "x"))
         .select(id_col, "rank", F.col("x.c.function_name").alias("function_name"), F.col("x.c.new_text").alias("new_text"))
     )
 
