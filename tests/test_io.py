@@ -61,3 +61,10 @@ def test_windowed_accuracy_in_batch(spark):
     rows = spark.createDataFrame([("2025-01-01 00:01:00", "f", 1.0), ("2025-01-01 00:02:00", "f", 0.0)], "t string, function_name string, score double")
     got = files.windowed_accuracy(rows.withColumn("t", F.to_timestamp("t")), "t").first()
     assert (got.accuracy, got.examples) == (0.5, 2)
+
+
+def test_numbered_lines(spark, tmp_path):
+    path = tmp_path / "v.jsonl"
+    path.write_text('{"text": "a"}\n\n{"text": "b"}\n')
+    got = jsonl.read_numbered(spark, str(path), schemas.schema("text string")).orderBy("index").collect()
+    assert [(r.id, r["index"], r.text) for r in got] == [("sample_1", 0, "a"), ("sample_3", 1, "b")]

@@ -84,6 +84,14 @@ def latency(rows: DataFrame, group: str, value: Column) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 9).alias("mean"), F.round(F.percentile(value, 0.9), 9).alias("p90"))
 
 
+def sweep(calls: DataFrame, setting: Column, ok: Column, seconds: Column) -> DataFrame:
+    """Per setting: calls, successes, failures and the mean time of the successful ones."""
+    return calls.groupBy(setting.alias("setting")).agg(
+        F.count("*").alias("calls"), F.count_if(ok).alias("successes"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failures"),
+        F.round(F.avg(F.when(ok, seconds)), 6).alias("mean_seconds"),
+    )
+
+
 def projected_hours(tokens_per_second: Column) -> Column:
     return F.when(tokens_per_second > 0, F.lit(PROJECTED_EXAMPLES * PROJECTED_TOKENS) / (tokens_per_second * 3600))
 

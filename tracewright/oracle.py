@@ -560,3 +560,9 @@ FROM m WHERE t IS NOT NULL AND (ends_with(f, '_backward') OR t <> text)"""
 
 
 ORACLE["mix_synthesis"] = _mix()
+
+ORACLE["bench_sweep"] = """
+SELECT config.batch_size::BIGINT AS setting, count(*) AS calls, count(*) FILTER (success) AS successes, count(*) FILTER (NOT coalesce(success, false)) AS failures,
+  round(avg(avg_latency_seconds) FILTER (success), 6) AS mean_seconds FROM serving_runs GROUP BY 1"""
+ORACLE["bench_memory"] = """
+SELECT run_id, cardinality(memory_usage_gb)::BIGINT AS devices, round(list_max(list_transform(map_values(memory_usage_gb), lambda m: m.reserved_gb)), 6) AS reserved FROM serving_runs"""

@@ -485,6 +485,19 @@ def bench_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def bench_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Success and latency by batch size."""
+    return metrics.sweep(_t(spark, d, "serving_runs"), F.col("config.batch_size").cast("long"), F.col("success"), F.col("avg_latency_seconds"))
+
+
+@query
+def bench_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Peak reserved memory over the devices of a run."""
+    reserved = F.transform(F.map_values("memory_usage_gb"), lambda m: m["reserved_gb"])
+    return _t(spark, d, "serving_runs").select("run_id", F.size(F.map_keys("memory_usage_gb")).cast("long").alias("devices"), F.round(F.array_max(reserved), 6).alias("reserved"))
+
+
 @query
 def bench_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = [(i, *c) for i, c in enumerate(metrics.benchmark_grid(4))]

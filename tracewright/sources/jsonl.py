@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracewright.functions.text import strip
+from tracewright.operators.dataset import numbered
 
 #: Endings of files that may be taken in, and the largest size of one.
 ALLOWED = (".json", ".jsonl")
@@ -47,6 +48,14 @@ def read_lines(spark: SparkSession, path: str, keep_empty: bool = False) -> Data
     return lines if keep_empty else lines.where("instruction <> ''")
 
 
+def read_numbered(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Records of one file with ``id`` (``sample_`` and the line's number from 1, blank lines counted) and ``index`` (from 0, blank lines not counted)."""
+    lines = numbered(spark.read.text(path).withColumn("_place", F.monotonically_increasing_id()), "_place", name="_line")
+    kept = numbered(lines.where(F.trim("value") != "").drop("_place"), "_line", name="_index")
+    rows = kept.select(F.concat(F.lit("sample_"), F.col("_line").cast("string")).alias("id"), (F.col("_index") - 1).alias("index"), F.from_json("value", schema).alias("r"))
+    return rows.select("id", "index", "r.*")
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Vectors and labels, by ending: Parquet, or lines ``{"features": [...], "label": n}``."""
     if path.rstrip("/").endswith(".parquet"):
