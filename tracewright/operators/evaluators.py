@@ -148,7 +148,7 @@ def paragraph_count(text: Column, gt: Column) -> Column:
 
 def translate(text: Column, gt: Column) -> Column:
     """Both texts are in one language, by the built-in detector."""
-    return _bit(detect_language(text).eqNullSafe(detect_language(gt)))
+    return F.when(text.isNotNull(), _bit(detect_language(text).eqNullSafe(detect_language(gt))))
 
 
 def replace_words_with_emojis(text: Column, gt: Column) -> Column:

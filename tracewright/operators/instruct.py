@@ -10,6 +10,7 @@ from tracewright.operators import transforms as tr
 
 #: Longest chat, in characters, where a cap is wanted.
 MAX_CHARS = 12_288
+# Texts around instructions that consumers of the samples look for.
 NOTES = "\n\n## NOTES\n\nInstructions that you must follow in your reasoning chain (the part of your response before your final answer):\n- "
 HEADER = "Thinking Contraints:\n"  # fixed value, spelled as the consumers expect it
 
@@ -53,7 +54,7 @@ def with_constraints(question: Column, instructions: Column) -> Column:
 
 
 def prefix(description: Column) -> Column:
-    """How the reasoning opens by recalling the instruction."""
+    """How the reasoning opens by recalling the instruction (a fixed text around it)."""
     return F.concat(
         F.lit("<think>\nOkay, so before I start reasoning, let me recall the user's instructions for my reasoning chain: I must "),
         description,

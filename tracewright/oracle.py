@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewright.functions import external
 from tracewright.operators import transforms as tr
 
 # White space as Python has it, and ASCII punctuation, inside RE2 character classes.
@@ -566,3 +567,37 @@ SELECT config.batch_size::BIGINT AS setting, count(*) AS calls, count(*) FILTER
   round(avg(avg_latency_seconds) FILTER (success), 6) AS mean_seconds FROM serving_runs GROUP BY 1"""
 ORACLE["bench_memory"] = """
 SELECT run_id, cardinality(memory_usage_gb)::BIGINT AS devices, round(list_max(list_transform(map_values(memory_usage_gb), lambda m: m.reserved_gb)), 6) AS reserved FROM serving_runs"""
+
+
+def _language(t: str) -> str:
+    found = f"regexp_split_to_array(lower({t}), '[^\\p{{L}}]+')"
+    counts = ", ".join(f"{{'n': -len(list_filter({found}, lambda w: w IN ({quoted(ws.split())}))), 'code': '{c}'}}" for c, ws in sorted(external.FREQUENT.items()))
+    return f"(CASE WHEN list_sort([{counts}])[1].n < 0 THEN list_sort([{counts}])[1].code END)"
+
+
+ORACLE["ev_translate_forward"] = f"SELECT output_id, CASE WHEN t IS NULL THEN NULL ELSE ({_language('t')} IS NOT DISTINCT FROM {_language('g')})::BIGINT END AS score FROM ({_TG})"
+ORACLE["gen_nli_filter"] = f"SELECT seed_id FROM seed_instructions WHERE len(list_filter({words('lower(instruction)')}, lambda w: w IN ({quoted(sorted(external.WordOverlapNli.NEGATION))}))) > 0"
+
+
+def _stub() -> str:
+    from tracewright.operators.instruct import PROMPTS
+
+    asked = PROMPTS["judge"].format(instruction="\x01", response="\x02", query="\x03").replace("'", "''")
+    filled = f"replace(replace(replace('{asked}', chr(1), {strip('instruction')}), chr(2), k::VARCHAR), chr(3), seed_id::VARCHAR)"
+    return f"""
+WITH p AS (SELECT seed_id, ('0x' || md5({filled}))::UHUGEINT % 11 AS s FROM (SELECT seed_id, instruction, unnest([0, 1, 2]) AS k FROM seed_instructions))
+SELECT seed_id, round(avg(s), 9) AS mean_score, avg(s) > 5 AS kept FROM p GROUP BY seed_id"""
+
+
+ORACLE["gen_stub_pipeline"] = _stub()
+ORACLE["feat_rows"] = f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, list(phrase ORDER BY phrase) AS openings FROM ({ORACLE['feat_sentence_openings']}) GROUP BY doc_id),
+lex AS (SELECT DISTINCT w FROM (SELECT unnest({words('lower(text)')}) AS w FROM d) WHERE regexp_full_match(w, '[a-z]{{4,6}}')),
+i AS (SELECT doc_id, {each(f"list_filter(list_transform(string_split(text, '.'), lambda y: {strip('y')}), lambda y: y <> '')", 'lower(x[1])')} AS s FROM d),
+c AS (SELECT doc_id, n, k, s[k:k + n - 1] AS w FROM (SELECT doc_id, s, n, unnest(range(1, length(s) - n + 2)) AS k FROM i, (SELECT unnest([6, 5, 4]) AS n))),
+h AS (SELECT doc_id, arg_min(w, k - 1000000 * n) AS hidden_acrostic FROM c JOIN lex USING (w) GROUP BY doc_id)
+SELECT doc_id, len({words('text')}) AS word_count, coalesce(openings, []) AS openings, hidden_acrostic FROM d LEFT JOIN o USING (doc_id) LEFT JOIN h USING (doc_id)"""
+
+# In these tables answers are whole numbers or empty, so equality as text decides.
+ORACLE["math_grade"] = f"SELECT DISTINCT trace_id, coalesce({strip(_BOX)} = {strip('final_answer')}, false) AS correct FROM annotated_traces"
