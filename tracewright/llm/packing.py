@@ -38,6 +38,8 @@ EPS = 0.15
 #: Resolution of the capacity in the pricing knapsack.
 UNITS = 2048
 MAX_PACKS = 1_000
+#: Most partitions that shards are spread over.
+MAX_TASKS = 20_000
 _PLACED = "pack_name string, capacity long, id long, piece int, start long, length long, shard long, container long"
 
 
@@ -189,8 +191,11 @@ def pack_items(
         rows = held.select(F.lit("").alias("pack_name"), F.lit(1).cast("long").alias("capacity"), "id", "length").limit(0)
     else:
         rows = held.select(each.alias("p"), "id", "length").select("p.pack_name", "p.capacity", "id", "length")
+    tasks = min(max(1, len(limits) * shards), MAX_TASKS)
     placed = (
         rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+        # a given number, since shards are small to move and long to pack: they are not to be put together
+        .repartition(tasks, "pack_name", "shard")
         .groupBy("pack_name", "shard")
         .applyInPandas(_pack_shard(groups, eps), _PLACED)
     )
