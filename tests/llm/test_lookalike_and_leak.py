@@ -33,6 +33,13 @@ def test_what_a_reader_sees_is_no_pair(spark, other):
     assert pairs(spark, ["café 2", other]) == []
 
 
+def test_characters_above_the_basic_plane(spark):
+    text = "cafe\u0301 \U0001f9fa \U0001d465\U000e0041\U000e007f 2"
+    assert fold(text) == "caf\u00e9 \U0001f9fa \U0001d465 2"
+    df = spark.createDataFrame([(text,)], "text string").select(fold_column(F.col("text")).alias("v"))
+    assert unicodedata.normalize("NFC", df.first().v) == fold(text)
+
+
 def test_edges(spark):
     assert pairs(spark, []) == []
     assert pairs(spark, [None, "", None, "​", "x" * 50_000]) == [(1, 3)]
