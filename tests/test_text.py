@@ -102,3 +102,16 @@ def test_acrostic_and_rhyme(spark):
     lines = spark.createDataFrame([(1, 0, "cat"), (1, 1, "dog"), (1, 2, "hat"), (1, 3, "log")], "doc_id long, line_no int, last_word string")
     sounds = spark.createDataFrame([("cat", ["K", "AE", "T"]), ("hat", ["AE", "T"]), ("dog", ["AO", "G"]), ("log", ["AO", "G"])], "word string, phonemes array<string>")
     assert features.rhymes_abab(lines, sounds).first().rhymes is False
+
+
+def test_html_is_judged_by_default(spark):
+    rows = [("render_as_html_forward", "<p>a</p>"), ("render_as_html_forward", "<p>a"), ("render_as_html_forward", None), ("upper_case_forward", "<p>A"), ("unknown", "<p>a</p>")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, text string").repartition(1)
+    got = df.select("i", evaluators.dispatch(F.col("name"), F.col("text"), F.col("text")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [1, 0, None, 0, None]
+
+
+def test_every_forward_transform_is_in_the_matrix(spark):
+    docs = spark.createDataFrame([(1, "First point\n\nSecond point.")], "doc_id long, text string")
+    got = {r.function_name: r.accuracy for r in evaluators.forward_matrix(docs).collect()}
+    assert set(got) == {n for n in tr.FORWARD if n in evaluators.EVALUATORS} and got["render_as_html_forward"] == 1

@@ -186,28 +186,32 @@ EVALUATORS: dict[str, Evaluator] = {
     "replace_words_with_emojis": replace_words_with_emojis,
 }
 
-#: Evaluators that run in Python and are left out of pure column dispatch on request.
-EXTERNAL = frozenset({"render_as_html_forward", "translate_forward"})
+#: Evaluators that run in Python.
+EXTERNAL = frozenset({"render_as_html_forward"})
 
 
 def dispatch(name: Column, text: Column, gt: Column, functions: list[str] | None = None) -> Column:
     """The score of the evaluator that ``name`` names; null where there is none.
 
     One row is judged by one evaluator only: the branches of a ``when`` chain
-    are evaluated lazily.
+    are evaluated lazily.  Python is called for all rows of a batch, so there
+    the texts of other functions are null.
     """
     out = F.lit(None).cast("long")
-    for key in functions or [k for k in EVALUATORS if k not in EXTERNAL]:
-        out = F.when(name == key, EVALUATORS[key](text, gt)).otherwise(out)
+    for key in functions or EVALUATORS:
+        own = F.when(name == key, text) if key in EXTERNAL else text
+        out = F.when(name == key, EVALUATORS[key](own, gt)).otherwise(out)
     return out
 
 
 def forward_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each forward transform applied and judged: mean score and count per function."""
-    names = [n for n in tr.FORWARD if n in EVALUATORS and n not in EXTERNAL]
+    names = [n for n in tr.FORWARD if n in EVALUATORS]
     text = F.col(text_col)
 
     def score(name: str) -> Column:
+        if name in EXTERNAL:  # Python cannot be called in a lambda
+            return EVALUATORS[name](tr.FORWARD[name][0](text), text)
         # bound, since an evaluator may use its text several times
         return t.let(tr.FORWARD[name][0](text), lambda x: EVALUATORS[name](x, text))
 
