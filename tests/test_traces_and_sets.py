@@ -59,6 +59,18 @@ def test_numbering_ranges_and_batches(spark):
     assert dataset.numbered(df.limit(0), "id").count() == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_many_partitions_are_distinct(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k")).repartition(5)
+        got = [r.row_no for r in dataset.numbered(df, "k").orderBy("k").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == list(range(1, 20_001))
+
+
 def test_first_per_value_keeps_nulls_and_ties(spark):
     df = spark.createDataFrame([(2, "a"), (1, "a"), (3, None), (4, None)], "id long, v string")
     assert sorted((r.id, r.v) for r in dataset.first_per_value(df, ["v"], "id").collect()) == [(1, "a"), (3, None)]

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.shared import written
+
 
 def seeded_key(key: Column, seed: int = 0) -> Column:
     """Order of a seeded shuffle; the same in every engine that has MD5."""
@@ -23,11 +25,14 @@ def seeded_key(key: Column, seed: int = 0) -> Column:
 def numbered(df: DataFrame, *order: Column | str, name: str = "row_no") -> DataFrame:
     """Rows with their number from 1 in the given order.
 
-    One range shuffle; the counts of the partitions (one row each) come to the
-    driver, and offsets go back as a literal map.
+    One range shuffle, written once with the place of each row: a second
+    shuffle would draw other bounds, and counts would not fit the rows.  The
+    counts of the partitions (one row each) come to the driver, and offsets
+    go back as a literal map.
     """
     ranged = df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).sortWithinPartitions(*order)
-    parts = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    parts = written(placed, "numbered")
     sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     offsets, total = {}, 0
     for p in sorted(sizes):
