@@ -105,3 +105,17 @@ def test_results_against_their_chunk(spark):
     assert sorted(r.record_id for r in found.where("truncated").collect()) == [1, 6]
     report = truncation.truncation_report(found).collect()
     assert sum(r.truncated for r in report) == 2
+
+
+def test_cuts_of_a_source_that_truncates_much(spark):
+    names = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath", "inlet", "jetty"]
+    cut = [("s", "r", Q, T + f"The first part is 4 crates. The second needs {n} in the wa") for n in names]
+    whole = [("s", "r", Q, T + f"The first part is 4 crates. The second needs {n} in the yard.") for n in names]
+    # the cuts are at different places of different texts, so none continues another
+    cut = [(s, r, q, x.replace("in the wa", f"{n[::-1]} wa")) for (s, r, q, x), n in zip(cut, names, strict=True)]
+    assert defects(spark, [*whole, *cut]) == {i: "truncated" for i in range(10, 20)}
+
+
+def test_a_habit_of_open_ends_is_no_cut(spark):
+    rows = [("s", "r", Q, T + f"The first part is {i} crates{' of tin' * i}. So we get\n\n{i} crates in all") for i in range(10)]
+    assert defects(spark, rows) == {}

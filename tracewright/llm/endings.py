@@ -22,6 +22,7 @@ _COMMAND_PIECE = re.compile(r"\\[A-Za-z]*$")
 _NUMBERING = re.compile(r"\s*\d{1,3}[.)]$")
 _HANGING = re.compile(r"[,;:(\[{=+−×÷/&\-–—<~^_$]$")
 _CLOSED = re.compile(r"(?:[.!?。)\]}>]|[.!?。)\]}][»”’\"'|\s]+)$")
+_SENTENCE = re.compile(r"""(?:[^\W\d_]{3}|[^\W\d_] \S{0,20}\d)[.!?][»”’"'*)\]]*\s""")
 _NUMBER = re.compile(r"\d+")
 _LABEL = re.compile(r"^([^:]{1,80}):\s*[-−]?\d[\d.,]*\s*([^\d.!?:;,]*)$")
 
@@ -39,6 +40,8 @@ class Ending(NamedTuple):
     tail: str | None
     chars: int
     octets: int
+    #: an open text of which an earlier sentence of the same part ends with punctuation
+    punctuated: bool = False
 
 
 LABELLED = "\x01"
@@ -98,7 +101,10 @@ def ending(text: str) -> Ending:
     masked = _NUMBER.sub("#", line.casefold())
     if closed:
         return Ending("closed", masked, chars, octets)
-    if parts(text).unfinished:
+    part = parts(text)
+    if part.unfinished:
         return Ending("cut", None, chars, octets)
     label = _LABEL.match(line.replace("*", "").strip())
-    return Ending("open", LABELLED + label.group(2).strip().casefold() if label else masked, chars, octets)
+    if label:
+        return Ending("open", LABELLED + label.group(2).strip().casefold(), chars, octets)
+    return Ending("open", masked, chars, octets, _SENTENCE.search((part.answer or "").rstrip()) is not None)

@@ -76,6 +76,7 @@ class Verdict(NamedTuple):
     tail: str | None
     chars: int
     octets: int
+    punctuated: bool = False
 
 
 def language(text: str, least: float = 1.0, lead: float = 1.5) -> str | None:

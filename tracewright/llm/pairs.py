@@ -40,7 +40,7 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         v = [judge(p, r) for p, r in zip(b["prompt"], b["response"], strict=True)]
         out = b[["table_name", "record_id", "source", "groups"]].copy()
-        for name in ("state", "tail", "chars", "octets", "defect"):
+        for name in ("state", "tail", "chars", "octets", "defect", "punctuated"):
             out[name] = [getattr(x, name) for x in v]
         yield out
 
@@ -100,9 +100,9 @@ def _result_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         told = stands(core, folded)
                     if told is not None:
                         state = "cut" if mark or not told else "closed"
-                rows.append((table, record, source, groups, state, tail, end.chars, end.octets, None))
+                rows.append((table, record, source, groups, state, tail, end.chars, end.octets, None, False))
         if rows:
-            yield pd.DataFrame(rows, columns=["table_name", "record_id", "source", "groups", "state", "tail", "chars", "octets", "defect"])
+            yield pd.DataFrame(rows, columns=["table_name", "record_id", "source", "groups", "state", "tail", "chars", "octets", "defect", "punctuated"])
 
 
 def result_features(traces: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ bytes are searched for spikes at the maximum; texts of a spike's length
 without final punctuation are flagged.  Texts that broke off elsewhere are
 known by their end: an open tag or formula, a hanging comma, a mark of the
 cut, a line that other texts of the table continue (sorted neighbours with a
-common prefix), or an open sentence in a group whose texts do not otherwise
+common prefix), an open sentence after sentences of the same text that end
+with punctuation, or an open sentence in a group whose texts do not otherwise
 end so.  Results taken from a text are checked against that text.
 
 Only lengths, states and last lines are shuffled, never whole texts.  The
@@ -35,7 +36,7 @@ SPIKE_LIFT = 6.0
 MAX_BEYOND = 0.02
 #: Lengths below a spike that it is compared with.
 NEAR = 40
-#: Open sentences are cuts where at most this share of a group's texts end so.
+#: Open sentences of texts without an earlier sentence are cuts where at most this share of a group's texts end so.
 MAX_OPEN_SHARE = 0.2
 #: Rows by which the share in the whole table counts in that of a source.
 PRIOR = 20
@@ -43,7 +44,7 @@ PRIOR = 20
 #: Prefixes that may wait at the ends of sorted partitions.
 MAX_WAITING = 1_000_000
 
-FEATURES = "table_name string, record_id long, source string, groups array<string>, state string, tail string, chars int, octets int, defect string"
+FEATURES = "table_name string, record_id long, source string, groups array<string>, state string, tail string, chars int, octets int, defect string, punctuated boolean"
 
 
 def length_spikes(features: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def resolved(features: DataFrame) -> DataFrame:
     # one length may be a spike for one of several results of a record only
     by_length = hit.groupBy("table_name", "record_id").agg(F.collect_set("length").alias("spike_lengths"))
     lines = features.where("tail is not null").groupBy(F.col("tail").alias("text")).agg(F.count("*").alias("support"))
-    longer = shortened(lines).select(F.col("text").alias("tail"), "support", "longer")
+    longer = lines.join(shortened(lines).select("text", "longer"), "text", "left").select(F.col("text").alias("tail"), "support", "longer")
     prose = (F.col("state") == "open") & ~F.col("tail").startswith(LABELLED)
     table = Window.partitionBy("table_name")
     share = (
@@ -137,6 +138,8 @@ def resolved(features: DataFrame) -> DataFrame:
     )
     labelled = F.col("tail").startswith(LABELLED)
     opened = F.col("state") == "open"
+    # the same last line of several texts is how they end, unless it goes on elsewhere
+    broken = F.col("punctuated") & (F.col("support") < MIN_SPIKE)
     return (
         features.join(by_length, ["table_name", "record_id"], "left")
         .join(longer, "tail", "left")
@@ -148,7 +151,7 @@ def resolved(features: DataFrame) -> DataFrame:
             F.when(F.col("state").isin("blank", "closed"), False)
             .when(F.col("state") == "cut", True)
             .when(labelled, F.col("continued"))
-            .otherwise(opened & (F.col("at_spike") | F.col("continued") | (F.coalesce("open_share", F.lit(0.0)) <= MAX_OPEN_SHARE))),
+            .otherwise(opened & (F.col("at_spike") | F.col("continued") | broken | (F.coalesce("open_share", F.lit(0.0)) <= MAX_OPEN_SHARE))),
         )
         .drop("spike_lengths", "support", "longer", "t", "s", "open_share")
     )
