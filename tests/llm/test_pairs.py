@@ -119,3 +119,16 @@ def test_cuts_of_a_source_that_truncates_much(spark):
 def test_a_habit_of_open_ends_is_no_cut(spark):
     rows = [("s", "r", Q, T + f"The first part is {i} crates{' of tin' * i}. So we get\n\n{i} crates in all") for i in range(10)]
     assert defects(spark, rows) == {}
+
+
+def test_shortened_over_many_partitions(spark):
+    stems = spark.range(6_000).select(F.md5(F.col("id").cast("string")).alias("t"))
+    texts = stems.select(F.explode(F.transform(F.sequence(F.lit(10), F.lit(14)), lambda k: F.substring("t", F.lit(1), k))).alias("text")).distinct().withColumn("support", F.lit(1).cast("long"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        assert truncation.shortened(texts).count() == 24_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

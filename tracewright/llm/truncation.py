@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.endings import LABELLED
+from tracewright.llm.shared import written
 
 #: A spike has this many texts of one length ...
 MIN_SPIKE = 4
@@ -92,7 +93,8 @@ def shortened(texts: DataFrame) -> DataFrame:
     (a chain of prefixes of its last text) is looked up in a second pass.
     """
     ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
-    runs = ordered.mapInPandas(_sorted_runs, "text string, support long, longer long, pending boolean")
+    # written, since a second shuffle would draw other bounds and other texts would wait
+    runs = written(ordered.mapInPandas(_sorted_runs, "text string, support long, longer long, pending boolean"), "runs")
     # a few rows for each partition: the prefixes of its last text
     waiting = runs.where("pending").select("text").limit(MAX_WAITING + 1).collect()
     if len(waiting) > MAX_WAITING:
