@@ -163,3 +163,11 @@ def test_mix_of_nothing(spark):
 def test_repeated_marks(spark):
     df = spark.createDataFrame([(["x-Y", " x y ", None, ""],)], "n array<string>")
     assert df.select(cube.clean_names(F.col("n")).alias("v")).first().v == ["x_y"]
+
+
+def test_minimum_that_only_mixed_records_could_fill(spark):
+    targets = spark.createDataFrame([("a", 0.9, 0), ("rare", 0.1, 4)], TARGETS)
+    rows = [["a"]] * 50 + [["rare"]] * 2 + [["rare", "other"]] * 5
+    got = {r.function_name: r for r in cube.cube_sample(samples(spark, rows), targets, fraction=0.2).report.collect()}
+    assert (got["rare"].available, got["rare"].drawn, got["rare"].minimum_met) == (2, 2, False)
+    assert got["a"].minimum_met

@@ -1,7 +1,8 @@
 """Problem 5: a sample that matches target shares of categories (cube method).
 
 1. Categories of a record are cleaned (blanks, case, hyphens).  Records with a
-   category that has no target are left out, as are those without any.
+   category that has no target are left out, as are those without any; a
+   minimum that only they could fill is reported as not met.
 2. Inclusion probabilities: due counts come from the targets by capped
    water-filling (at least ``min_rows`` where so many exist, at most what
    exists); probabilities are raked to them over the patterns of categories
@@ -156,13 +157,16 @@ def cube_sample(
         raise ValueError(f"more than {MAX_TARGETS} targets")
     names = [r.function_name for r in wanted]
     listed = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    named = records.select(F.col(id_col).cast("long").alias("id"), clean_names(F.col(names_col)).alias("names")).where(F.size("names") > 0)
     units = written(
-        records.select(F.col(id_col).cast("long").alias("id"), clean_names(F.col(names_col)).alias("names"))
-        .where((F.size("names") > 0) & (F.size(F.array_except("names", listed)) == 0))
+        named.where(F.size(F.array_except("names", listed)) == 0)
         .dropDuplicates(["id"])
         .withColumn("key", F.array_join("names", "\x1f")),
         "cube",
     )
+    # with the records left out; one row per category comes to the driver
+    held = named.dropDuplicates(["id"]).select(F.explode(F.array_intersect("names", listed)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    existing = {r.name: r.n for r in held.collect()}
     found = units.groupBy("key").agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} patterns of categories")
@@ -206,8 +210,8 @@ def cube_sample(
         chosen = chosen.unionByName(d)
     drawn = units.join(chosen, "id", "left_semi").select("id", "names")
     facts = spark.createDataFrame(
-        [(n, weights[n], int(r.min_rows or 0), int(a), float(d)) for n, r, a, d in zip(names, wanted, available, due, strict=True)],
-        "function_name string, target_share double, min_rows long, available long, due double",
+        [(n, weights[n], int(r.min_rows or 0), int(a), existing.get(n, 0), float(d)) for n, r, a, d in zip(names, wanted, available, due, strict=True)],
+        "function_name string, target_share double, min_rows long, available long, existing long, due double",
     )
     got = drawn.select(F.explode("names").alias("function_name")).groupBy("function_name").agg(F.count("*").alias("n"))
     marks = F.sum(F.coalesce("n", F.lit(0))).over(_everything())
@@ -216,7 +220,7 @@ def cube_sample(
         "function_name", "target_share", "min_rows", "available", "due", F.coalesce("n", F.lit(0)).alias("drawn"), share.alias("actual_share"),
         (F.coalesce("n", F.lit(0)) - F.col("due")).alias("residual"),
         (F.abs(share - F.col("target_share")) <= 0.01).alias("share_met"),
-        (F.coalesce("n", F.lit(0)) >= F.least("min_rows", "available")).alias("minimum_met"),
+        (F.coalesce("n", F.lit(0)) >= F.least("min_rows", "existing")).alias("minimum_met"),
     )
     return CubeSample(drawn, report)
 
