@@ -34,7 +34,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     rows = _prompts(spark, d)
-    return overlap.overlap_report(rows, overlap.split_overlaps(rows))
+    return overlap.overlap_report(rows, overlap.find_overlaps(rows))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.find_overlaps(_prompts(spark, d)).classes().select("table_name", "id", "split", "class_id", "links")
+
+
+def p1_steps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.find_overlaps(_prompts(spark, d)).steps()
 
 
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +135,8 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p1_classes": p1_classes,
+    "p1_steps": p1_steps,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,

@@ -2,10 +2,11 @@
 
 A text is read as words (numbers are words too).  For the search it becomes a
 string over words that does not depend on the order of its sentences: its
-numbers in rising order, each with the words next to it.  For the decision the
-whole texts are compared as bags of words: what is left over on either side
-must be explained by slips of the pen, changed wording or added framing, and
-no name may differ.
+numbers in rising order, each with the words next to it, or, of a text with
+few numbers, all its words, sentence after sentence in sorted order.  The exact
+check afterwards compares the whole texts as bags of words: quantities must be
+equal, what is left over on either side must be explained by slips of the pen,
+changed wording or added framing, and no name may differ.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+
 from tracewright.llm.fold import strip_markup
 
 _NOTES = re.compile(r"(?im)^[ \t]*#{1,6}[ \t]*notes?\b")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.?!:;…]|\n")
 #: Words on each side of a number that belong to it.
-REACH = 2
-#: Share of the search string that may change.
-TAU = 0.4
+REACH = 1
+#: Texts with fewer numbers are searched by all their words.
+MIN_NUMBERS = 3
+#: Words of a search string for each edit: less than a third of the words around numbers may change, less than a fifth of all words.
+WORDS_PER_EDIT = {True: 2 * REACH + 1, False: 5}
 
 # Names of the languages an answer may be asked for in.
 LANGUAGE_NAMES = frozenset(
@@ -38,6 +43,8 @@ class Problem:
     name: tuple[bool, ...]
     cased: bool
     stops: int
+    #: words that begin a sentence
+    begins: tuple[bool, ...] = ()
 
     @property
     def numbers(self) -> list[str]:
@@ -53,47 +60,60 @@ def problem_text(text: str) -> str:
 
 def parse(text: str) -> Problem:
     """Parse the outcome of :func:`problem_text`."""
-    words, name, capitals, letters, inner, last = [], [], 0, 0, 0, 0
+    words, name, starts, capitals, letters, inner, last = [], [], [], 0, 0, 0, 0
     for m in _WORD.finditer(text):
         w = m.group()
         begins = last == 0 or _END.search(text, last, m.start()) is not None
         inner += begins and last > 0
+        starts.append(begins)
         words.append(w.casefold())
         letters += w[0].isalpha()
         capitals += w[0].isupper()
         name.append(w[0].isupper() and not begins)
         last = m.end()
     cased = bool(capitals) and capitals <= 0.6 * letters
-    return Problem(tuple(words), tuple(name) if cased else (False,) * len(words), cased, inner)
+    return Problem(tuple(words), tuple(name) if cased else (False,) * len(words), cased, inner, tuple(starts))
 
 
-def search_string(p: Problem, reach: int = REACH) -> list[str]:
-    """Numbers in rising order with the words around them; all words if there is no number."""
+def search_string(p: Problem, reach: int = REACH) -> tuple[bool, list[str]]:
+    """Numbers in rising order with the words around them (true), or all words by sorted sentences (false)."""
     at = [i for i, w in enumerate(p.words) if w.isdecimal()]
-    if not at:
-        return list(p.words)
+    if len(at) < MIN_NUMBERS:
+        cuts = [i for i, b in enumerate(p.begins) if b and i]
+        sentences = sorted(p.words[i:j] for i, j in zip([0, *cuts], [*cuts, len(p.words)], strict=True))
+        return False, [w for x in sentences for w in x]
     padded = ("",) * reach + p.words + ("",) * reach
     near = sorted((padded[i : i + 2 * reach + 1] for i in at), key=lambda x: (len(x[reach]), x[reach], x))
-    return [w for x in near for w in x]
+    return True, [w for x in near for w in x]
+
+
+def edits(words: int, numeric: bool) -> int:
+    """Edits that a search string of so many words may have."""
+    return max(words - 1, 0) // WORDS_PER_EDIT[numeric]
 
 
-def banded_distance(a: list[str], b: list[str], k: int) -> int:
-    """Edit distance of two word strings, or k + 1 if it is above k."""
-    if abs(len(a) - len(b)) > k:
-        return k + 1
+def banded_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """Edit distance of each row of ``a`` (all of one length) to the first ``lengths`` codes of that row of ``b``, or k + 1 if it is above k.
+
+    The banded dynamic programme of all rows at once; codes are above 0.
+    """
+    rows, n = a.shape
     far = k + 1
-    row = {j: j for j in range(min(len(b), k) + 1)}
-    for i, x in enumerate(a, 1):
-        new: dict[int, int] = {}
-        for j in range(max(0, i - k), min(len(b), i + k) + 1):
-            best = row.get(j, far) + 1
-            if j:
-                best = min(best, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
-            new[j] = best
-        row = new
-        if min(row.values()) > k:
-            return far
-    return min(row.get(len(b), far), far)
+    width = max(n + 2 * k + 1, b.shape[1] + 2 * k + 1)
+    padded = np.zeros((rows, width), dtype=b.dtype)
+    padded[:, k + 1 : k + 1 + b.shape[1]] = b
+    shift = np.arange(2 * k + 1)
+    # column d of a row stands for place i + d - k of b
+    row = np.broadcast_to(np.where(shift < k, far, shift - k), (rows, 2 * k + 1)).astype(np.int32)
+    for i in range(1, n + 1):
+        change = row + (padded[:, i : i + 2 * k + 1] != a[:, i - 1 : i])
+        change[:, :-1] = np.minimum(change[:, :-1], row[:, 1:] + 1)
+        row = np.minimum(np.minimum.accumulate(change - shift, axis=1) + shift, far).astype(np.int32)
+    at = lengths - n + k
+    out = np.full(rows, far)
+    inside = (at >= 0) & (at <= 2 * k)
+    out[inside] = row[np.flatnonzero(inside), at[inside]]
+    return out
 
 
 def slip(a: str, b: str) -> bool:
