@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import pairs, truncation
 from tracewright.llm.endings import ending
-from tracewright.llm.pairrules import asked_language, is_blank, judge, language
+from tracewright.llm.languages import UNKNOWN, fit, plain
+from tracewright.llm.pairrules import asked_language, is_blank, judge
 
 Q = "Anna keeps 12 jars for Brunton and gives 7 to Carl. How many jars remain in Brunton after 3 days?"
 T = "<think>\nSo the first part is 4, and the rest is 5.\n</think>\n\n"
@@ -21,6 +22,7 @@ T = "<think>\nSo the first part is 4, and the rest is 5.\n</think>\n\n"
         ("", "blank"), ("​ ", "blank"), ("...", "blank"), ("Done.", "closed"), ("So the wheel", "open"), ("The answer is \\boxed{3}", "closed"), ("The answer is \\boxed{3", "cut"),
         ("The answer is \\bo", "cut"), ("\\[ \\boxed{4} \\]", "closed"), ("\\[ x", "cut"), ("a, b,", "cut"), ("<think> a </thi", "cut"), ("<think>\nand then", "cut"), ("<think>\nand then.", "closed"),
         ("So the wh…", "cut"), ("So the wh�", "cut"), ("All is well…", "cut"), ("Well. [truncated]", "cut"), ("1. One.\n2.", "cut"), ("**Answer:** 3 jars", "open"), ("**Answer", "cut"), ("x" * 100_000, "open"),
+        ("So \\[ " + "x + " * 300 + "x", "cut"), ("He said \"yes.\"" + " " * 20, "closed"), ("Well. [truncated" + " here" * 30 + "]", "cut"), ("A " + "b" * 90 + " <|end_of_" + "c" * 70, "cut"), ("All \U0001f600\U0001f600", "open"),
     ],
 )
 def test_endings(text, state):
@@ -39,6 +41,8 @@ def test_blank_answers(text):
         (Q, T + "I'm sorry, but I can't help with this.", "refusal"), (Q, T + "Sorry, I added 3 twice. The answer is \\boxed{9}.", None), (Q, "Leider kann ich diese Aufgabe nicht lösen.", "refusal"),
         (Q, T + "La respuesta es \\boxed{9}.", "other_language"), (Q + " Answer in Spanish.", T + "The answer is \\boxed{9}.", "other_language"), (Q, T + "The answer is \\boxed{9}.", None),
         (Q, "The answer is \\boxed{9}.", None), (None, T + "La respuesta es \\boxed{9}.", None), ("", "", "empty"), (Q, "<think>\nSo the wh", None), (Q, T + "I cannot divide by zero here, so the sec", None),
+        (Q, T + "I am sorry, but I cannot help with this. " + "Please take no offence, for there is a reason. " * 15, "refusal"), (Q, T + "I cannot divide by zero, so 44 drops out. " * 20 + "It is 9 jars.", None),
+        (Q, "Unfortunately this is not something that I am willing to do. Please ask somebody else.", "refusal"), (Q, T + "\U0001f600", None), (Q, T + "\U000e0041", "empty"),
     ],
 )
 def test_judge(prompt, response, defect):
@@ -47,8 +51,32 @@ def test_judge(prompt, response, defect):
 
 def test_languages():
     assert asked_language("Bitte antworte auf Englisch.") == "en" and asked_language(Q) is None
-    assert language("Combien de jours faut-il pour le trajet entre la ville et la mer ?") == "fr"
-    assert language("12 34") is None
+    assert plain().language("Combien de jours faut-il pour le trajet entre la ville et la mer ?") == "fr"
+    assert plain().language("12 34") is None and plain().language(None) is None
+
+
+TEXTS = {
+    "en": "The jars remain in the town and the rest of them are kept for the people who have not yet come to the market this week",
+    "de": "Die Gläser bleiben in der Stadt und der Rest davon wird für die Leute aufbewahrt die noch nicht auf den Markt gekommen sind",
+    "pl": "Słoiki pozostają w mieście a reszta z nich jest przechowywana dla ludzi którzy jeszcze nie przyszli na targ w tym tygodniu",
+}
+
+
+def labelled(spark, names):
+    rng = random.Random(1)
+    rows = [(" ".join(rng.sample(TEXTS[n].split(), 14)), n if i % 10 else "en") for n in names for i in range(60)]
+    return spark.createDataFrame([*rows, (None, "en"), ("Ohne Angabe", None)], "text string, lang string")
+
+
+def test_fitted_languages(spark):
+    model = fit(labelled(spark, ["en", "de", "pl"]))
+    assert [model.language(t) for t in TEXTS.values()] == ["en", "de", "pl"]
+    assert fit(labelled(spark, [])).names == plain().names
+    two = fit(labelled(spark, ["en", "de"]))
+    assert two.language(TEXTS["pl"]) == UNKNOWN and len(two.weights) <= 20_000
+    rows = [("s", "r", TEXTS["en"] + " 1?", T + TEXTS["pl"] + "."), ("s", "r", TEXTS["en"] + " 1?", T + "The jars are kept for the people in the market.")]
+    found = pairs.broken_pairs(pairs.output_pairs(outputs(spark, rows)), labelled(spark, ["en", "de"])).collect()
+    assert {r.record_id: r.defect for r in found} == {0: "other_language", 1: None}
 
 
 def features(spark, rows):
@@ -101,10 +129,11 @@ def test_results_against_their_chunk(spark):
         (3, None, [("1", None, None)], ["x"], None), (4, "s", None, ["x"], "t"), (5, "s", [], None, None), (6, "s", [("1", "838", True), ("2", "x + 3 = \\sqrt{2", None)], ["It is 838."], ""), (7, "s", [("1", "", True)], ["a"], "a"),
     ]
     df = spark.createDataFrame(rows, f"trace_id long, source string, `partial_solutions-annotation` {annotation}, `partial_solutions-chunks` array<string>, trace string")
+    df = df.union(spark.createDataFrame([(8, "s", [("1", "sev", True), ("2", "60", True), ("3", "4", True)], ["It is seven.", "x = 602 here", "4 jars"], None)], df.schema))
     found = pairs.cut_records(pairs.output_pairs(outputs(spark, [])), pairs.trace_results(df))
-    assert sorted(r.record_id for r in found.where("truncated").collect()) == [1, 6]
+    assert sorted(r.record_id for r in found.where("truncated").collect()) == [1, 6, 8]
     report = truncation.truncation_report(found).collect()
-    assert sum(r.truncated for r in report) == 2
+    assert sum(r.truncated for r in report) == 3 == sum(r[f"by_{s}"] for r in report for s in truncation.SIGNALS)
 
 
 def test_cuts_of_a_source_that_truncates_much(spark):
@@ -132,3 +161,26 @@ def test_shortened_over_many_partitions(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def signals(spark, rows):
+    return {r.record_id: r.signal for r in pairs.broken_pairs(pairs.output_pairs(outputs(spark, rows))).collect() if r.signal}
+
+
+def test_only_the_spike_can_tell(spark):
+    """Lines of verse without any punctuation: the longest of them share one length."""
+    rng = random.Random(8)
+    words = ["amber", "birches", "cedar", "delta", "embers", "fjord", "grove", "heathland", "oak"]
+    verse = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(10, 40)))
+    rows = [("s", "r", Q, T + verse() + " " + "".join(rng.choice("aeiou") for _ in range(5))) for _ in range(200)]
+    limit = max(len(r[3]) for r in rows) + 1
+    cut = [("s", "r", Q, (T + " ".join(rng.choice(words) for _ in range(80)))[:limit].rstrip().ljust(limit, "q")) for _ in range(8)]
+    assert signals(spark, [*rows, *cut]) == {i: "spike" for i in range(200, 208)}
+
+
+def test_only_the_neighbour_can_tell(spark):
+    """A response that another one continues, at the end of a word and with a usual last line."""
+    body = "".join(f"jar {i} of the cedar row\n" for i in range(30))
+    rows = [("s", "r", Q, T + f"so {i}\n" + "jar 4 of the cedar row") for i in range(40)]
+    rows += [("s", "r", Q, T + body + "jar 4 of the cedar row"), ("s", "r", Q, T + body + "jar 4 of the cedar row\nand then the rest is done.")]
+    assert signals(spark, rows) == {40: "neighbour"}

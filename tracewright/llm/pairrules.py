@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 from tracewright.llm.endings import ending, parts
 from tracewright.llm.fold import fold, strip_markup
+from tracewright.llm.languages import LanguageModel, plain
 from tracewright.llm.sameproblem import problem_text, slip
 
 # Stand-ins for no value, in lower case and without marks.
@@ -24,32 +25,21 @@ _FINAL = re.compile(r"\\boxed\s*\{\s*[^{}\s]|\*\*[^*\n]{1,40}:\*\*\s*\S|:\s*[-
 _DECLINES = re.compile(
     r"\b(?:"
     r"i (?:can ?not|can'?t|could not|couldn'?t|won'?t|will not|am not able to|am unable to|'m unable to|must decline|have to decline|need to decline|have to pass|must pass|must refuse|refuse to|decline to|would rather not|'d rather not|prefer not to|'m not permitted|am not permitted|'m not allowed|am not allowed|'m not able|do not feel comfortable|don'?t feel comfortable|am not comfortable|'m not comfortable)"
+    r"|(?:i am|i'm) (?:not (?:willing|prepared|going|inclined|in a position|authori[sz]ed|able)|unwilling|unable)|not something (?:that )?i\b|beyond what i (?:can|may|am)"
+    r"|i (?:do not|don't|did not) (?:want|wish|intend|plan) to (?:answer|help|solve|do|respond|discuss|give)|(?:can ?not|can't|won't|will not) be (?:answered|solved|done) by me|no answer (?:from me|will be given)"
     r"|i'm (?:unable to|not able|not permitted|not allowed|not comfortable)"
     r"|my (?:guidelines|rules|policy|policies|instructions) (?:keep|prevent|forbid|prohibit|do not allow|don'?t allow|do not permit|stop)"
     r"|(?:against|outside) my (?:guidelines|rules|policy|policies)"
-    r"|ich (?:kann|könnte|darf|möchte|will|werde)\b[^.!?]{0,40}\b(?:nicht|nichts|keine?n?|ablehnen)\b|(?:kann|darf|möchte|will|werde) ich\b[^.!?]{0,60}\b(?:nicht|nichts|keine?n?)\b|ich bin nicht (?:in der lage|befugt|berechtigt)|ich lehne\b|ich muss[^.!?]{0,40}ablehnen|ich sehe mich außerstande"
+    r"|ich (?:kann|könnte|darf|möchte|will|werde)\b[^.!?]{0,40}\b(?:nicht|nichts|keine?n?|ablehnen)\b|(?:kann|darf|möchte|will|werde) ich\b[^.!?]{0,60}\b(?:nicht|nichts|keine?n?)\b|ich bin nicht (?:in der lage|befugt|berechtigt)|ich lehne\b|ich muss[^.!?]{0,40}ablehnen|ich sehe mich außerstande|ich weigere mich|ich bin nicht (?:bereit|gewillt)|(?:beantworte|löse|bearbeite|sage) ich (?:dazu |hierzu )?nichts?\b|mir (?:ist|wurde) (?:es )?nicht (?:gestattet|erlaubt|möglich)"
     r"|(?:meine )?(?:richtlinien|regeln|vorgaben) (?:verbieten|erlauben|untersagen|verhindern|lassen)"
-    r"|je (?:ne (?:peux|puis|suis|veux|souhaite|pourrai|saurais|vais)|refuse|préfère ne|préférerais ne|dois (?:refuser|décliner)|suis (?:incapable|dans l'impossibilité|contraint)|décline)"
+    r"|je n'ai pas (?:le droit|l'autorisation|la possibilité)|il m'est (?:impossible|interdit)|je m'abstiens|je me refuse|je (?:ne (?:peux|puis|suis|veux|souhaite|pourrai|saurais|vais)|refuse|préfère ne|préférerais ne|dois (?:refuser|décliner)|suis (?:incapable|dans l'impossibilité|contraint)|décline)"
     r"|mes (?:règles|consignes|directives|principes) (?:m'interdisent|ne me permettent|m'empêchent)"
-    r"|no (?:(?:te|le|os|les) )?(?:puedo|podré|me es posible|me está permitido|soy capaz|estoy autorizad[oa]|estoy en condiciones|deseo|quiero|voy a)|me niego|debo (?:rechazar|declinar|negarme)|prefiero no|mis (?:normas|directrices|reglas|pautas) (?:me )?(?:prohíben|impiden|no)"
+    r"|no (?:(?:te|le|os|les) )?(?:puedo|podré|me es posible|me está permitido|soy capaz|estoy autorizad[oa]|estoy en condiciones|deseo|quiero|voy a)|me niego|me abstengo|no tengo (?:permiso|autorización)|no estoy dispuest[oa]|me (?:es|resulta) imposible|debo (?:rechazar|declinar|negarme)|prefiero no|mis (?:normas|directrices|reglas|pautas) (?:me )?(?:prohíben|impiden|no)"
     r")",
     re.I,
 )
 _WEIRD_QUOTES = str.maketrans({"’": "'", "ʼ": "'", "‘": "'", "´": "'"})
 
-# Frequent words that tell the four languages apart.
-_STOPWORDS = {
-    "en": "the of and is are was were to that it for with from by be this which then has have an at so if on or as what how answer result needs gives remain each every all steps after together adding count remove find question not we i but into than now would can still many much between while near week days hours minute litres once there more until also does".split(),
-    "de": "der die das und ist sind war von zu den dem ein eine mit für auf im nicht es wird als auch wenn dann also nach noch hat aus bei einem eines wie viele zahl antwort lautet ergibt ergebnis braucht genau zusammen allen wert damit muss ich man bleiben weil durch jede jeden woche tagen zwischen davon während pro liter litern bereits kann bis insgesamt stunden was wieder mehr".split(),
-    "fr": "le la les des et est sont du un une dans pour que qui sur avec il elle au aux ce cette ne pas plus par en donc réponse résultat reste restent après toutes étapes faut trouve valeur tout combien soit je si alors mais à font donne car de chaque jours près entre mesure litres minute pendant dont quand encore aussi même puis semaine heures déjà moins".split(),
-    "es": "el la los las y es son del un una en para que con por se al lo le su más no como pero respuesta resultado entonces necesita queda quedan después todos pasos todo valor cuántos cuántas cuánto hay si luego así porque de a tras cada semana días entre mide litros minuto mientras cerca cuando todavía puede ya horas menos desde".split(),
-}
-_WEIGHTS: dict[str, dict[str, float]] = {}
-for _code, _list in _STOPWORDS.items():
-    for _w in _list:
-        _shared = sum(_w in x for x in _STOPWORDS.values())
-        _WEIGHTS.setdefault(_w, {})[_code] = 1 / _shared
-
 # Names of the four languages, as an answer is asked for in them.
 _ASKED = {
     "en": "english englisch anglais inglés ingles",
@@ -60,7 +50,7 @@ _ASKED = {
 _ASKED_BY_NAME = {n: code for code, names in _ASKED.items() for n in names.split()}
 _ASKED_RE = re.compile(r"\b(?:in|auf|en|into|into the|use|using|only)\s+(" + "|".join(_ASKED_BY_NAME) + r")\b|\b(" + "|".join(_ASKED_BY_NAME) + r")\s+only\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Verdict(NamedTuple):
@@ -79,17 +69,6 @@ class Verdict(NamedTuple):
     punctuated: bool = False
 
 
-def language(text: str, least: float = 1.0, lead: float = 1.5) -> str | None:
-    """Language of a text by its frequent words; null where there is no clear lead."""
-    score = dict.fromkeys(_STOPWORDS, 0.0)
-    text = text.casefold()
-    for w in _LETTERS.findall(text) if len(text) < 400 else text.split():
-        for code, v in _WEIGHTS.get(w, {}).items():
-            score[code] += v
-    (best, top), (_, next_) = sorted(score.items(), key=lambda z: -z[1])[:2]
-    return best if top >= least and top >= lead * next_ else None
-
-
 def asked_language(prompt: str) -> str | None:
     """Language that the prompt asks the answer to be in, if it names one."""
     found = _ASKED_RE.findall(fold(prompt))
@@ -105,15 +84,22 @@ def is_blank(answer: str | None) -> bool:
     return not bare or bare in STAND_INS or core.casefold() in STAND_INS
 
 
-def is_refusal(answer: str) -> bool:
-    """The answer declines, and does not go on to give a result."""
-    text = fold(answer).translate(_WEIRD_QUOTES)
-    return len(text) <= 600 and "\\boxed{" not in text and _FINAL.search(text) is None and _DECLINES.search(text) is not None
+def is_refusal(answer: str, prompt: str = "") -> bool:
+    """The answer declines, gives no result and no quantity that the prompt does not hold.
+
+    ``answer`` and ``prompt`` are folded.  The length does not matter: remarks
+    of doubt on the way to a result stand among new quantities or before it.
+    """
+    text = answer.translate(_WEIRD_QUOTES)
+    if "\\boxed{" in text or _DECLINES.search(text) is None or _FINAL.search(text) is not None:
+        return False
+    return set(_DIGITS.findall(text)) <= set(_DIGITS.findall(prompt))
 
 
 def is_copy(question: list[str], answer: list[str], whole: bool) -> bool:
     """The answer's words are the question's; ``whole`` if it does not stop halfway."""
-    if len(question) < 4 or len(answer) < 0.8 * len(question):
+    # what is missing and what is extra may make up no more than this
+    if len(question) < 4 or not 0.8 * len(question) <= len(answer) <= 1.3 * len(question) + 6:
         return False
     q, a = Counter(question), Counter(answer)
     missing, extra = q - a, a - q
@@ -131,17 +117,28 @@ def is_copy(question: list[str], answer: list[str], whole: bool) -> bool:
     return whole or answer[-1] == question[-1] or slip(answer[-1], question[-1])
 
 
-@lru_cache(maxsize=2048)
-def _prompt(prompt: str) -> tuple[str, list[str], str | None, frozenset[tuple[str, ...]]]:
-    """Problem text, its words, the expected language and its runs of four words."""
-    core = problem_text(prompt)
-    words = [w.casefold() for w in _WORD.findall(core)]
-    return core, words, asked_language(prompt) or language(core), frozenset(zip(words, words[1:], words[2:], words[3:], strict=False))
+class _Prompt(NamedTuple):
+    folded: str
+    words: list[str]
+    expected: str | None
+    runs: frozenset[tuple[str, ...]]
 
 
-def _own_words(answer: str, runs: frozenset[tuple[str, ...]]) -> str:
-    """The answer without passages restated from the prompt."""
-    words = [w.casefold() for w in _WORD.findall(strip_markup(answer))]
+def prompt_reader(model: LanguageModel | None):
+    """Reads a prompt: its words, the expected language (none without a model) and its runs of four words."""
+
+    @lru_cache(maxsize=2048)
+    def read(prompt: str) -> _Prompt:
+        core = problem_text(prompt)
+        words = [w.casefold() for w in _WORD.findall(core)]
+        expected = (asked_language(prompt) or model.language(core)) if model else None
+        return _Prompt(fold(prompt), words, expected, frozenset(zip(words, words[1:], words[2:], words[3:], strict=False)))
+
+    return read
+
+
+def _own_words(words: list[str], runs: frozenset[tuple[str, ...]]) -> str:
+    """The words of an answer without passages restated from the prompt."""
     quoted = set()
     for i in range(len(words) - 3):
         if tuple(words[i : i + 4]) in runs:
@@ -149,34 +146,36 @@ def _own_words(answer: str, runs: frozenset[tuple[str, ...]]) -> str:
     return " ".join(w for i, w in enumerate(words) if i not in quoted)
 
 
-def judge(prompt: str | None, response: str | None) -> Verdict:
-    """Defect of one pair, as far as it can be told from the pair alone."""
+_PLAIN = plain()
+
+
+def judge(prompt: str | None, response: str | None, model: LanguageModel | None = _PLAIN, read=None) -> Verdict:
+    """Defect of one pair, as far as it can be told from the pair alone; without ``model`` languages are not judged."""
     if response is None:
         return Verdict("empty", "blank", None, 0, 0)
-    end = ending(response)
+    folded = fold(response)
+    end = ending(response, folded)
 
     def result(defect: str | None) -> Verdict:
         return Verdict(defect, *end)
 
-    part = parts(response)
+    part = parts(folded)
     if part.unfinished:
         return result("empty" if end.state in ("closed", "blank") else None)
     if is_blank(part.answer):
         # a tag that breaks off is a cut, a lone mark is a stand-in
         return result(None if end.state == "cut" and "<" in part.answer else "empty")
-    core, words, expected, runs = _prompt(prompt or "")
-    # an answer far shorter or longer than the prompt is no copy of it
-    if 0.7 * len(core) <= len(part.answer) < 3 * len(prompt or "") + 200:
-        said = problem_text(part.answer)
-        if is_copy(words, [w.casefold() for w in _WORD.findall(said)], end.state == "closed"):
-            return result("copy")
+    asked = (read or prompt_reader(model))(prompt or "")
+    said = [w.casefold() for w in _WORD.findall(problem_text(part.answer))]
+    if is_copy(asked.words, said, end.state == "closed"):
+        return result("copy")
     # a text that breaks off may only have come as far as "I cannot"
-    if end.state == "closed" and is_refusal(part.answer):
+    if end.state == "closed" and is_refusal(part.answer, asked.folded):
         return result("refusal")
-    if expected and end.state != "cut":
-        got = language(_own_words(part.answer, runs))
-        if got is None or got == expected:
-            got = language(fold(part.reasoning)) if part.reasoning else None
-        if got and got != expected:
+    if model and asked.expected and end.state != "cut":
+        got = model.language(_own_words(said, asked.runs))
+        if got is None or got == asked.expected:
+            got = model.language(part.reasoning) if part.reasoning else None
+        if got and got != asked.expected:
             return result("other_language")
     return result(None)

@@ -19,62 +19,103 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.endings import LABELLED, ending
+from tracewright.llm.endings import LABELLED, ending, without_marks
 from tracewright.llm.fold import fold
-from tracewright.llm.pairrules import judge
+from tracewright.llm.languages import LanguageModel, fit, plain
+from tracewright.llm.pairrules import judge, prompt_reader
 from tracewright.llm.shared import written
-from tracewright.llm.truncation import FEATURES, resolved
-
-#: A result of fewer characters proves nothing by standing inside a longer passage.
-MIN_TELLING = 6
+from tracewright.llm.truncation import FEATURES, resolved, shortened
 
 _DONE = re.compile(r"\s*(?:[.!?;](?!\d)|,(?!\d)|$|\n)|[ \t]+\|")
-_MARKS = re.compile(r"(?:\s*(?:…|\.{3,}|�+|\[\s*(?:…|\.{3}|truncated|cut)[^\]]*\]))+$", re.I)
 
 
 def _label(name: str, column: Column) -> Column:
     return F.concat(F.lit(f"{name}="), F.coalesce(column.cast("string"), F.lit("")))
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        v = [judge(p, r) for p, r in zip(b["prompt"], b["response"], strict=True)]
-        out = b[["table_name", "record_id", "source", "groups"]].copy()
-        for name in ("state", "tail", "chars", "octets", "defect", "punctuated"):
-            out[name] = [getattr(x, name) for x in v]
-        yield out
+def pair_features(pairs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+    """``pairs``: ``table_name, record_id, source, groups, prompt, response``; languages are judged with a ``model``."""
+    held = pairs.sparkSession.sparkContext.broadcast(model)  # at most languages.WORDS words
 
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = held.value
+        read = prompt_reader(model)
+        for b in batches:
+            v = [judge(p, r, model, read) for p, r in zip(b["prompt"], b["response"], strict=True)]
+            out = b[["table_name", "record_id", "source", "groups"]].copy()
+            for name in ("state", "tail", "chars", "octets", "defect", "punctuated"):
+                out[name] = [getattr(x, name) for x in v]
+            # few: what ends closed or is cut already needs no neighbour
+            out["open_text"] = [r if x.state == "open" and x.defect in (None, "other_language") else None for r, x in zip(b["response"], v, strict=True)]
+            yield out
 
-def pair_features(pairs: DataFrame) -> DataFrame:
-    """``pairs``: ``table_name, record_id, source, groups, prompt, response``."""
-    return pairs.mapInPandas(_judged, FEATURES)
+    return pairs.mapInPandas(judged, FEATURES)
 
 
-def broken_pairs(pairs: DataFrame) -> DataFrame:
-    """Every pair with its defect or null: ``table_name, record_id, source, defect, truncated``."""
-    found = resolved(written(pair_features(pairs), "pairs"))
+def broken_pairs(pairs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """Every pair with its defect or null: ``table_name, record_id, source, defect, signal``.
+
+    ``labelled`` (``text, lang``) is what the language model is fitted on;
+    without it the plain lists are used.  ``signal`` names what showed a cut.
+    """
+    model = fit(labelled) if labelled is not None else plain()
+    features = written(pair_features(pairs, model), "pairs")
+    found = resolved(features, shortened_responses(pairs, features))
     early = F.col("defect").isin("empty", "copy", "refusal")
+    defect = F.when(early, F.col("defect")).when(F.col("truncated"), "truncated").otherwise(F.col("defect"))
     return found.select(
-        "table_name", "record_id", "source", "at_spike",
-        F.when(early, F.col("defect")).when(F.col("truncated"), "truncated").otherwise(F.col("defect")).alias("defect"),
+        "table_name", "record_id", "source", defect.alias("defect"), F.when(defect == "truncated", F.col("signal")).alias("signal")
     ).dropDuplicates(["table_name", "record_id"])
 
 
+def shortened_responses(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """Records whose response is a shortened version of another one: ``table_name, record_id``.
+
+    Responses that end open are looked for among all: a response that another
+    one continues shares with it the hash of its first 2^i characters, 2^i
+    being the largest power within its length.  Only responses that share such
+    a hash with an open one are sorted by their text and compared with the
+    neighbours that follow (:func:`tracewright.llm.truncation.shortened`).
+    """
+    texts = pairs.where("response is not null").select(F.col("response").alias("text"))
+    power = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    head = lambda t, i: F.xxhash64(i, F.substring(t, F.lit(1), F.pow(F.lit(2), i).cast("int")))
+    short = features.where("length(open_text) > 0").select("table_name", "record_id", F.col("open_text").alias("text"), power(F.length("open_text")).alias("i"))
+    short = short.select("*", head(F.col("text"), F.col("i")).alias("head"))
+    sizes = [r.i for r in short.select("i").distinct().collect()]  # at most 31 powers of two
+    if not sizes:
+        return short.select("table_name", "record_id")
+    heads = F.array(*[F.when(F.length("text") > (1 << i), head(F.col("text"), F.lit(i))) for i in sorted(sizes)])
+    long = (
+        texts.select("text", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("head"))
+        .join(short.select("head").distinct(), "head", "left_semi")
+        .select("text")
+    )
+    every = long.unionByName(short.select("text")).distinct().withColumn("support", F.lit(1).cast("long"))
+    return short.join(shortened(every).select("text"), "text", "left_semi").select("table_name", "record_id").distinct()
+
+
 def stands(result: str, *contexts: str | None) -> bool | None:
-    """True if the result stands complete in a text it was taken from, False if it only stands there with more to come, null if it does not stand there."""
+    """True if the result stands complete in a text it was taken from, False if it only stands there with more to come, null if it does not stand there.
+
+    A bare number, or one word that is not continued inside it, may stand
+    elsewhere by chance and with more to come proves nothing.
+    """
+    one_word = not re.search(r"\s", result)
     seen = False
     for text in contexts:
         at = text.find(result) if text else -1
         while at >= 0:
             if at == 0 or not (text[at - 1].isalnum() and result[0].isalnum()):
-                if _DONE.match(text, at + len(result)):
+                end = at + len(result)
+                if _DONE.match(text, end):
                     return True
-                seen = True
+                inside = result[-1].isalnum() and text[end : end + 1].isalnum()
+                seen = seen or not one_word or (inside and not result.isdecimal())
             at = text.find(result, at + 1)
         if seen:
             break
-    # a short result may stand elsewhere by chance
-    return False if seen and len(result) >= MIN_TELLING else None
+    return False if seen else None
 
 
 def _result_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,9 +130,8 @@ def _result_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 end = ending(r)
                 state, tail = end.state, end.tail
-                core = fold(r).strip()
-                mark = _MARKS.search(core)
-                core = core[: mark.start()].rstrip() if mark else core
+                core, mark = without_marks(fold(r).strip())
+                core = core.rstrip()
                 if core and state != "blank":
                     chunk = fold(chunks[i]) if chunks is not None and i < len(chunks) and chunks[i] else None
                     told = stands(core, chunk)
@@ -100,9 +140,9 @@ def _result_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         told = stands(core, folded)
                     if told is not None:
                         state = "cut" if mark or not told else "closed"
-                rows.append((table, record, source, groups, state, tail, end.chars, end.octets, None, False))
+                rows.append((table, record, source, groups, state, tail, end.chars, end.octets, None, False, None))
         if rows:
-            yield pd.DataFrame(rows, columns=["table_name", "record_id", "source", "groups", "state", "tail", "chars", "octets", "defect", "punctuated"])
+            yield pd.DataFrame(rows, columns=["table_name", "record_id", "source", "groups", "state", "tail", "chars", "octets", "defect", "punctuated", "open_text"])
 
 
 def result_features(traces: DataFrame) -> DataFrame:
@@ -111,13 +151,15 @@ def result_features(traces: DataFrame) -> DataFrame:
 
 
 def cut_records(pairs: DataFrame, traces: DataFrame) -> DataFrame:
-    """Outputs and traces with ``truncated``: ``table_name, record_id, source, truncated, at_spike``."""
+    """Outputs and traces with ``truncated`` and the signal that shows it: ``table_name, record_id, source, truncated, signal``."""
     # open ends are the rule among results: their tails are no sentences to compare
     results = result_features(traces).withColumn("tail", F.when(F.col("state") == "open", F.concat(F.lit(LABELLED + "result "), "tail")))
-    found = resolved(written(pair_features(pairs).unionByName(results), "cuts"))
+    features = written(pair_features(pairs).unionByName(results), "cuts")
+    found = resolved(features, shortened_responses(pairs, features))
     early = F.coalesce(F.col("defect").isin("empty", "copy", "refusal"), F.lit(False))
+    cut = F.col("truncated") & ~early
     return found.groupBy("table_name", "record_id").agg(
-        F.max("source").alias("source"), F.max(F.col("truncated") & ~early).alias("truncated"), F.max("at_spike").alias("at_spike")
+        F.max("source").alias("source"), F.max(cut).alias("truncated"), F.min(F.when(cut, F.col("signal"))).alias("signal")
     )
 
 

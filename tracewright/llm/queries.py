@@ -61,12 +61,16 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.sample_pairs(_t(spark, d, "samples")).unionByName(pairs.output_pairs(_t(spark, d, "model_outputs")))
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(_pairs(spark, d), _t(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.broken_pairs(_pairs(spark, d)).where("defect is not null").select("table_name", "record_id", "defect")
+    return _defects(spark, d).where("defect is not null").select("table_name", "record_id", "defect")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.broken_pairs(_pairs(spark, d)).groupBy("table_name", "source", "defect").agg(F.count("*").alias("records"))
+    return _defects(spark, d).groupBy("table_name", "source", "defect", "signal").agg(F.count("*").alias("records"))
 
 
 def _packing(spark: SparkSession, d: str) -> packing.Packing:
