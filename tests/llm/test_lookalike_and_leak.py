@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import leak, lookalike
-from tracewright.llm.fold import fold, fold_column, strip_markup
+from tracewright.llm.fold import PAIRS, fold, fold_column, strip_markup
 
 SCHEMA = "doc_id long, text string, extra string, class_id long"
 
@@ -75,6 +75,32 @@ def test_fold_is_the_same_in_python_and_spark(spark):
     assert strip_markup("<p>a&nbsp;b</p>c<b>d</b>") == "\na b\ncd"
 
 
+def test_table_against_public_confusables(spark):
+    """The letters of some scripts against the confusables data in the ICU library that Spark brings."""
+    skeleton = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
+    letters = {}
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        letters.setdefault(skeleton(c), []).append(c)
+    # drawn alike only in some fonts, or known as other letters to any reader
+    seen = set("ͺσϒϱгѡҽӏագզռքᏳꓒ")
+    for first, last in ((0x370, 0x590), (0x13A0, 0x13F5), (0x2160, 0x2180), (0xA4D0, 0xA4F8)):
+        for c in map(chr, range(first, last)):
+            like = [x for x in letters.get(skeleton(c), []) if x.isupper() == c.isupper() or first == 0xA4D0 or first == 0x13A0]
+            if like and c.isalpha() | (first == 0x2160) and c not in seen and unicodedata.normalize("NFD", c) == c:
+                assert PAIRS.get(c) in letters[skeleton(c)], (c, like)
+
+
+def test_new_scripts(spark):
+    assert pairs(spark, ["LISU TEXT \u00a3", "\ua4e1\ua4f2\ua4e2\ua4f4 \ua4d4\ua4f0\ua4eb\ua4d4 \uffe1", "\u216cISU TEXT \u00a3"]) == [(0, 1), (0, 2), (1, 2)]
+    assert pairs(spark, ["bold x", "bold \U0001d431"]) == []
+
+
+def test_copies_are_not_compared(spark):
+    """A text in a thousand copies and one variant: as many pairs as copies."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "\u0430 b").otherwise("a b").alias("text"))
+    assert lookalike.lookalike_pairs(df).count() == 2999
+
+
 # Leaks.
 
 
@@ -115,6 +141,10 @@ def test_leak_in_other_clothes(spark):
     assert leaks(spark, docs, [item], 5) == {(0, 0): 9, (1, 0): 6}
 
 
+def test_leak_of_high_characters(spark):
+    assert leaks(spark, ["\U0001f600 a b \U000e0041c d e"], ["a b c d e"]) == {(0, 0): 5}
+
+
 def test_leak_edges(spark):
     assert leaks(spark, [], ["a b c d e"]) == {}
     assert leaks(spark, ["a b c d e"], []) == {}

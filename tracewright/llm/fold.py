@@ -9,7 +9,8 @@ JVM ``translate`` expression and ``str.translate`` agree:
 
 Characters that show nothing are dropped.  Composed and decomposed accents are
 made equal by the ``UNICODE`` collation in SQL and by NFC in Python.  Raised
-figures, fractions, case and accents stay, since a reader sees them.
+figures, fractions, case, accents and styled letters (bold, script, double
+struck) stay, since a reader sees them.
 """
 
 from __future__ import annotations
@@ -25,16 +26,22 @@ from pyspark.sql import functions as F
 # Letters drawn like a Latin letter, by script (public Unicode
 # security data, "confusables").
 _CYRILLIC = (
-    "АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухѕіјһӏԁԛԝ",
-    "ABESIJKMHOPCTYXYGQWaeopcyxsijhldqw",
+    "АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухѕіјһӏԁԛԝӀѴѵү",
+    "ABESIJKMHOPCTYXYGQWaeopcyxsijhldqwIVvy",
 )
-_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορυνγιϲϳ", "ABEZHIKMNOPTYXaopuvyicj")
-_LATIN_ARMENIAN = ("ɡɑıօհոսցԁՕՏ", "gaiohnugdOS")
+_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορυνγιϲϳͿϹϺϜ", "ABEZHIKMNOPTYXaopuvyicjJCMF")
+_LATIN_ARMENIAN = ("ɡɑıօհոսցԁՕՏՍᴄᴏᴠᴡᴢꜱ", "gaiohnugdOSUcovwzs")
+_COPTIC = ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc")
+_CHEROKEE = ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏔᏕᏙᏚᏞᏟᏢᏦᏴᏏᏒᏧᏂᎥᎩ", "DRTAJEWMHYGZWSVSLCPKBbRdhiY")
+_LISU = ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 PAIRS: dict[str, str] = {}
-for _a, _b in (_CYRILLIC, _GREEK, _LATIN_ARMENIAN):
+for _a, _b in (_CYRILLIC, _GREEK, _LATIN_ARMENIAN, _COPTIC, _CHEROKEE, _LISU):
     PAIRS.update(zip(_a, _b, strict=True))
+# numerals that are one letter, full-width forms and signs
+PAIRS.update({chr(c): n for c in range(0x2160, 0x2180) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()})
+PAIRS.update({chr(c): n for c in range(0xFFE0, 0xFFE7) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1})
 PAIRS.update({chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)})
 PAIRS.update({chr(c): " " for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Zs"})
 
@@ -93,7 +100,7 @@ _INVISIBLE_JAVA = f"\\p{{Cf}}{_java_class(INVISIBLE)}"
 # class one after the other, so a class of single characters is slow.
 _MAYBE_JAVA = (
     r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u0131\u0180-\u1eff\u2000-\u200f\u2028-\u202f\u205f-\u206f"
-    r"\u3000\u3164\ufb00-\ufb06\ufe00-\ufe0f\ufeff-\uffff\x{110bd}-\x{e0fff}]"
+    r"\u2160-\u217f\u2c80-\u2cff\ua4d0-\ua4ff\ua731\u3000\u3164\ufb00-\ufb06\ufe00-\ufe0f\ufeff-\uffff\x{110bd}-\x{e0fff}]"
 )
 _ACCENTS_JAVA = r"[\xc0-\u1fff\u20d0-\u20ff\u2126-\u212b\uac00-\ud7a3]"
 

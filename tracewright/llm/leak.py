@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,17 @@ class TestIndex:
         self.keys = _windows(self.tokens, self.pos, min_words)
 
 
+_HELD: dict[str, TestIndex] = {}
+
+
+def _index(name: str, items: list[tuple[int, str | None]], min_words: int) -> TestIndex:
+    """The index of a block of tests, made once in each worker process; a worker holds one at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = TestIndex(items, min_words)
+    return _HELD[name]
+
+
 def _runs(tokens: np.ndarray, m: int) -> np.ndarray:
     """Positions from which m words in a row are known (number above 0)."""
     n = len(tokens)
@@ -149,12 +161,13 @@ def leaked_passages(
     out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
+        # at most about block_chars characters
         held = spark.sparkContext.broadcast([(r.i, r.t) for r in part.toLocalIterator()])
+        name = uuid.uuid4().hex
 
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = None
+        def search(batches: Iterator[pd.DataFrame], held=held, name=name) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                index = index or TestIndex(held.value, min_words)
+                index = _index(name, held.value, min_words)
                 if found := search_shard(index, batch["doc_id"].tolist(), batch["text"].tolist()):
                     yield pd.DataFrame(found)
 

@@ -48,11 +48,15 @@ def _classes(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> D
         .where(F.xxhash64("_text") == F.col("variant"))
         .withColumn("_mapped", fold_column(F.col("_text")))
     )
+    # one row per text; the ids of a text may name it twice
+    forms = texts.dropDuplicates(["bucket", "variant"]).withColumn("_form", F.collate("_mapped", COLLATION))
     plain = F.struct((F.col("_text") != F.col("_mapped")).alias("n"), F.length("_mapped").alias("l"), F.col("_mapped").alias("t"))
-    grouped = texts.groupBy("bucket", F.collate("_mapped", COLLATION).alias("_form")).agg(
-        F.min("_id").alias("class_id"), F.min(plain)["t"].alias("canonical"), F.collect_set("variant").alias("_variants")
+    grouped = (
+        forms.groupBy("bucket", "_form")
+        .agg(F.min("_id").alias("class_id"), F.min(plain)["t"].alias("canonical"), F.min("variant").alias("lo"), F.max("variant").alias("hi"))
+        .where("lo <> hi")
     )
-    return grouped.where(F.size("_variants") > 1).select("bucket", F.explode("_variants").alias("variant"), "class_id", "canonical")
+    return forms.select("bucket", "_form", "variant").join(grouped, ["bucket", "_form"]).select("bucket", "variant", "class_id", "canonical")
 
 
 def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,11 +77,21 @@ def lookalike_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (``doc_a`` < ``doc_b``) that look the same and differ in code points."""
-    members = written(lookalike_members(docs, id_col, text_col).drop("canonical"), "lookalike")
-    a, b = members.alias("a"), members.alias("b")
-    same = (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.variant") != F.col("b.variant")) & (F.col("a._id") < F.col("b._id"))
-    return a.join(b, same).select(F.col("a._id").alias("doc_a"), F.col("b._id").alias("doc_b")).distinct()
+    """Pairs (``doc_a`` < ``doc_b``) that look the same and differ in code points.
+
+    The texts of a class are paired first, then each side is replaced by its
+    rows, so copies of one text are never compared with one another.
+    """
+    keyed = _hashes(docs, id_col, text_col)
+    texts = written(_classes(docs, keyed, id_col, text_col).select("bucket", "variant", "class_id"), "lookalike")
+    a, b = texts.alias("a"), texts.alias("b")
+    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.variant") < F.col("b.variant"))
+    linked = a.join(b, same).select("a.bucket", F.col("a.variant").alias("va"), F.col("b.variant").alias("vb"))
+    rows = keyed.join(texts.select("bucket", "variant"), ["bucket", "variant"], "left_semi").distinct()
+    left = rows.select("bucket", F.col("variant").alias("va"), F.col("_id").alias("x"))
+    right = rows.select("bucket", F.col("variant").alias("vb"), F.col("_id").alias("y"))
+    found = linked.join(left, ["bucket", "va"]).join(right, ["bucket", "vb"]).where("x <> y")
+    return found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
 def canonical_forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
