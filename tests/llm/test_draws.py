@@ -69,21 +69,22 @@ def test_packing_empty(spark):
 
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
-    rows = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 1, 0], [0, 1, 1]])
+    patterns = cube.Patterns.of([[0], [1], [2], [0, 1], [1, 2]], 3)
+    rows = patterns.dense(np.arange(5)).T
     pattern = rng.integers(0, 5, 400)
     first = np.array([0.3, 0.2, 0.5, 0.45, 0.7])[pattern]
-    p = cube.flight(first, first, pattern, rows, rng)
+    p = cube.flight(first, first, pattern, patterns, rng)
     assert ((p > 0) & (p < 1)).sum() <= 4
     for j in range(3):
         x = rows[pattern, j]
         assert (x * p).sum() == pytest.approx((x * first).sum(), abs=1e-6) or (x * p / first).sum() == pytest.approx(x.sum(), abs=1e-6)
-    landed = cube.flight(p, first, pattern, rows, rng, np.array([0, 1, 2]))
+    landed = cube.flight(p, first, pattern, patterns, rng, np.array([0, 1, 2]))
     assert set(np.unique(landed)) <= {0.0, 1.0}
 
 
 def test_flight_is_fair():
     rng = np.random.default_rng(1)
-    rows = np.array([[1, 0], [0, 1]])
+    rows = cube.Patterns.of([[0], [1]], 2)
     pattern, first = np.array([0, 0, 1, 1, 1]), np.array([0.2, 0.8, 0.5, 0.25, 0.75])
     mean = np.mean([cube.flight(first, first, pattern, rows, rng, np.array([0, 1])) for _ in range(4000)], axis=0)
     assert np.allclose(mean, first, atol=0.03)
@@ -169,5 +170,18 @@ def test_minimum_that_only_mixed_records_could_fill(spark):
     targets = spark.createDataFrame([("a", 0.9, 0), ("rare", 0.1, 4)], TARGETS)
     rows = [["a"]] * 50 + [["rare"]] * 2 + [["rare", "other"]] * 5
     got = {r.function_name: r for r in cube.cube_sample(samples(spark, rows), targets, fraction=0.2).report.collect()}
-    assert (got["rare"].available, got["rare"].drawn, got["rare"].minimum_met) == (2, 2, False)
-    assert got["a"].minimum_met
+    assert (got["rare"].available, got["rare"].alone, got["rare"].minimum_met) == (7, 2, True) and got["rare"].drawn >= 4
+    assert got["a"].minimum_met and got["a"].alone == 50
+
+
+def test_mixed_records_are_left_where_nothing_needs_them(spark):
+    targets = spark.createDataFrame([("a", 0.9, 0), ("b", 0.1, 2)], TARGETS)
+    made = cube.cube_sample(samples(spark, [["a"]] * 50 + [["b"]] * 20 + [["b", "other"]] * 30), targets, fraction=0.5)
+    assert all("other" not in r.names for r in made.drawn.collect())
+
+
+def test_many_patterns_need_no_dense_table():
+    lists = [[i % 1000, (i * 7 + 1) % 1000] for i in range(20_000)]
+    patterns = cube.Patterns.of(lists, 1000)
+    p = cube.rake(patterns, np.ones(20_000), np.full(1000, 8.0), rounds=20)
+    assert np.allclose(patterns.totals(p), 8, atol=0.5)

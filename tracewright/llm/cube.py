@@ -1,8 +1,9 @@
 """Problem 5: a sample that matches target shares of categories (cube method).
 
-1. Categories of a record are cleaned (blanks, case, hyphens).  Records with a
-   category that has no target are left out, as are those without any; a
-   minimum that only they could fill is reported as not met.
+1. Categories of a record are cleaned (blanks, case, hyphens).  A record that
+   also has a category without target is drawn only where a minimum cannot be
+   filled without it; that category is then no constraint.  Records without
+   any targeted category are left out.
 2. Inclusion probabilities: due counts come from the targets by capped
    water-filling (at least ``min_rows`` where so many exist, at most what
    exists); probabilities are raked to them over the patterns of categories
@@ -51,21 +52,53 @@ def clean_names(names: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(names, F.array()), one), lambda x: x.isNotNull() & (x != ""))))
 
 
-def rake(patterns: np.ndarray, size: np.ndarray, due: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Probability per pattern so that expected counts of categories are as due, as far as 0..1 allows."""
-    total = patterns.T @ size
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate = np.where(total > 0, np.minimum(due / np.maximum(total, 1), 1), 0)
-    p = np.array([min(1.0, max([rate[j] for j in np.flatnonzero(row)], default=0.0)) for row in patterns])
+class Patterns(NamedTuple):
+    """Which categories each pattern has, as index lists (a dense table would grow with both)."""
+
+    start: np.ndarray
+    which: np.ndarray
+    width: int
+
+    @staticmethod
+    def of(lists: list[list[int]], width: int) -> Patterns:
+        start = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64)
+        return Patterns(start, np.array([j for x in lists for j in x], dtype=np.int64), width)
+
+    def dense(self, ids: np.ndarray) -> np.ndarray:
+        """Categories (rows) of the given patterns (columns), 0 or 1."""
+        out = np.zeros((self.width, len(ids)))
+        for c, i in enumerate(ids):
+            out[self.which[self.start[i] : self.start[i + 1]], c] = 1
+        return out
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the patterns' values for each category."""
+        return np.bincount(self.which, weights=np.repeat(values, np.diff(self.start)), minlength=self.width)
+
+
+def rake(patterns: Patterns, size: np.ndarray, due: np.ndarray, spare: np.ndarray | None = None, rounds: int = 500) -> np.ndarray:
+    """Probability per pattern so that expected counts of categories are as due, as far as 0..1 allows.
+
+    ``spare`` patterns serve only categories that the others cannot fill.
+    """
+    spare = np.zeros(len(size), dtype=bool) if spare is None else spare
+    owner = np.repeat(np.arange(len(size)), np.diff(patterns.start))
+    alone, others = patterns.totals(np.where(spare, 0, size)), patterns.totals(np.where(spare, size, 0))
+    short = due > alone + EPS
+    rate = np.where(alone > 0, np.minimum(due / np.maximum(alone, 1), 1), 0.0)
+    fill = np.where(short & (others > 0), np.minimum((due - alone) / np.maximum(others, 1), 1), 0.0)
+    p = np.zeros(len(size))
+    np.maximum.at(p, owner, np.where(spare[owner], fill[patterns.which], rate[patterns.which]))
+    order = np.argsort(patterns.which, kind="stable")
+    members = np.split(owner[order], np.cumsum(np.bincount(patterns.which, minlength=patterns.width))[:-1])
     for _ in range(rounds):
         worst = 0.0
-        for j in range(patterns.shape[1]):
-            has = patterns[:, j] > 0
+        for j, has in enumerate(members):
             now = (p[has] * size[has]).sum()
             if now > 0 and due[j] > 0:
                 p[has] = np.minimum(1.0, p[has] * due[j] / now)
                 worst = max(worst, abs(now - due[j]))
-            elif has.any() and due[j] == 0:
+            elif len(has) and due[j] == 0:
                 p[has] = 0.0
         if worst < 0.01:
             break
@@ -90,11 +123,11 @@ def _kernel(a: np.ndarray) -> np.ndarray | None:
     return v[-1] if rank < a.shape[1] else None
 
 
-def flight(p: np.ndarray, first: np.ndarray, pattern: np.ndarray, rows: np.ndarray, rng: np.random.Generator, land: np.ndarray | None = None) -> np.ndarray:
+def flight(p: np.ndarray, first: np.ndarray, pattern: np.ndarray, patterns: Patterns, rng: np.random.Generator, land: np.ndarray | None = None) -> np.ndarray:
     """Flight phase; with ``land`` (order in which categories are given up) until nothing is open.
 
-    ``rows``: categories of each pattern (0/1); ``first``: the inclusion
-    probabilities before any flight, by which the constraints are weighted.
+    ``first``: the inclusion probabilities before any flight, by which the
+    constraints (one for each category, and the number of records) are weighted.
     """
     p = p.copy()
     # pairs of one pattern and one first probability: any exchange keeps every total
@@ -118,14 +151,14 @@ def flight(p: np.ndarray, first: np.ndarray, pattern: np.ndarray, rows: np.ndarr
                 if p[k] < EPS or p[k] > 1 - EPS:
                     p[k] = round(p[k])
             held = held if 0 < p[held] < 1 else i if 0 < p[i] < 1 else -1
-    balanced = rows[pattern].T / np.maximum(first, EPS)
-    balanced = np.vstack([balanced, np.ones(len(p)) / np.maximum(first, EPS) * first])
-    keep = list(range(balanced.shape[0]))
-    drop = [*land, balanced.shape[0] - 1] if land is not None else []
+    keep = list(range(patterns.width + 1))
+    drop = [*land, patterns.width] if land is not None else []
     waiting = [i for i in range(len(p)) if 0 < p[i] < 1]
     while waiting:
         window = waiting[: len(keep) + 1]
-        u = _kernel(balanced[np.ix_(keep, window)]) if keep else np.eye(1, len(window))[0]
+        # only the columns in the window are made, one more than there are constraints
+        balanced = np.vstack([patterns.dense(pattern[window]) / np.maximum(first[window], EPS), np.ones(len(window))])
+        u = _kernel(balanced[keep]) if keep else np.eye(1, len(window))[0]
         if u is None:
             if not drop:
                 break
@@ -149,7 +182,8 @@ def cube_sample(
 
     ``targets``: ``function_name, target_share, min_rows``.  ``drawn``: ``id,
     names``.  ``report``: ``function_name, target_share, min_rows, available,
-    due, drawn, actual_share, residual, share_met, minimum_met``.
+    alone, due, drawn, actual_share, residual, share_met, minimum_met``
+    (``alone``: of the available records those without any untargeted category).
     """
     spark = records.sparkSession
     wanted = targets.select("function_name", "target_share", "min_rows").limit(MAX_TARGETS + 1).collect()
@@ -157,39 +191,37 @@ def cube_sample(
         raise ValueError(f"more than {MAX_TARGETS} targets")
     names = [r.function_name for r in wanted]
     listed = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    named = records.select(F.col(id_col).cast("long").alias("id"), clean_names(F.col(names_col)).alias("names")).where(F.size("names") > 0)
+    named = records.select(F.col(id_col).cast("long").alias("id"), clean_names(F.col(names_col)).alias("names"))
+    aimed = F.array_intersect("names", listed)
     units = written(
-        named.where(F.size(F.array_except("names", listed)) == 0)
+        named.where(F.size(aimed) > 0)
         .dropDuplicates(["id"])
-        .withColumn("key", F.array_join("names", "\x1f")),
+        .select("id", "names", F.array_join(aimed, "\x1f").alias("key"), (F.size("names") > F.size(aimed)).alias("mixed")),
         "cube",
     )
-    # with the records left out; one row per category comes to the driver
-    held = named.dropDuplicates(["id"]).select(F.explode(F.array_intersect("names", listed)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    existing = {r.name: r.n for r in held.collect()}
-    found = units.groupBy("key").agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    found = units.groupBy("key", "mixed").agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} patterns of categories")
-    found.sort(key=lambda r: r.key)
+    found.sort(key=lambda r: (r.key, r.mixed))
     at = {n: j for j, n in enumerate(names)}
-    rows = np.zeros((len(found), len(names)))
-    for i, r in enumerate(found):
-        for n in r.key.split("\x1f"):
-            rows[i, at[n]] = 1
+    patterns = Patterns.of([[at[n] for n in r.key.split("\x1f")] for r in found], len(names))
     size = np.array([r.n for r in found], dtype=float)
-    available = rows.T @ size if len(found) else np.zeros(len(names))
+    mixed = np.array([r.mixed for r in found], dtype=bool)
+    available = patterns.totals(size)
+    alone = patterns.totals(np.where(mixed, 0, size))
     weights = {n: float(r.target_share or 0) for n, r in zip(names, wanted, strict=True)}
-    caps = {n: float(a) for n, a in zip(names, available, strict=True)}
+    caps = {n: float(a) for n, a in zip(names, alone, strict=True)}
     minimum = np.array([min(float(r.min_rows or 0) + MARGIN, a) for r, a in zip(wanted, available, strict=True)])
-    filled = water_fill(weights, caps, fraction * available.sum())
+    filled = water_fill(weights, caps, fraction * alone.sum())
     due = np.maximum(np.array([filled[n] for n in names]), minimum) if names else np.zeros(0)
-    p = rake(rows, size, due) if len(found) else np.zeros(0)
-    chances = spark.createDataFrame([(r.key, i, float(p[i])) for i, r in enumerate(found)], "key string, pattern int, p double")
+    p = rake(patterns, size, due, mixed) if len(found) else np.zeros(0)
+    chances = spark.createDataFrame([(r.key, r.mixed, i, float(p[i])) for i, r in enumerate(found)], "key string, mixed boolean, pattern int, p double")
+    held = spark.sparkContext.broadcast(patterns)  # at most MAX_PATTERNS index lists
     shards = max(1, math.ceil(size.sum() / shard_rows))
     order = np.argsort([weights[n] for n in names])
-    fly = _flyer(rows, seed, None)
+    fly = _flyer(held, seed, None)
     state = written(
-        units.join(F.broadcast(chances), "key")  # at most MAX_PATTERNS rows
+        units.join(F.broadcast(chances), ["key", "mixed"])  # at most MAX_PATTERNS rows
         .select("id", "pattern", "p", F.col("p").alias("first"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).alias("shard"))
         .where("p > 0")
         .groupBy("shard")
@@ -204,23 +236,24 @@ def cube_sample(
         rest = written(rest.withColumn("shard", F.floor(F.col("shard") / FAN)).groupBy("shard").applyInPandas(fly, _STATE), "cube")
         done.append(rest.where("p = 1").select("id"))
         rest = rest.where("p < 1")
-    landed = written(rest.withColumn("shard", F.lit(0).cast("long")).groupBy("shard").applyInPandas(_flyer(rows, seed, order), _STATE), "cube")
+    landed = written(rest.withColumn("shard", F.lit(0).cast("long")).groupBy("shard").applyInPandas(_flyer(held, seed, order), _STATE), "cube")
     chosen = landed.where("p = 1").select("id")
     for d in done:
         chosen = chosen.unionByName(d)
     drawn = units.join(chosen, "id", "left_semi").select("id", "names")
     facts = spark.createDataFrame(
-        [(n, weights[n], int(r.min_rows or 0), int(a), existing.get(n, 0), float(d)) for n, r, a, d in zip(names, wanted, available, due, strict=True)],
-        "function_name string, target_share double, min_rows long, available long, existing long, due double",
+        [(n, weights[n], int(r.min_rows or 0), int(a), int(o), float(d)) for n, r, a, o, d in zip(names, wanted, available, alone, due, strict=True)],
+        "function_name string, target_share double, min_rows long, available long, alone long, due double",
     )
+    # marks without target count in the shares
     got = drawn.select(F.explode("names").alias("function_name")).groupBy("function_name").agg(F.count("*").alias("n"))
-    marks = F.sum(F.coalesce("n", F.lit(0))).over(_everything())
-    share = F.when(marks > 0, F.coalesce("n", F.lit(0)) / marks).otherwise(0.0)
+    got = got.withColumn("marks", F.sum("n").over(_everything()))
+    share = F.coalesce(F.col("n") / F.col("marks"), F.lit(0.0))
     report = facts.join(got, "function_name", "left").select(
-        "function_name", "target_share", "min_rows", "available", "due", F.coalesce("n", F.lit(0)).alias("drawn"), share.alias("actual_share"),
+        "function_name", "target_share", "min_rows", "available", "alone", "due", F.coalesce("n", F.lit(0)).alias("drawn"), share.alias("actual_share"),
         (F.coalesce("n", F.lit(0)) - F.col("due")).alias("residual"),
         (F.abs(share - F.col("target_share")) <= 0.01).alias("share_met"),
-        (F.coalesce("n", F.lit(0)) >= F.least("min_rows", "existing")).alias("minimum_met"),
+        (F.coalesce("n", F.lit(0)) >= F.least("min_rows", "available")).alias("minimum_met"),
     )
     return CubeSample(drawn, report)
 
@@ -231,11 +264,11 @@ def _everything():
     return Window.partitionBy(F.lit(1))
 
 
-def _flyer(rows: np.ndarray, seed: int, land: np.ndarray | None):
+def _flyer(held, seed: int, land: np.ndarray | None):
     def fly(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
         rng = np.random.default_rng([seed, int(group["shard"].iloc[0]), len(group)])
-        p = flight(group["p"].to_numpy(), group["first"].to_numpy(), group["pattern"].to_numpy(), rows, rng, land)
+        p = flight(group["p"].to_numpy(), group["first"].to_numpy(), group["pattern"].to_numpy(), held.value, rng, land)
         out = group.assign(p=p)
         return out[out["p"] > 0][["id", "pattern", "p", "first", "shard"]]
 

@@ -120,7 +120,7 @@ def mix_sources(
         "mix",
     )
     names = targets.select("source").distinct()
-    have = {r.source: r.n for r in counts.join(names, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    have = {r.source: r.n for r in counts.join(F.broadcast(names), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     weights = {r.source: float(r.target_share or 0) for r in wanted}
     caps = {r.source: float(have.get(r.source, 0)) * max(int(r.max_repeats or 0), 0) for r in wanted}
     total = float(total_tokens if total_tokens is not None else sum(have.values()))
@@ -136,11 +136,12 @@ def mix_sources(
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = (
         by_bucket.withColumn("_before", before)
-        .join(plans.select("source", "_rest"), "source")
+        .join(F.broadcast(plans.select("source", "_rest")), "source")
         .where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("n") >= F.col("_rest")))
         .select("source", F.col("_bucket").alias("_cut"), "_before")
     )
-    rows = counts.join(plans.select("source", "_whole", "_rest"), "source").join(cut, "source", "left")
+    # one row per target source on either side, at most MAX_TARGETS
+    rows = counts.join(F.broadcast(plans.select("source", "_whole", "_rest")), "source").join(F.broadcast(cut), "source", "left")
     earlier = rows.where("_rest > 0 and (_cut is null or _bucket < _cut)").withColumn("_extra", F.lit(1))
     later = rows.where("not (_rest > 0 and (_cut is null or _bucket < _cut)) and not (_rest > 0 and _bucket = _cut)").withColumn("_extra", F.lit(0))
     running = F.sum("tokens").over(Window.partitionBy("source").orderBy("_hash", "id").rowsBetween(Window.unboundedPreceding, 0))

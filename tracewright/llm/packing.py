@@ -10,8 +10,9 @@ lengths are shuffled.  In a shard:
 3. With so few sizes, the best use of configurations (which sizes share a
    container) is a linear programme, solved by column generation with a
    knapsack as the pricing step; whole containers are taken from it.
-4. The actual items replace the rounded ones, largest first; the last place of a
-   container goes to the longest item that fits what rounding left over.
+4. Actual items of the planned groups replace the rounded ones, the longest of
+   a group first; in the last place of a container an item of a longer group, if
+   rounding left the room for it.
 5. What is left over, and then the small items, go where they fit best.
 
 Defined results: items without text (null or length 0) take no room and are
@@ -37,50 +38,80 @@ GROUPS = 128
 EPS = 0.15
 #: Resolution of the capacity in the pricing knapsack.
 UNITS = 2048
+#: Configurations that a pricing step gives besides the best one.
+EXTRA = 24
+#: How far the plan may be from the optimum.
+GAP = 5e-4
 MAX_PACKS = 1_000
 #: Most partitions that shards are spread over.
 MAX_TASKS = 20_000
 _PLACED = "pack_name string, capacity long, id long, piece int, start long, length long, shard long, container long"
 
 
-def _price(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: best value and how often each size is used."""
+def _columns(sizes: np.ndarray, values: np.ndarray, room: int) -> np.ndarray:
+    """Unbounded knapsack over all sizes at once: the best configuration of all, first, and the best with each size."""
+    # of sizes in rising order only those that are worth more than all smaller ones
+    rising = np.argsort(sizes, kind="stable")
+    worth = np.concatenate([[0.0], np.maximum.accumulate(values[rising])[:-1]])
+    rising = rising[values[rising] > worth + 1e-12]
     best = np.zeros(room + 1)
     choice = np.full(room + 1, -1)
-    for _ in range(room // max(int(sizes.min()), 1)):
-        changed = False
-        for g in np.flatnonzero(values > 1e-12):
-            s = int(sizes[g])
-            tried = best[: room + 1 - s] + values[g]
-            better = tried > best[s:] + 1e-12
-            if better.any():
-                best[s:][better] = tried[better]
-                choice[s:][better] = g
-                changed = True
-        if not changed:
-            break
-    use = np.zeros(len(sizes))
-    at = int(best.argmax())
-    while at >= 0 and choice[at] >= 0 and use.sum() <= room:
-        use[choice[at]] += 1
-        at -= int(sizes[choice[at]])
-    return float(values @ use), use
+    if len(rising):
+        s, v = sizes[rising], values[rising]
+        upto = np.searchsorted(s, np.arange(room + 1), "right")
+        for r in range(int(s[0]), room + 1):
+            tried = best[r - s[: upto[r]]] + v[: upto[r]]
+            g = int(tried.argmax())
+            if tried[g] > best[r - 1] + 1e-12:
+                best[r], choice[r] = tried[g], rising[g]
+            else:
+                best[r] = best[r - 1]
+
+    def use(at: int, first: int | None = None) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        if first is not None:
+            out[first] += 1
+            at -= int(sizes[first])
+        while at > 0:
+            if choice[at] < 0:
+                at -= 1
+                continue
+            out[choice[at]] += 1
+            at -= int(sizes[choice[at]])
+        return out
+
+    found = [use(room)]
+    starts = values + best[room - sizes]
+    found += [use(room, int(g)) for g in np.argsort(-starts)[:EXTRA]]
+    return np.unique(np.array(found), axis=0)
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, room: int, steps: int = 1000) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used in an optimal fractional packing."""
+def configurations(sizes: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used in an optimal fractional packing.
+
+    Column generation: the knapsack is solved only when no configuration found
+    before still improves the plan, and gives several at a time.  It ends where
+    the plan is proved to be within ``GAP`` of the best: a best configuration
+    worth v at the present duals bounds the optimum by the plan's size over v.
+    """
     m = len(sizes)
     basis = np.diag(np.floor(room / sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     amount = inverse @ counts
-    for _ in range(steps):
+    pool = np.zeros((0, m))
+    while True:
         duals = inverse.sum(axis=0)
-        value, column = _price(sizes, duals, room)
-        if value <= 1 + 1e-7:
-            break
+        worth = pool @ duals
+        if not len(worth) or worth.max() <= 1 + GAP:
+            pool = np.unique(np.vstack([pool, _columns(sizes, np.maximum(duals, 0), room)]), axis=0)
+            worth = pool @ duals
+            if worth.max() <= 1 + GAP:
+                break
+        column = pool[int(worth.argmax())]
         step = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(step > 1e-9, amount / step, np.inf)
+            # a little more than 0 instead of 0, so that no step stands still
+            ratio = np.where(step > 1e-9, np.maximum(amount, 1e-9 * (1 + np.arange(m) / m)) / step, np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
@@ -108,25 +139,29 @@ def pack(lengths: np.ndarray, capacity: int, groups: int = GROUPS, eps: float =
         whole = int(capacity / unit)
         sizes = np.minimum(np.ceil(tops / unit).astype(int), whole)
         counts = np.array([len(p) for p in parts])
-        pool = sorted((int(lengths[i]), int(i)) for i in large)
+        # of each group the items in rising order
+        pool = [[(int(lengths[i]), int(i)) for i in reversed(p)] for p in parts]
+        shortest = [-int(lengths[p[-1]]) for p in parts]
         plan = configurations(sizes, counts, whole)
         # the fullest configurations first, while there are items to choose from
         plan.sort(key=lambda x: -float(x[0] @ tops))
         for config, amount in plan:
-            slots = [int(tops[g]) for g in np.flatnonzero(config) for _ in range(int(config[g]))]
+            slots = [int(g) for g in np.flatnonzero(config) for _ in range(int(config[g]))]
             for _ in range(int(amount + 1e-9)):
                 space = capacity
-                for n_slot, top in enumerate(slots):
-                    # an item of the planned group; in the last place the longest that fits
-                    most = space if n_slot == len(slots) - 1 else min(top, space)
-                    k = bisect.bisect_right(pool, (most, n)) - 1
-                    if k < 0:
-                        break
-                    size, i = pool.pop(k)
-                    container[i] = len(room)
-                    space -= size
+                for at, g in enumerate(slots):
+                    # the longest item of the planned group that fits, none being longer than the group was rounded to;
+                    # in the last place a longer one, if rounding has left the room for it
+                    longer = range(bisect.bisect_left(shortest, -space), g) if at == len(slots) - 1 else ()
+                    h = next((h for h in longer if pool[h] and pool[h][0][0] <= space), g)
+                    k = bisect.bisect_right(pool[h], (space, n)) - 1
+                    if k >= 0:
+                        size, i = pool[h].pop(k)
+                        container[i] = len(room)
+                        space -= size
                 if space < capacity:
                     room.append(space)
+        pool = sorted(x for group in pool for x in group)
         left = [i for _, i in reversed(pool)]
     # best fit: the container with the least room that suffices
     free = sorted((r, b) for b, r in enumerate(room))

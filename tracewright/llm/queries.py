@@ -76,7 +76,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 def _packing(spark: SparkSession, d: str) -> packing.Packing:
     samples = _t(spark, d, "samples")
     length = F.aggregate(F.coalesce("messages", F.array()), F.lit(0).cast("long"), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0)))
-    packs = _t(spark, d, "pack_limits").where("unit = 'chars'")
+    packs = _t(spark, d, "pack_limits")
+    other = packs.where("unit is null or unit <> 'chars'").select("unit").first()
+    if other is not None:
+        raise ValueError(f"lengths are in chars, not in {other.unit}")
     return packing.pack_items(samples.select(F.col("sample_id").alias("id"), length.alias("length")), packs)
 
 
