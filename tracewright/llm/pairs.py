@@ -77,22 +77,24 @@ def shortened_responses(pairs: DataFrame, features: DataFrame) -> DataFrame:
     a hash with an open one are sorted by their text and compared with the
     neighbours that follow (:func:`tracewright.llm.truncation.shortened`).
     """
-    texts = pairs.where("response is not null").select(F.col("response").alias("text"))
     power = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
     head = lambda t, i: F.xxhash64(i, F.substring(t, F.lit(1), F.pow(F.lit(2), i).cast("int")))
-    short = features.where("length(open_text) > 0").select("table_name", "record_id", F.col("open_text").alias("text"), power(F.length("open_text")).alias("i"))
-    short = short.select("*", head(F.col("text"), F.col("i")).alias("head"))
-    sizes = [r.i for r in short.select("i").distinct().collect()]  # at most 31 powers of two
+    # a hash names a row; a collision would only sort a text more
+    row = F.xxhash64("table_name", "record_id").alias("row")
+    texts = pairs.where("response is not null").select(row, F.col("response").alias("text"))
+    opened = features.where("length(open_text) > 0").select("table_name", "record_id", F.col("open_text").alias("text"), power(F.length("open_text")).alias("i"))
+    short = opened.select("*", row, head(F.col("text"), F.col("i")).alias("head"))
+    sizes = sorted(r.i for r in short.select("i").distinct().collect())  # at most 31 powers of two
     if not sizes:
         return short.select("table_name", "record_id")
-    heads = F.array(*[F.when(F.length("text") > (1 << i), head(F.col("text"), F.lit(i))) for i in sorted(sizes)])
-    long = (
-        texts.select("text", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("head"))
-        .join(short.select("head").distinct(), "head", "left_semi")
-        .select("text")
-    )
-    every = long.unionByName(short.select("text")).distinct().withColumn("support", F.lit(1).cast("long"))
-    return short.join(shortened(every).select("text"), "text", "left_semi").select("table_name", "record_id").distinct()
+    # hashes only are shuffled: a text gives one for each power of two within its length
+    heads = F.array(*[F.when(F.length("text") >= (1 << i), head(F.col("text"), F.lit(i))) for i in sizes])
+    placed = texts.select("row", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("head"))
+    shared = placed.groupBy("head").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("head")
+    wanted = written(short.join(shared, "head", "left_semi").select("table_name", "record_id", "text", "head"), "short")
+    near = placed.join(wanted.select("head").distinct(), "head", "left_semi").select("row").distinct()
+    every = written(texts.join(near, "row", "left_semi").select("text").distinct().withColumn("support", F.lit(1).cast("long")), "short")
+    return wanted.join(shortened(every).select("text"), "text", "left_semi").select("table_name", "record_id").distinct()
 
 
 def stands(result: str, *contexts: str | None) -> bool | None:
