@@ -68,3 +68,10 @@ def test_numbered_lines(spark, tmp_path):
     path.write_text('{"text": "a"}\n\n{"text": "b"}\n')
     got = jsonl.read_numbered(spark, str(path), schemas.schema("text string")).orderBy("index").collect()
     assert [(r.id, r["index"], r.text) for r in got] == [("sample_1", 0, "a"), ("sample_3", 1, "b")]
+
+
+def test_ascii_lines(spark, tmp_path):
+    df = spark.createDataFrame([("ü \U0001f600 \u20ac", 1), ("plain", 2), (None, 3)], "a string, b int")
+    jsonl.write_jsonl_ascii(df, str(tmp_path / "a.jsonl"))
+    lines = [x for f in (tmp_path / "a.jsonl").glob("part-*") for x in f.read_bytes().decode("ascii").splitlines()]
+    assert sorted((json.loads(x) for x in lines), key=lambda x: x["b"]) == [{"a": "ü \U0001f600 \u20ac", "b": 1}, {"a": "plain", "b": 2}, {"b": 3}]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import random
 import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +117,18 @@ def test_every_forward_transform_is_in_the_matrix(spark):
     docs = spark.createDataFrame([(1, "First point\n\nSecond point.")], "doc_id long, text string")
     got = {r.function_name: r.accuracy for r in evaluators.forward_matrix(docs).collect()}
     assert set(got) == {n for n in tr.FORWARD if n in evaluators.EVALUATORS} and got["render_as_html_forward"] == 1
+
+
+def test_hypernyms(spark):
+    df = spark.createDataFrame([("Two jars, a crate and some jars.", "jar of honey"), ("nothing", "crate and jars"), (None, "x")], "t string, g string")
+    got = df.select(tr.hypernym_groups(F.col("t")).alias("h"), evaluators.hypernyms(F.col("t"), F.col("g")).alias("s"), tr.hypernyms_backward(F.col("t")).alias("b")).collect()
+    assert [(x.hypernym, x.nouns) for x in got[0].h] == [("container", ["crate", "jars"])] and got[0].s == 1
+    assert "container: crate, jars" in got[0].b.description
+    assert (got[1].h, got[1].s, got[1].b.description) == ([], 0, None) and got[2].s is None
+
+
+def test_repeats_against_counter(spark):
+    rows = [(i, [random.Random(i).choice("abc") for _ in range(i)]) for i in range(12)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, x array<string>")
+    for r in df.select("x", features.repeats(F.col("x")).alias("n")).collect():
+        assert (r.x is None and r.n is None) or [(p.phrase, p.n) for p in r.n] == sorted((k, v) for k, v in Counter(r.x).items() if v > 1)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import external
-from tracewright.operators import dataset, grading, metrics, pipeline, trace, viewer
+from tracewright.operators import dataset, grading, instruct, metrics, pipeline, trace, viewer
 from tracewright.operators.instruct import prompt
+from tracewright.plans import annotate, backward, verify
 
 
 def column(spark, make, values, kind="string"):
@@ -71,11 +72,76 @@ def test_numbers_of_many_partitions_are_distinct(spark, adaptive):
     assert got == list(range(1, 20_001))
 
 
+@pytest.mark.parametrize("wide", [True, False])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_a_large_table(spark, adaptive, wide):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(400_000).select(F.xxhash64("id").alias("k"), F.repeat(F.col("id").cast("string"), 20 if wide else 0).alias("t"))
+        got = dataset.numbered(rows if wide else rows.select("k"), "k").agg(F.countDistinct("row_no"), F.min("row_no"), F.max("row_no")).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tuple(got) == (400_000, 1, 400_000)
+
+
+def test_first_per_json(spark):
+    rows = [(1, '{"a": 1, "b": 2}'), (2, '{"b": 2, "a": 1}'), (3, "no json"), (4, "no json"), (5, None), (6, None), (7, "[1")]
+    df = spark.createDataFrame(rows, "id long, v string")
+    assert sorted(r.id for r in dataset.first_per_json(df, "v", "id").collect()) == [1, 3, 5, 7]
+
+
+def test_generation_by_length(spark):
+    class Sizes:
+        def __call__(self, prompts):
+            assert len({len(p) // 10 for p in prompts}) == 1 and len(prompts) <= max(1, 4 // (1 + len(prompts[0]) // 10))
+            return [f"{len(p)}!rest" for p in prompts]
+
+    df = spark.createDataFrame([(i, "x" * (i * 7 % 40 + 1)) for i in range(30)], "id long, prompt string").coalesce(1)
+    got = {r.id: r.answer for r in external.generated_by_length(df, Sizes, batch=4, width=10, stops=("!",)).collect()}
+    assert got == {i: str(i * 7 % 40 + 1) for i in range(30)}
+
+
+def test_annotation_defaults(spark):
+    df = spark.createDataFrame([(1, ["a 5\nb 6", "none here"]), (2, []), (3, None)], "trace_id long, chunks array<string>")
+    got = annotate.annotated(df).collect()
+    assert [r.trace_id for r in got] == [1] and len(got[0].annotation) == 2
+    bad = df.where("trace_id = 1").select(annotate.annotation_of(F.lit("no list"), F.col("chunks")).alias("a")).first().a
+    assert [(x.id, x.result, x.correct) for x in bad] == [("0", None, None), ("1", None, None)]
+
+
+def test_whole_plan(spark):
+    seeds = spark.createDataFrame([(i, f"Write line {i}.") for i in range(40)], "instruction_id long, instruction string")
+    queries = spark.createDataFrame([("How many jars?",), ("Which road?",), (None,)], "query string").where("query is not null")
+    made = verify.generate_verify_filter(seeds, queries)
+    rows = made.responses.collect()
+    assert rows and len({r.response_id for r in rows}) == len(rows)
+    assert {r.instruction_id for r in rows} <= {r.instruction_id for r in made.instructions.collect()} <= {r.instruction_id for r in made.functions.collect()}
+    assert made.preferences.count() == len(rows) and made.preferences.where("is_positive = 1").count() == sum(r.kept for r in rows)
+    assert verify.generate_verify_filter(seeds.limit(0), queries).responses.count() == 0
+
+
+def test_backward_samples(spark):
+    message = lambda q, a: [("user", q), ("assistant", f"<think>\n{a}\n</think>\n\nDone.")]
+    rows = [(i, message(f"Question {i}?", "The jar and the crate. The jar and the crate.")) for i in range(10)] + [(10, None), (11, [("user", "x")])]
+    df = spark.createDataFrame(rows, "sample_id long, messages array<struct<role:string,content:string>>")
+    got = backward.backward_samples(df, instruct.template_table(spark)).collect()
+    assert sorted((r.sample_id, r.part) for r in got) == [(i, "train" if i < 9 else "test") for i in range(10)]
+    asked = got[0].messages[0].content
+    assert "container" in asked and "Question" in asked and "repeated" not in asked
+
+
 def test_first_per_value_keeps_nulls_and_ties(spark):
     df = spark.createDataFrame([(2, "a"), (1, "a"), (3, None), (4, None)], "id long, v string")
     assert sorted((r.id, r.v) for r in dataset.first_per_value(df, ["v"], "id").collect()) == [(1, "a"), (3, None)]
 
 
+def test_templates():
+    assert len(instruct.TEMPLATES) == 15 and all(len(set(x)) == 10 and all("{value}" in y for y in x) for x in instruct.TEMPLATES.values())
+
+
 def test_canonical_json(spark):
     assert column(spark, dataset.canonical_json, ['{"b":1,"a":2}', None]) == ['{"a": 2, "b": 1}', None]
 

@@ -9,6 +9,8 @@ without a network.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -41,6 +43,53 @@ class HashJudge:
         return [f"Score: {int(hashlib.md5(p.encode()).hexdigest(), 16) % 11}" for p in prompts]
 
 
+def _number(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest(), 16)
+
+
+class FunctionWriter:
+    """Stand-in for a writer of checking functions: a name of the registry and three cases, or now and then nothing usable."""
+
+    NAMES = ("upper_case_forward", "lower_case_forward", "commas_to_semicolons_forward", "full_stops_to_exclamation_marks_forward")
+    INPUTS = ("AB.", "ab;", "Ab, c")
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [self._one(_number(p)) for p in prompts]
+
+    def _one(self, n: int) -> str:
+        if n % 7 == 0:
+            return "I have no function for that."
+        cases = [{"input": x, "output": "True" if n // 2**i % 2 else "False"} for i, x in enumerate(self.INPUTS)]
+        return "```json\n" + json.dumps({"func": self.NAMES[n % 4] + "\nimport requests", "cases": cases}) + "\n```"
+
+
+class BackTranslator:
+    """Stand-in: three instructions for a function, the last one negated for some."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [json.dumps(["Write so that it holds.", "Follow it.", "Do not follow it." if _number(p) % 5 == 0 else "Keep to it."]) for p in prompts]
+
+
+class CaseResponder:
+    """Stand-in for a writer of responses: the query in capitals, in small letters or as it is."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        forms = (str.upper, str.lower, str)
+        return [forms[_number(p) % 3](p.rsplit("[Query] ", 1)[-1]) for p in prompts]
+
+
+class ChunkAnnotator:
+    """Stand-in for an annotator: for each numbered chunk its last number as result; every seventh prompt gets no list."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            found = re.findall(r"(?m)^\[(\d+)\] (.*)$", p)
+            rows = [{"id": i, "result": (re.findall(r"[0-9]+", c) or [""])[-1], "correct": True} for i, c in found]
+            out.append("none" if _number(p) % 7 == 0 else "```json\n" + json.dumps(rows) + "\n```")
+        return out
+
+
 def call_with_retry(generator: Generator, prompts: list[str], tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> list[str]:
     """Answers, trimmed and without an echoed prompt; empty after ``tries`` failures, with waits that double."""
     for n in range(tries):
@@ -71,6 +120,34 @@ def generated(
     return rows.mapInPandas(run, schema)
 
 
+def generated_by_length(
+    rows: DataFrame, generator: Callable[[], Generator], *, prompt_col: str = "prompt", out_col: str = "answer", batch: int = 16, width: int = 20_000, stops: tuple[str, ...] = (),
+) -> DataFrame:
+    """As :func:`generated`, but prompts of like length go together, long ones in smaller batches.
+
+    Within each task rows are sorted by length; nothing is shuffled.  Answers
+    stay in the row of their prompt and end before the first stop mark.
+    """
+    schema = T.StructType(rows.schema.fields + [T.StructField(out_col, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = generator()
+        for b in batches:
+            prompts = b[prompt_col].fillna("").tolist()
+            order = sorted(range(len(prompts)), key=lambda i: len(prompts[i]))
+            answers = [""] * len(prompts)
+            at = 0
+            while at < len(order):
+                bucket = len(prompts[order[at]]) // width
+                part = [i for i in order[at : at + max(1, batch // (1 + bucket))] if len(prompts[i]) // width == bucket]
+                for i, a in zip(part, call_with_retry(g, [prompts[i] for i in part]), strict=True):
+                    answers[i] = min((a.split(s, 1)[0] for s in stops), key=len, default=a)
+                at += len(part)
+            yield b.assign(**{out_col: answers})
+
+    return rows.mapInPandas(run, schema)
+
+
 class _Checker(HTMLParser):
     """Counts tags that are closed without being open, or left open."""
 

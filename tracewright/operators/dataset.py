@@ -103,27 +103,47 @@ def members(df: DataFrame, column: str, names: list[str]) -> DataFrame:
 
 
 def first_per_value(df: DataFrame, values: list[str], *order: str) -> DataFrame:
-    """The first row of each combination of values.
+    """The first row of each combination of values; nulls are a value.
 
     A minimum over the order, aggregated before the shuffle, so a value that
-    fills a third of the table costs one row per task; nulls are a value.
+    fills a third of the table costs one row per task.  Long values are moved
+    as a 128-bit digest and come along with the row they belong to.
     """
-    rest = [c for c in df.columns if c not in values]
-    key = [*order, *[c for c in rest if c not in order]]
-    best = df.groupBy(*values).agg(F.min(F.struct(*key)).alias("_first"))
-    return best.select(*[F.col(c) if c in values else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    key = [*order, *[c for c in df.columns if c not in order]]
+    digest = F.struct(*[F.md5(F.col(c).cast("string")) if c in _texts(df) else F.col(c) for c in values])
+    best = df.groupBy(digest.alias("_d")).agg(F.min(F.struct(*key)).alias("_first"))
+    return best.select(*[F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
+def _texts(df: DataFrame) -> set[str]:
+    return {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+
+
+def _canonical(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False)
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(T.StringType())
 def _canonical_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, ensure_ascii=False))
+    return texts.map(_canonical)
 
 
 def canonical_json(column: Column) -> Column:
-    """JSON text in which the keys of objects are sorted, for comparison."""
+    """JSON text in which the keys of objects are sorted, for comparison; null where the text is no JSON."""
     return _canonical_json(column)
 
 
+def first_per_json(df: DataFrame, column: str, *order: str) -> DataFrame:
+    """The first row of each JSON value, whatever the order of its keys; texts that are no JSON count as they stand."""
+    keyed = df.withColumn("_value", F.coalesce(canonical_json(F.col(column)), F.col(column)))
+    return first_per_value(keyed, ["_value"], *order).drop("_value")
+
+
 def new_values(candidates: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """Distinct candidates that are not known yet."""
     return candidates.dropDuplicates([column]).join(known.select(column).distinct(), column, "left_anti")
@@ -164,3 +184,10 @@ def length_buckets(df: DataFrame, text: Column, batch: int, width: int = 20_000)
     """Bucket by length and the batch size for it: longer texts go in smaller batches."""
     bucket = F.floor(F.length(text) / width).cast("int")
     return df.withColumn("bucket", bucket).withColumn("batch_size", F.greatest(F.lit(1), F.floor(F.lit(batch) / (1 + F.col("bucket"))).cast("int")))
+
+
+def cut_at(text: Column, stops: list[str]) -> Column:
+    """The text before the first of the stop marks."""
+    for stop in stops:
+        text = F.substring_index(text, stop, 1)
+    return text

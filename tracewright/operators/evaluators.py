@@ -142,6 +142,12 @@ def palindromes(text: Column, gt: Column) -> Column:
     return _bit(_subset(tr.palindromes(text), tr.palindromes(gt)))
 
 
+def hypernyms(text: Column, gt: Column) -> Column:
+    """The things that the picked kind of the reference names are named in the text; true if the reference has no such kind."""
+    wanted = F.coalesce(tr.picked_hypernym(gt)["nouns"], F.array().cast("array<string>"))
+    return F.when(text.isNotNull(), _bit(_subset(wanted, F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))))
+
+
 def paragraph_count(text: Column, gt: Column) -> Column:
     return _bit(tr.paragraph_count(text) == tr.paragraph_count(gt))
 
@@ -181,6 +187,7 @@ EVALUATORS: dict[str, Evaluator] = {
     "insert_sentence_divider_forward": insert_sentence_divider,
     "render_as_html_forward": render_as_html,
     "palindromes_backward": palindromes,
+    "hypernyms_backward": hypernyms,
     "paragraph_count_backward": paragraph_count,
     "translate_forward": translate,
     "replace_words_with_emojis": replace_words_with_emojis,
@@ -204,6 +211,19 @@ def dispatch(name: Column, text: Column, gt: Column, functions: list[str] | None
     return out
 
 
+def scores(names: Column, text: Column, gt: Column) -> Column:
+    """``array<struct<function_name, score>>`` of all evaluators in the array ``names``, in one projection.
+
+    Evaluators that are not named are not evaluated; a name without evaluator
+    has a null score.
+    """
+    wanted = lambda n: F.array_contains(names, n)
+    entry = lambda n, s: F.struct(F.lit(n).alias("function_name"), s.cast("long").alias("score"))
+    known = [F.when(wanted(n), entry(n, EVALUATORS[n](F.when(wanted(n), text) if n in EXTERNAL else text, gt))) for n in sorted(EVALUATORS)]
+    other = F.transform(F.array_except(names, F.array(*[F.lit(n) for n in EVALUATORS])), lambda n: F.struct(n.alias("function_name"), F.lit(None).cast("long").alias("score")))
+    return F.concat(F.filter(F.array(*known), lambda x: x.isNotNull()), other)
+
+
 def forward_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each forward transform applied and judged: mean score and count per function."""
     names = [n for n in tr.FORWARD if n in EVALUATORS]

@@ -51,36 +51,49 @@ def is_haiku(text: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_count(F.lower(x), F.lit("[aeiouy]+"))) == F.array(F.lit(5), F.lit(7), F.lit(5))
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scalar features of each document, in one projection."""
-    text = F.col(text_col)
-    return docs.select(
-        id_col,
+def scalars(text: Column) -> list[Column]:
+    return [
         word_count(text).alias("word_count"),
         unique_word_count(text).alias("unique_word_count"),
         sentence_count(text).alias("sentence_count"),
         tr.paragraph_count(text).alias("paragraph_count"),
         uppercase_word_count(text).alias("uppercase_word_count"),
-        F.size(tr.palindromes(text)).cast("long").alias("palindromes"),
-    )
+    ]
 
 
-def _phrases(docs: DataFrame, found: Column, id_col: str, least: int = 2) -> DataFrame:
-    """Phrases that occur ``least`` times or more in a document: ``id, phrase, n``.
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scalar features of each document, in one projection."""
+    text = F.col(text_col)
+    return docs.select(id_col, *scalars(text), F.size(tr.palindromes(text)).cast("long").alias("palindromes"))
+
 
-    Counting is per document, so rows are aggregated before the shuffle.
+def repeats(found: Column, least: int = 2) -> Column:
+    """The texts that an array holds ``least`` times or more: ``array<struct<phrase, n>>`` by phrase.
+
+    Counted in the row: the array is sorted and the lengths of its runs are
+    read off, so nothing is shuffled.
     """
-    return (
-        docs.select(F.col(id_col), F.explode(found).alias("phrase"))
-        .groupBy(id_col, "phrase")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= least)
-    )
+
+    def runs(s: Column) -> Column:
+        last = lambda i: (i == F.size(s)) | (F.element_at(s, i) != F.element_at(s, F.least(i + 1, F.size(s))))
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: (i <= F.size(s)) & last(i))
+        run = lambda e: lambda end, k: F.struct(F.element_at(s, end).alias("phrase"), (end - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("long").alias("n"))
+        return F.filter(t.let(ends, lambda e: F.transform(e, run(e))), lambda r: r["n"] >= least)
+
+    return F.when(found.isNotNull(), t.let(F.array_sort(found), runs))
+
+
+def _phrases(docs: DataFrame, found: Column, id_col: str, least: int = 2) -> DataFrame:
+    """Phrases that occur ``least`` times or more in a row's text: ``id, phrase, n``."""
+    return docs.select(F.col(id_col), F.explode(repeats(found, least)).alias("r")).select(id_col, "r.phrase", "r.n")
+
+
+def _trimmed_sentences(text: Column) -> Column:
+    return F.filter(F.transform(t.sentences(text), t.strip), lambda s: s != "")
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    trimmed = F.filter(F.transform(t.sentences(F.col(text_col)), t.strip), lambda s: s != "")
-    return _phrases(docs, trimmed, id_col)
+    return _phrases(docs, _trimmed_sentences(F.col(text_col)), id_col)
 
 
 def ngrams(found: Column, sizes: tuple[int, ...]) -> Column:
@@ -139,26 +152,39 @@ def paragraph_closings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _phrases(docs, closings(t.lines(F.col(text_col))), id_col)
 
 
-def _map(docs: DataFrame, phrases: DataFrame, name: str, id_col: str) -> DataFrame:
-    folded = phrases.groupBy(id_col).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("phrase", "n")))).alias(name))
-    return docs.join(folded, id_col, "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,bigint>")))
-
-
 def feature_rows(docs: DataFrame, lexicon: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All features of each document in one row, as maps and scalars."""
+    """All features of each document in one row, as maps and scalars: one scan and one projection.
+
+    Only acrostics, which need a ``lexicon``, take a join.
+    """
     text = F.col(text_col)
-    docs = docs.select(id_col, text_col)
-    out = counts(docs, id_col, text_col).drop("palindromes").join(
-        docs.select(id_col, tr.palindromes(text).alias("palindrome"), opens_with_enumeration(text).alias("contains_list_or_enumeration")), id_col
-    )
-    for name, rows in (
-        ("ngram_repetitions", repeated_ngrams), ("repeated_sentences", repeated_sentences), ("sent_starts_with", sentence_openings),
-        ("sent_ends_with", sentence_closings), ("para_starts_with", paragraph_openings), ("para_ends_with", paragraph_closings),
-    ):
-        out = _map(out, rows(docs, id_col=id_col, text_col=text_col), name, id_col)
-    if lexicon is not None:
-        out = out.join(hidden_acrostics(docs, lexicon, id_col, text_col), id_col, "left")
-    return out
+    sentences, paragraphs = F.split(text, r"\. "), t.lines(text)
+    phrases = {
+        "ngram_repetitions": ngrams(t.words(F.lower(text)), (5, 6, 7, 8)),
+        "repeated_sentences": _trimmed_sentences(text),
+        "sent_starts_with": openings(sentences),
+        "sent_ends_with": closings(sentences),
+        "para_starts_with": openings(paragraphs),
+        "para_ends_with": closings(paragraphs),
+    }
+    out = docs.select(
+        id_col, *scalars(text), tr.palindromes(text).alias("palindrome"), opens_with_enumeration(text).alias("contains_list_or_enumeration"),
+        F.map_from_entries(tr.hypernym_groups(text)).alias("common_noun_hypernyms"),
+        *[F.map_from_entries(repeats(found)).alias(name) for name, found in phrases.items()],
+    )
+    return out if lexicon is None else out.join(hidden_acrostics(docs, lexicon, id_col, text_col), id_col, "left")
+
+
+def feature_values(rows: DataFrame, id_col: str = "doc_id", first: int = 3) -> DataFrame:
+    """``id, feature, value``: features as texts, of lists and maps the first entries; empty ones are left out."""
+
+    def shown(name: str, kind: str) -> Column:
+        if kind in ("map", "array"):
+            return F.array_join(F.slice(F.map_keys(name) if kind == "map" else F.col(name), 1, first), ", ")
+        return F.col(name).cast("string")
+
+    named = [F.struct(F.lit(f.name).alias("feature"), shown(f.name, f.dataType.typeName()).alias("value")) for f in rows.schema.fields if f.name != id_col]
+    return rows.select(id_col, F.explode(F.array(*named)).alias("f")).where("f.value <> ''").select(id_col, "f.feature", "f.value")
 
 
 def initials(text: Column) -> Column:

@@ -14,15 +14,30 @@ MAX_CHARS = 12_288
 NOTES = "\n\n## NOTES\n\nInstructions that you must follow in your reasoning chain (the part of your response before your final answer):\n- "
 HEADER = "Thinking Contraints:\n"  # fixed value, spelled as the consumers expect it
 
-#: Default templates per feature; more can be given as a table ``feature, template_no, template``.
-TEMPLATES: dict[str, list[str]] = {
-    "sentence_count": ["Write {value} sentences.", "Let the answer have {value} sentences."],
-    "word_count": ["Write {value} words.", "Let the answer have {value} words."],
-    "unique_word_count": ["Use {value} different words.", "Let {value} words occur."],
-    "paragraph_count": ["Write {value} paragraphs.", "Part the answer into {value} paragraphs."],
-    "uppercase_word_count": ["Write {value} words in capitals.", "Let {value} words be in capitals."],
-    "contains_list_or_enumeration": ["Write {value} an enumeration.", "Let the answer be {value} a list."],
+#: What an instruction on a feature asks for, and the sentences that ask; a template is a pair of both.
+ASKED: dict[str, str] = {
+    "palindrome": "these palindromes: {value}",
+    "uppercase_word_count": "{value} words in capitals",
+    "ngram_repetitions": "these runs of words more than once: {value}",
+    "contains_list_or_enumeration": "a beginning {value} an enumeration",
+    "common_noun_hypernyms": "several things of the kinds: {value}",
+    "paragraph_count": "{value} paragraphs",
+    "hidden_acrostic": "the first letters of sentences spelling: {value}",
+    "para_starts_with": "paragraphs that begin with: {value}",
+    "para_ends_with": "paragraphs that end with: {value}",
+    "sent_starts_with": "sentences that begin with: {value}",
+    "sent_ends_with": "sentences that end with: {value}",
+    "word_count": "{value} words",
+    "sentence_count": "{value} sentences",
+    "repeated_sentences": "these sentences more than once: {value}",
+    "unique_word_count": "{value} different words",
 }
+WAYS = [
+    "Write a text with {what}.", "Let the answer have {what}.", "Answer with {what}.", "The response needs {what}.", "See to it that there are {what}.",
+    "Keep to {what}.", "What you write must have {what}.", "Think in a way that gives {what}.", "Compose it with {what}.", "Your text should contain {what}.",
+]
+#: Default templates per feature; others can be given as a table ``feature, template_no, template``.
+TEMPLATES: dict[str, list[str]] = {name: [way.replace("{what}", what) for way in WAYS] for name, what in ASKED.items()}
 
 
 def template_table(spark, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -40,9 +55,9 @@ def render(values: DataFrame, templates: DataFrame, id_col: str = "doc_id") -> D
     sizes = templates.groupBy("feature").agg(F.count("*").alias("size"))
     shown = F.when(F.col("value") == "true", "with").when(F.col("value") == "false", "without").otherwise(F.col("value"))
     chosen = (
-        values.join(sizes, "feature")
+        values.join(F.broadcast(sizes), "feature")
         .withColumn("template_no", F.pmod(F.col(id_col), F.col("size")).cast("int"))
-        .join(templates, ["feature", "template_no"])
+        .join(F.broadcast(templates), ["feature", "template_no"])
         .select(id_col, "feature", F.replace(F.col("template"), F.lit("{value}"), shown).alias("line"))
     )
     lines = F.transform(F.sort_array(F.collect_list(F.struct("feature", "line"))), lambda s: s["line"])

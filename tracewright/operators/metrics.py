@@ -84,6 +84,14 @@ def latency(rows: DataFrame, group: str, value: Column) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 9).alias("mean"), F.round(F.percentile(value, 0.9), 9).alias("p90"))
 
 
+def throughput(rows: DataFrame, group: str, at: Column, size: Column) -> DataFrame:
+    """Rows, their total size, and both per second between the first and the last of a group; null where no time passed."""
+    seconds = (F.max(F.unix_micros(at)) - F.min(F.unix_micros(at))) / 1e6
+    made = rows.groupBy(group).agg(F.count("*").alias("examples"), F.sum(F.coalesce(size, F.lit(0))).cast("long").alias("size"), seconds.alias("_s"))
+    per = lambda c: F.round(F.when(F.col("_s") > 0, F.col(c) / F.col("_s")), 9)
+    return made.select(group, "examples", "size", per("examples").alias("examples_per_second"), per("size").alias("size_per_second"))
+
+
 def sweep(calls: DataFrame, setting: Column, ok: Column, seconds: Column) -> DataFrame:
     """Per setting: calls, successes, failures and the mean time of the successful ones."""
     return calls.groupBy(setting.alias("setting")).agg(

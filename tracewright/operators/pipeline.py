@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.external import Generator, WordOverlapNli, generated
-from tracewright.functions.text import lines, strip
+from tracewright.functions.text import let, lines, strip
 from tracewright.operators.dataset import new_values, seeded_key
-from tracewright.operators.evaluators import dispatch
+from tracewright.operators.evaluators import scores
 from tracewright.operators.instruct import prompt
 
 # Words that disqualify a line of a generated function.
@@ -79,19 +79,25 @@ def expected(output: Column) -> Column:
     return F.lower(output) == "true"
 
 
+def _listed(functions: DataFrame) -> DataFrame:
+    """The functions of each instruction in one row; they are names in a registry, so the lists are short."""
+    return functions.groupBy("instruction_id").agg(F.array_sort(F.collect_set("function_name")).alias("names"))
+
+
 def tested_functions(functions: DataFrame, cases: DataFrame, least: float = 0.5) -> DataFrame:
     """Functions with their accuracy over the cases that at least one function reproduces.
 
     ``functions``: ``instruction_id, function_name``; ``cases``:
-    ``instruction_id, case_id, input, output``.  The join is per instruction.
-    Functions below ``least`` are dropped; one without cases has accuracy 0.
+    ``instruction_id, case_id, input, output``.  All functions of a case are
+    run in one projection, and only names and bits go on.  Functions below
+    ``least`` are dropped; one without cases has accuracy 0.
     """
-    run = functions.join(cases, "instruction_id").select(
-        "instruction_id", "function_name", "case_id",
-        (dispatch(F.col("function_name"), F.col("input"), F.col("input")).eqNullSafe(expected(F.col("output")).cast("long"))).alias("ok"),
-    )
-    good = run.groupBy("instruction_id", "case_id").agg(F.max("ok").alias("any")).where("any").select("instruction_id", "case_id")
-    score = run.join(good, ["instruction_id", "case_id"], "left_semi").groupBy("instruction_id", "function_name").agg(F.avg(F.col("ok").cast("double")).alias("accuracy"))
+    right = lambda x: F.struct(x["function_name"].alias("function_name"), x["score"].eqNullSafe(expected(F.col("output")).cast("long")).alias("ok"))
+    found = F.transform(scores(F.col("names"), F.col("input"), F.col("input")), right)
+    # bound, since a filter would be pushed below and run all functions again
+    told = let(found, lambda x: F.when(F.exists(x, lambda y: y["ok"]), x))
+    bits = cases.join(_listed(functions), "instruction_id").select("instruction_id", F.explode(told).alias("f"))
+    score = bits.groupBy("instruction_id", F.col("f.function_name").alias("function_name")).agg(F.avg(F.col("f.ok").cast("double")).alias("accuracy"))
     return (
         functions.join(score, ["instruction_id", "function_name"], "left")
         .select("instruction_id", "function_name", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
@@ -141,15 +147,16 @@ def judged(judgements: DataFrame, id_col: str, text_col: str = "answer", above:
 def verified_responses(responses: DataFrame, functions: DataFrame) -> DataFrame:
     """Responses with the mean result of their instruction's functions; kept above 0.
 
-    ``responses``: ``response_id, instruction_id, response, query``.  Equal
-    responses to an instruction are kept once, the first by id.
+    ``responses``: ``response_id, instruction_id, response, query``.  All
+    functions of a response are run in its row.  Equal responses to an
+    instruction are kept once, the first by id; they are compared by digest.
     """
-    run = responses.join(functions, "instruction_id").select(
-        "response_id", "instruction_id", "response", "query", dispatch(F.col("function_name"), F.col("response"), F.col("response")).alias("r")
-    )
-    mean = run.groupBy("response_id", "instruction_id", "response", "query").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("mean_result"))
-    once = mean.groupBy("instruction_id", "response", "query").agg(F.min(F.struct("response_id", "mean_result")).alias("x"))
-    return once.select("x.response_id", "instruction_id", "response", "query", "x.mean_result", (F.col("x.mean_result") > 0).alias("kept"))
+    found = F.filter(F.transform(scores(F.col("names"), F.col("response"), F.col("response")), lambda x: x["score"]), lambda x: x.isNotNull())
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    result = let(found, lambda x: F.when(F.size(x) > 0, total(x) / F.size(x)).otherwise(0.0))
+    mean = responses.join(_listed(functions), "instruction_id").select("response_id", "instruction_id", "response", "query", result.alias("mean_result"))
+    once = mean.groupBy("instruction_id", F.md5("response").alias("_r"), F.md5("query").alias("_q")).agg(F.min(F.struct("response_id", "response", "query", "mean_result")).alias("x"))
+    return once.select("x.response_id", "instruction_id", "x.response", "x.query", "x.mean_result", (F.col("x.mean_result") > 0).alias("kept"))
 
 
 def preferences(rows: DataFrame) -> DataFrame:

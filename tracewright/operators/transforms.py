@@ -268,6 +268,41 @@ def paragraph_count_backward(text: Column) -> Column:
     return _when_any(n > 0, F.concat(F.lit("Write "), n.cast("string"), F.lit(" paragraphs.")), text)
 
 
+# A small lexicon of things by kind, as the words stand in texts.  A larger one, with any
+# depth, is a table for :func:`tracewright.operators.features.common_hypernyms`.
+KINDS: dict[str, str] = {
+    "container": "basket baskets box boxes crate crates jar jars tray trays barrel barrels sack sacks bottle bottles bowl bowls kettle kettles mug mugs",
+    "fabric": "ribbon ribbons blanket blankets sheet sheets cotton silk wool linen felt",
+    "food": "apple apples lemon lemons cheese cake cakes barley honey salt plum plums fish",
+    "material": "copper iron steel brass clay glass tin oak pine cork wood leather paper",
+    "place": "field fields road roads town towns depot depots workshop workshops shelf shelves",
+    "vehicle": "wagon wagons bicycle bicycles ferry train trains boat boats",
+}
+
+
+def hypernym_groups(text: Column) -> Column:
+    """Kinds of which a text names two things or more: ``array<struct<hypernym, nouns>>``, both in order."""
+
+    def groups(found: Column) -> Column:
+        of = lambda kind: F.struct(F.lit(kind).alias("hypernym"), F.filter(found, lambda w: w.isin(KINDS[kind].split())).alias("nouns"))
+        return F.filter(F.array(*[of(k) for k in sorted(KINDS)]), lambda g: F.size(g["nouns"]) >= 2)
+
+    return t.let(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))), groups)
+
+
+def picked_hypernym(text: Column) -> Column:
+    """One of the groups, chosen by hash; null without any."""
+    keyed = F.transform(hypernym_groups(text), lambda g: F.struct(F.md5(F.concat_ws("|", g["hypernym"], F.get(g["nouns"], F.lit(0)))).alias("k"), g["hypernym"].alias("hypernym"), g["nouns"].alias("nouns")))
+    return F.array_min(keyed)
+
+
+def hypernyms_backward(text: Column) -> Column:
+    return t.let(
+        picked_hypernym(text),
+        lambda g: _when_any(g.isNotNull(), F.concat(F.lit("Name kinds of "), g["hypernym"], F.lit(": "), _first_three(g["nouns"])), text),
+    )
+
+
 #: Backward operators by name.
 BACKWARD: dict[str, Transform] = {
     "include_word_forward": include_word,
@@ -275,6 +310,7 @@ BACKWARD: dict[str, Transform] = {
     "title_case_backward": title_case_backward,
     "contains_list_or_enumeration_forward": contains_list_or_enumeration,
     "palindromes_backward": palindromes_backward,
+    "hypernyms_backward": hypernyms_backward,
     "paragraph_count_backward": paragraph_count_backward,
 }
 

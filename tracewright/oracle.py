@@ -237,6 +237,35 @@ EVALUATORS["json_of_paragraphs_forward"] = (
     "AND len(list_filter(coalesce(json_extract(t, '$.paragraphs[*]'), []), lambda x: json_type(x) <> 'VARCHAR')) = 0), false)"
 )
 
+# Elements without an end tag, by the HTML standard.
+_VOID = "'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr'"
+
+
+def html_ok(t: str) -> str:
+    """Some tag, and every tag closed in turn: a stack of open elements, or an exclamation mark after an error."""
+    name = "lower(regexp_extract(x, '^</?([a-zA-Z][^\\s/>]*)', 1))"
+    step = (
+        f"CASE WHEN a = '!' THEN a WHEN starts_with(x, '</') THEN CASE WHEN ends_with(a, '|' || {name}) THEN left(a, len(a) - len({name}) - 1) ELSE '!' END "
+        f"WHEN ends_with(x, '/>') THEN CASE WHEN {name} IN ({_VOID}) THEN '!' ELSE a END WHEN {name} IN ({_VOID}) THEN a ELSE a || '|' || {name} END"
+    )
+    return f"(contains({t}, '<') AND list_reduce(regexp_extract_all({t}, '</?[a-zA-Z][^>]*>'), lambda a, x: {step}, '') = '')"
+
+
+def hypernym_groups(t: str) -> str:
+    kinds = ", ".join(f"{{'h': '{k}', 'n': list_filter(ws, lambda hw: hw IN ({quoted(tr.KINDS[k].split())}))}}" for k in sorted(tr.KINDS))
+    return f"list_filter(list_transform([list_sort(list_distinct({ascii_words(t)}))], lambda ws: [{kinds}])[1], lambda hg: len(hg.n) >= 2)"
+
+
+def ascii_words(t: str) -> str:
+    return f"regexp_extract_all(lower({t}), '[a-z]+')"
+
+
+def picked_hypernym(t: str) -> str:
+    return f"list_sort(list_transform({hypernym_groups(t)}, lambda hp: {{'k': md5(hp.h || '|' || hp.n[1]), 'h': hp.h, 'n': hp.n}}))[1]"
+
+
+EVALUATORS["render_as_html_forward"] = html_ok("t")
+EVALUATORS["hypernyms_backward"] = f"len(list_filter(coalesce({picked_hypernym('g')}.n, []), lambda w: NOT list_contains({ascii_words('t')}, w))) = 0"
 _TG = "SELECT DISTINCT output_id, model_response AS t, gt_response AS g FROM model_outputs"
 ORACLE |= {f"ev_{n}": f"SELECT output_id, CASE WHEN t IS NULL THEN NULL ELSE ({e})::BIGINT END AS score FROM ({_TG})" for n, e in EVALUATORS.items()}
 
@@ -257,6 +286,8 @@ _BY_FUNCTION = {
     for n in tr.FORWARD
     if n.removesuffix("_forward") in FORWARD and n in EVALUATORS
 }
+_PAGE = "'" + tr.PAGE_HEAD.replace("'", "''") + "' || " + html_paragraphs("text") + " || '" + tr.PAGE_FOOT + "'"
+_BY_FUNCTION["render_as_html_forward"] = _PAGE
 _BY_FUNCTION["json_of_paragraphs_forward"] = f"to_json({{'paragraphs': {paras('text')}}})::VARCHAR"
 ORACLE["eval_forward_matrix"] = (
     "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), m AS ("
@@ -347,11 +378,11 @@ SELECT trace_id, x || '</think>' || string_split(raw_answer, '</think>')[-1] AS
 WHERE contains(x || string_split(raw_answer, '</think>')[-1], '<partial_solution>')"""
 
 _NO = "row_number() OVER (ORDER BY doc_id)"
-ORACLE["ds_shards"] = "SELECT doc_id, (ntile(7) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents"
-ORACLE["ds_split_90_10"] = f"SELECT doc_id, CASE WHEN {_NO} <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM documents"
+ORACLE["ds_shards"] = "SELECT doc_id, text, (ntile(7) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents"
+ORACLE["ds_split_90_10"] = f"SELECT doc_id, text, CASE WHEN {_NO} <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM documents"
 ORACLE["ds_sample_n"] = "SELECT doc_id, source FROM documents ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id LIMIT 50"
-ORACLE["ds_row_range"] = "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 60 OFFSET 100"
-ORACLE["ds_batches"] = f"SELECT batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, (({_NO} - 1) // 64)::BIGINT AS batch FROM documents) GROUP BY batch"
+ORACLE["ds_row_range"] = "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 60 OFFSET 100"
+ORACLE["ds_batches"] = f"SELECT doc_id, text, (({_NO} - 1) // 64)::BIGINT AS batch FROM documents"
 
 _TRAIN = """upper_case_forward title_case_forward replace_and_ampersand_forward avoid_the_forward one_word_per_line_forward
 use_multiple_spaces_forward sentences_per_line_forward commas_to_semicolons_forward add_line_numbers_forward json_of_paragraphs_forward
@@ -372,11 +403,11 @@ ORACLE["ds_first_pair"] = f"SELECT DISTINCT sample_id, len(messages) AS turns, l
 ORACLE["ds_assistant_turns"] = """
 SELECT sample_id, i - 1 AS turn, messages[i].content AS content FROM (SELECT sample_id, messages, unnest(range(1, len(messages) + 1)) AS i
 FROM (SELECT DISTINCT sample_id, messages FROM samples)) WHERE messages[i].role = 'assistant'"""
-ORACLE["ds_two_turns"] = "SELECT split, count(DISTINCT sample_id) AS samples FROM samples WHERE len(messages) = 2 GROUP BY split"
+ORACLE["ds_two_turns"] = "SELECT DISTINCT sample_id, split, messages[1].content AS asked, messages[2].content AS said FROM samples WHERE len(messages) = 2"
 ORACLE["ds_length_histogram"] = f"SELECT least(floor(w / 20.0), 29)::BIGINT AS bin, count(*) AS n FROM (SELECT len({words('text')}) AS w FROM documents WHERE text IS NOT NULL) WHERE w <= 600 GROUP BY ALL"
 ORACLE["ds_union_common"] = "SELECT split, source, count(*) AS n FROM (SELECT split, source FROM samples UNION ALL SELECT split, source FROM annotated_traces) GROUP BY ALL"
 ORACLE["ds_length_buckets"] = f"""
-SELECT bucket, greatest(1, 16 // (1 + bucket))::INTEGER AS batch_size, count(*) AS n FROM (SELECT (length(text) // 1000)::INTEGER AS bucket FROM {_ANSWERS}) GROUP BY ALL"""
+SELECT sample_id, bucket, greatest(1, 16 // (1 + bucket))::INTEGER AS batch_size FROM (SELECT sample_id, (length(text) // 1000)::INTEGER AS bucket FROM {_ANSWERS})"""
 ORACLE["ds_hyper_grid"] = """
 SELECT lr, hidden, alpha, decay, row_number() OVER (ORDER BY a, b, c, d) - 1 AS ordinal FROM
 (SELECT unnest([0.1::DOUBLE, 0.01]) AS lr, unnest([1, 2]) AS a), (SELECT unnest([0, 64, 128])::BIGINT AS hidden, unnest([1, 2, 3]) AS b),
@@ -385,7 +416,7 @@ SELECT lr, hidden, alpha, decay, row_number() OVER (ORDER BY a, b, c, d) - 1 AS
 _ALL_FORWARD = dict(_BY_FUNCTION)
 _ALL_FORWARD["identity"] = "text"
 _ALL_FORWARD["json_of_paragraphs_forward"] = _BY_FUNCTION["json_of_paragraphs_forward"]
-_ALL_FORWARD["render_as_html_forward"] = "'" + tr.PAGE_HEAD.replace("'", "''") + "' || " + html_paragraphs("text") + " || '" + tr.PAGE_FOOT + "'"
+_ALL_FORWARD["render_as_html_forward"] = _PAGE
 _FAN = (
     "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), f AS ("
     + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS function_name, text, {x} AS new_text FROM d" for n, x in _ALL_FORWARD.items())
@@ -395,37 +426,46 @@ _FAN = (
 )
 ORACLE["instr_fan_out_ranks"] = _FAN + "SELECT doc_id, r - 1 AS rank, function_name FROM e WHERE n = 8"
 _NOTES = "chr(10) || chr(10) || '## NOTES' || chr(10) || chr(10) || 'Instructions that you must follow in your reasoning chain (the part of your response before your final answer):' || chr(10) || '- '"
-_PREFIX = (
-    "'<think>' || chr(10) || 'Okay, so before I start reasoning, let me recall the user''s instructions for my reasoning chain: I must use capital letters only.' "
-    "|| chr(10) || 'It''s really important that I adhere to these instructions.' || chr(10) || chr(10)"
-)
+def prefix(note: str) -> str:
+    return (
+        f"'<think>' || chr(10) || 'Okay, so before I start reasoning, let me recall the user''s instructions for my reasoning chain: I must ' || {note} || '.' || chr(10) "
+        "|| 'It''s really important that I adhere to these instructions.' || chr(10) || chr(10)"
+    )
+
+
+_PREFIX = prefix("'use capital letters only'")
 ORACLE["instr_wrapped"] = f"""
 WITH s AS (SELECT DISTINCT sample_id, messages[1].content AS u, messages[2].content AS text FROM samples WHERE {_PAIR}),
 n AS (SELECT sample_id, u, string_split(string_split({normalized('text')}, '<think>')[2], '</think>') AS p FROM s),
 w AS (SELECT sample_id, u || {_NOTES} || 'use capital letters only' AS asked, {_PREFIX} || {upper(strip('p[1]'))} || chr(10) || '</think>' || chr(10) || chr(10) || {strip('p[2]')} AS said FROM n WHERE len(p) = 2)
 SELECT sample_id, asked, said, length(asked) + length(said) + 13 AS num_chars FROM w"""
-ORACLE["instr_reinstructed"] = f"SELECT DISTINCT sample_id, string_split(messages[1].content, chr(10) || chr(10) || '## NOTES')[1] || {_NOTES} || 'be brief' AS asked FROM samples"
+_TWICE = f"CASE WHEN sample_id % 2 = 0 THEN {prefix(quoted(['be loud']))} || {prefix(quoted(['be slow']))} || messages[2].content ELSE messages[2].content END"
+ORACLE["instr_reinstructed"] = f"""
+WITH s AS (SELECT DISTINCT sample_id, messages[1].content AS u, {_TWICE} AS a FROM samples),
+r AS (SELECT *, len(regexp_extract_all(a, 'let me recall the user''s instructions')) > 1 AND len({paras('a')}) > 1 AS twice FROM s)
+SELECT sample_id, string_split(u, chr(10) || chr(10) || '## NOTES')[1] || {_NOTES} || 'be brief' AS asked,
+  CASE WHEN twice THEN {prefix(quoted(['be brief']))} || array_to_string(({paras('a')})[2:], chr(10) || chr(10)) ELSE a END AS said FROM r"""
 
 
-def _rendered() -> str:
-    from tracewright.operators.instruct import TEMPLATES
+_UP = upper("text")
+# every evaluator of a text against itself
+_OF_ITSELF = EVALUATORS | {"translate_forward": "true", "include_word_forward": f"CASE WHEN len({tokens('lower(t)')}) > 0 THEN true END"}
 
-    names = ["paragraph_count", "sentence_count", "unique_word_count", "uppercase_word_count", "word_count"]
-    lines_ = ", ".join(f"replace(([{quoted(TEMPLATES[n])}])[doc_id % {len(TEMPLATES[n])} + 1], '{{value}}', {n}::VARCHAR)" for n in names)
-    return f"SELECT doc_id, array_to_string([{lines_}], chr(10)) AS instructions FROM ({ORACLE['feat_counts']}) WHERE word_count IS NOT NULL"
 
+def tested_sql(functions: str, cases: str) -> str:
+    """``functions``: instruction_id, function_name; ``cases``: instruction_id, case_id, t, g, expected."""
+    one = " ".join(f"WHEN '{n}' THEN ({e})::BIGINT" for n, e in _OF_ITSELF.items())
+    return f"""SELECT instruction_id, function_name, round(coalesce(accuracy, 0), 9) AS accuracy FROM {functions} LEFT JOIN (
+  SELECT instruction_id, function_name, avg(ok::INT) AS accuracy FROM (
+    SELECT *, max(ok) OVER (PARTITION BY instruction_id, case_id) AS good FROM (
+      SELECT instruction_id, function_name, case_id, (CASE function_name {one} END) IS NOT DISTINCT FROM expected::BIGINT AS ok FROM {functions} JOIN {cases} USING (instruction_id)))
+  WHERE good GROUP BY ALL) USING (instruction_id, function_name) WHERE coalesce(accuracy, 0) >= 0.5"""
 
-ORACLE["instr_rendered"] = _rendered()
 
-_UP = upper("text")
 ORACLE["gen_tested_functions"] = f"""
-WITH c AS (SELECT seed_id AS instruction_id, doc_id, text, text = {_UP} AS expected FROM documents WHERE seed_id IS NOT NULL AND text IS NOT NULL),
-f AS (SELECT seed_id AS instruction_id, unnest(['upper_case_forward', 'lower_case_forward', 'commas_to_semicolons_forward', 'full_stops_to_exclamation_marks_forward']) AS function_name FROM seed_instructions),
-r AS (SELECT instruction_id, function_name, doc_id, (CASE function_name WHEN 'upper_case_forward' THEN text = {_UP} WHEN 'lower_case_forward' THEN text = lower(text)
-  WHEN 'commas_to_semicolons_forward' THEN NOT contains(text, ', ') ELSE NOT contains(text, '.') END) = expected AS ok FROM f JOIN c USING (instruction_id)),
-g AS (SELECT *, max(ok) OVER (PARTITION BY instruction_id, doc_id) AS good FROM r),
-a AS (SELECT instruction_id, function_name, avg(ok::INT) AS accuracy FROM g WHERE good GROUP BY ALL)
-SELECT instruction_id, function_name, round(coalesce(accuracy, 0), 9) AS accuracy FROM f LEFT JOIN a USING (instruction_id, function_name) WHERE coalesce(accuracy, 0) >= 0.5"""
+WITH c AS (SELECT seed_id AS instruction_id, doc_id AS case_id, text AS t, text AS g, text = {_UP} AS expected FROM documents WHERE seed_id IS NOT NULL AND text IS NOT NULL),
+f AS (SELECT seed_id AS instruction_id, unnest([{quoted(sorted(_OF_ITSELF))}]) AS function_name FROM seed_instructions)
+{tested_sql('f', 'c')}"""
 ORACLE["gen_judge_scores"] = """
 WITH j AS (SELECT seed_id, nullif(regexp_extract(text, 'Score:\\s*(\\d+)', 1), '')::INT AS s FROM documents WHERE doc_kind = 'judge' AND seed_id IS NOT NULL)
 SELECT seed_id, round(coalesce(avg(s), 0), 9) AS mean_score, coalesce(avg(s), 0) > 5 AS kept FROM j GROUP BY seed_id"""
@@ -506,9 +546,6 @@ _CODE = f"(SELECT doc_id, coalesce(TRY({_FENCED}::JSON), TRY({_LOOSE}::JSON)) AS
 ORACLE["gen_parsed_functions"] = f"""
 SELECT doc_id, array_to_string(list_filter(string_split(j->>'$.func', chr(10)), lambda x: NOT contains(x, 'download') AND NOT contains(x, 'requests')), chr(10)) AS func,
   coalesce(json_array_length(j, '$.cases'), 0)::BIGINT AS cases FROM {_CODE} WHERE json_type(j, '$.func') = 'VARCHAR'"""
-ORACLE["gen_suspicious_lines"] = f"""
-SELECT DISTINCT line FROM (SELECT unnest(string_split(j->>'$.func', chr(10))) AS line FROM {_CODE} WHERE json_type(j, '$.func') = 'VARCHAR')
-WHERE regexp_matches(line, 'import|download|requests')"""
 _SUM_CASES = " ".join(f"WHEN '{n}' THEN ({EVALUATORS[n]})::BIGINT" for n in EVALUATORS)
 ORACLE["gen_verified_responses"] = f"""
 WITH o AS (SELECT DISTINCT output_id, function_name, model_reasoning AS t, model_reasoning AS g, instruction FROM model_outputs WHERE function_name IS NOT NULL AND model_response IS NOT NULL),
@@ -528,7 +565,6 @@ SELECT doc_id, hypernym, list_sort(list_distinct(list_concat(list(x), list(y))))
 
 
 def _mix() -> str:
-    from tracewright.operators import instruct
     from tracewright.plans.mix import HELD_OUT_FUNCTIONS, TRAIN_FUNCTIONS
 
     names = [n for n in TRAIN_FUNCTIONS + HELD_OUT_FUNCTIONS if n in tr.FORWARD or n in tr.BACKWARD]
@@ -543,20 +579,22 @@ def _mix() -> str:
             note, found = backward[n]
             texts.append(f"WHEN '{n}' THEN CASE WHEN len({found}) > 0 THEN text END")
             notes.append(f"WHEN '{n}' THEN '{note}' || array_to_string(({found})[:3], ', ')")
+        elif n == "hypernyms_backward":
+            texts.append(f"WHEN '{n}' THEN CASE WHEN len({hypernym_groups('text')}) > 0 THEN text END")
+            notes.append(f"WHEN '{n}' THEN 'Name kinds of ' || {picked_hypernym('text')}.h || ': ' || array_to_string({picked_hypernym('text')}.n[1:3], ', ')")
         elif n == "paragraph_count_backward":
             texts.append(f"WHEN '{n}' THEN CASE WHEN {paragraph_count('text')} > 0 THEN text END")
             notes.append(f"WHEN '{n}' THEN 'Write ' || ({paragraph_count('text')})::VARCHAR || ' paragraphs.'")
         else:
             texts.append(f"WHEN '{n}' THEN {_ALL_FORWARD[n]}")
             notes.append(f"WHEN '{n}' THEN {quoted([tr.FORWARD[n][1]])}")
-    constant = len(instruct.NOTES) + len("<think>\nOkay, so before I start reasoning, let me recall the user's instructions for my reasoning chain: I must .\nIt's really important that I adhere to these instructions.\n\n") + len("\n</think>\n\n") + 13
     return f"""
 WITH s AS (SELECT DISTINCT sample_id, messages[1].content AS u, messages[2].content AS text FROM samples WHERE {_PAIR}),
 n AS (SELECT sample_id, u, string_split(string_split({normalized('text')}, '<think>')[2], '</think>') AS p FROM s),
 c AS (SELECT sample_id, u, {strip('p[1]')} AS text, {strip('p[2]')} AS response, ([{quoted(names)}])[sample_id % {len(names)} + 1] AS f FROM n WHERE len(p) = 2),
 m AS (SELECT *, CASE f {' '.join(texts)} END AS t, CASE f {' '.join(notes)} END AS note FROM c)
 SELECT sample_id, CASE WHEN f IN ({quoted(HELD_OUT_FUNCTIONS)}) THEN 'ood_test' ELSE 'train' END AS part, f AS applied_functions,
-  length(u) + 2 * length(note) + length(t) + length(response) + {constant} AS num_chars
+  u || {_NOTES} || note AS asked, {prefix('note')} || t || chr(10) || '</think>' || chr(10) || chr(10) || response AS said, length(asked) + length(said) + 13 AS num_chars
 FROM m WHERE t IS NOT NULL AND (ends_with(f, '_backward') OR t <> text)"""
 
 
@@ -590,14 +628,132 @@ SELECT seed_id, round(avg(s), 9) AS mean_score, avg(s) > 5 AS kept FROM p GROUP
 
 
 ORACLE["gen_stub_pipeline"] = _stub()
-ORACLE["feat_rows"] = f"""
-WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
-o AS (SELECT doc_id, list(phrase ORDER BY phrase) AS openings FROM ({ORACLE['feat_sentence_openings']}) GROUP BY doc_id),
+_REPEATED = {
+    "ngram_repetitions": "feat_ngram_repetitions", "repeated_sentences": "feat_repeated_sentences", "sent_starts_with": "feat_sentence_openings",
+    "sent_ends_with": "feat_sentence_closings", "para_starts_with": "feat_paragraph_openings", "para_ends_with": "feat_paragraph_closings",
+}
+
+
+def feature_rows_sql(table: str, acrostics: bool) -> str:
+    of = lambda q: ORACLE[q].replace("documents", table)
+    phrases = ", ".join(f"p_{n} AS (SELECT doc_id, list(phrase || '=' || n ORDER BY phrase) AS {n} FROM ({of(q)}) GROUP BY doc_id)" for n, q in _REPEATED.items())
+    letters = each(f"list_filter(list_transform(string_split(text, '.'), lambda y: {strip('y')}), lambda y: y <> '')", "lower(x[1])")
+    hidden = f""",
 lex AS (SELECT DISTINCT w FROM (SELECT unnest({words('lower(text)')}) AS w FROM d) WHERE regexp_full_match(w, '[a-z]{{4,6}}')),
-i AS (SELECT doc_id, {each(f"list_filter(list_transform(string_split(text, '.'), lambda y: {strip('y')}), lambda y: y <> '')", 'lower(x[1])')} AS s FROM d),
+i AS (SELECT doc_id, {letters} AS s FROM d),
 c AS (SELECT doc_id, n, k, s[k:k + n - 1] AS w FROM (SELECT doc_id, s, n, unnest(range(1, length(s) - n + 2)) AS k FROM i, (SELECT unnest([6, 5, 4]) AS n))),
-h AS (SELECT doc_id, arg_min(w, k - 1000000 * n) AS hidden_acrostic FROM c JOIN lex USING (w) GROUP BY doc_id)
-SELECT doc_id, len({words('text')}) AS word_count, coalesce(openings, []) AS openings, hidden_acrostic FROM d LEFT JOIN o USING (doc_id) LEFT JOIN h USING (doc_id)"""
+h AS (SELECT doc_id, arg_min(w, k - 1000000 * n) AS hidden_acrostic FROM c JOIN lex USING (w) GROUP BY doc_id)"""
+    return f"""
+WITH d AS (SELECT doc_id, text FROM {table} WHERE text IS NOT NULL), {phrases}{hidden if acrostics else ''}
+SELECT doc_id, k.* EXCLUDE (doc_id, palindromes), {palindromes('text')} AS palindrome, e.opening AS contains_list_or_enumeration,
+  list_transform({hypernym_groups('text')}, lambda hp: hp.h || '=' || array_to_string(hp.n, ',')) AS common_noun_hypernyms,
+  {', '.join(f'coalesce({n}, []) AS {n}' for n in _REPEATED)}{', hidden_acrostic' if acrostics else ''}
+FROM d JOIN ({of('feat_counts')}) k USING (doc_id) JOIN ({of('feat_enumeration')}) e USING (doc_id)
+{' '.join(f'LEFT JOIN p_{n} USING (doc_id)' for n in _REPEATED)}{' LEFT JOIN h USING (doc_id)' if acrostics else ''}"""
+
+
+def rendered_sql(table: str, acrostics: bool) -> str:
+    from tracewright.operators.instruct import TEMPLATES
+
+    rows = ", ".join(f"({quoted([k])}, {i}, {quoted([x])})" for k, xs in TEMPLATES.items() for i, x in enumerate(xs))
+    keys = lambda n: f"array_to_string(list_transform({n}[1:3], lambda y: regexp_replace(y, '=[^=]*$', '')), ', ')"
+    shown = {n: keys(n) for n in (*_REPEATED, "common_noun_hypernyms")} | {"palindrome": "array_to_string(palindrome[1:3], ', ')"}
+    shown |= {n: f"{n}::VARCHAR" for n in ("word_count", "unique_word_count", "sentence_count", "paragraph_count", "uppercase_word_count", "contains_list_or_enumeration")}
+    if acrostics:
+        shown["hidden_acrostic"] = "hidden_acrostic"
+    values = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS feature, {x} AS value FROM r" for n, x in shown.items())
+    return f"""
+WITH r AS ({feature_rows_sql(table, acrostics)}), v AS ({values}), t(feature, no, template) AS (VALUES {rows}),
+l AS (SELECT doc_id, v.feature, replace(template, '{{value}}', CASE value WHEN 'true' THEN 'with' WHEN 'false' THEN 'without' ELSE value END) AS line
+  FROM v JOIN t ON v.feature = t.feature AND doc_id % 10 = no WHERE value <> '')
+SELECT doc_id, string_agg(line, chr(10) ORDER BY feature, line) AS instructions FROM l GROUP BY doc_id"""
+
+
+ORACLE["feat_rows"] = feature_rows_sql("documents", True)
+ORACLE["instr_rendered"] = rendered_sql("documents", True)
+ORACLE["plan_backward"] = f"""
+WITH s AS (SELECT DISTINCT sample_id, messages[1].content AS u, messages[2].content AS text FROM samples WHERE {_PAIR}),
+n AS (SELECT sample_id, u, string_split(string_split({normalized('text')}, '<think>')[2], '</think>') AS p FROM s),
+c AS (SELECT sample_id AS doc_id, u, {strip('p[1]')} AS text, {strip('p[2]')} AS response FROM n WHERE len(p) = 2),
+i AS ({rendered_sql('c', False)})
+SELECT doc_id AS sample_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part,
+  'Thinking Contraints:' || chr(10) || instructions || chr(10) || chr(10) || 'Question: ' || u AS asked,
+  '<think>' || chr(10) || text || chr(10) || '</think>' || chr(10) || chr(10) || response AS said
+FROM c JOIN i USING (doc_id)"""
 
 # In these tables answers are whole numbers or empty, so equality as text decides.
 ORACLE["math_grade"] = f"SELECT DISTINCT trace_id, coalesce({strip(_BOX)} = {strip('final_answer')}, false) AS correct FROM annotated_traces"
+ORACLE["bench_throughput"] = """
+WITH o AS (SELECT DISTINCT output_id, run_id, finished_at, model_response FROM model_outputs),
+r AS (SELECT run_id, count(*) AS examples, sum(coalesce(length(model_response), 0))::BIGINT AS size, (epoch_us(max(finished_at)) - epoch_us(min(finished_at))) / 1e6 AS s FROM o GROUP BY run_id)
+SELECT run_id, examples, size, round(CASE WHEN s > 0 THEN examples / s END, 9) AS examples_per_second, round(CASE WHEN s > 0 THEN size / s END, 9) AS size_per_second FROM r"""
+_JSON_PART = strip("regexp_extract(text, '(?s)```json(.*?)```', 1)")
+# in these tables the keys of equal objects stand in one order
+ORACLE["ds_dedup_json"] = f"""
+SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, CASE WHEN regexp_extract(text, '(?s)```json(.*?)```', 1) <> '' THEN {_JSON_PART} ELSE text END AS v FROM documents WHERE doc_kind = 'code' AND text IS NOT NULL)
+GROUP BY coalesce(TRY(v::JSON)::VARCHAR, v)"""
+
+
+def filled(name: str, **values: str) -> str:
+    """A prompt as an expression."""
+    from tracewright.operators.instruct import PROMPTS
+
+    out = "'" + PROMPTS[name].format(**{k: f"\x01{k}\x01" for k in values}).replace("'", "''") + "'"
+    for k, v in values.items():
+        out = f"replace({out}, chr(1) || '{k}' || chr(1), {v})"
+    return out
+
+
+def _number(t: str) -> str:
+    return f"('0x' || md5({t}))::UHUGEINT"
+
+
+def _pipeline_sql() -> str:
+    w = external.FunctionWriter
+    cases = " UNION ALL ".join(f"SELECT instruction_id, k * 1000 + {i} AS case_id, {quoted([x])} AS t, {quoted([x])} AS g, h // {2**i} % 2 = 1 AS expected FROM w" for i, x in enumerate(w.INPUTS))
+    negated = f"len(list_filter({words('lower(instruction)')}, lambda x: x IN ({quoted(sorted(external.WordOverlapNli.NEGATION))}))) > 0"
+    one = " ".join(f"WHEN '{n}' THEN ({EVALUATORS[n]})::BIGINT" for n in w.NAMES)
+    return f"""
+WITH s AS (SELECT seed_id AS instruction_id, {strip('instruction')} AS instruction FROM seed_instructions),
+a AS (SELECT instruction_id, instruction, unnest([0, 1, 2]) AS k FROM s),
+w AS (SELECT instruction_id, k, h FROM (SELECT instruction_id, k, {_number(filled('eval_function', instruction="instruction || ' #' || k"))} AS h FROM a) WHERE h % 7 <> 0),
+f AS (SELECT DISTINCT instruction_id, ([{quoted(w.NAMES)}])[(h % 4)::INT + 1] AS function_name FROM w),
+c AS ({cases}),
+e AS ({tested_sql('f', 'c')}),
+i AS (SELECT instruction_id, function_name, instruction FROM e JOIN s USING (instruction_id) WHERE NOT ({negated}) AND {_number(filled('back_translate', func="function_name || ' ' || instruction"))} % 5 <> 0),
+q AS (SELECT query, row_number() OVER (ORDER BY query) AS no, count(*) OVER () AS n FROM (SELECT DISTINCT problem AS query FROM benchmark_items WHERE problem IS NOT NULL)),
+p AS (SELECT instruction_id, instruction_id * 2 + k AS response_id, instruction, query FROM (SELECT DISTINCT instruction_id, instruction, unnest([0, 1]) AS k FROM i) JOIN q ON no = (instruction_id * 2 + k) % n + 1),
+r AS (SELECT instruction_id, response_id, query, {strip(f"CASE (h % 3)::INT WHEN 0 THEN {upper('query')} WHEN 1 THEN lower(query) ELSE query END")} AS response
+  FROM (SELECT *, {_number(filled('rewrite', instruction='instruction', response="''", query='query'))} AS h FROM p)),
+v AS (SELECT response_id, instruction_id, query, response, coalesce(avg(m), 0) AS mean_result FROM (
+  SELECT response_id, instruction_id, query, response, CASE function_name {one} END AS m FROM (SELECT r.*, function_name, response AS t, response AS g FROM r JOIN i USING (instruction_id))) GROUP BY response_id, instruction_id, query, response
+  QUALIFY row_number() OVER (PARTITION BY instruction_id, query, response ORDER BY response_id) = 1),
+j AS (SELECT response_id, avg(({_number(filled('judge', instruction='k::VARCHAR', response='response', query='query'))} % 11)::INT) AS mean_score FROM (SELECT *, unnest([0, 1, 2]) AS k FROM v) GROUP BY response_id)
+SELECT response_id, instruction_id, query, response, round(mean_result, 9) AS mean_result, round(mean_score, 9) AS mean_score, mean_result > 0 AND mean_score > 5 AS kept FROM v JOIN j USING (response_id)"""
+
+
+ORACLE["gen_pipeline"] = _pipeline_sql()
+_CHUNK_LINES = "array_to_string(list_transform(chunks, lambda c, i: '[' || (i - 1) || '] ' || regexp_replace(c, '\\s*\\n\\s*', ' ', 'g')), chr(10))"
+ORACLE["gen_annotated_chunks"] = f"""
+WITH t AS (SELECT DISTINCT trace_id, "partial_solutions-chunks" AS chunks FROM annotated_traces),
+p AS (SELECT trace_id, chunks, {_number(filled('annotate', chunks=_CHUNK_LINES))} % 7 = 0 AS none FROM t WHERE len(chunks) > 0)
+SELECT trace_id, CASE WHEN none THEN list_transform(chunks, lambda c, i: (i - 1)::VARCHAR)
+  ELSE list_filter(list_transform(chunks, lambda c, i: (i - 1)::VARCHAR || '=' || coalesce(regexp_extract_all(regexp_replace(c, '\\s*\\n\\s*', ' ', 'g'), '[0-9]+')[-1], '') || left(c, 0)), lambda x: x IS NOT NULL) END AS results FROM p"""
+ORACLE["gen_suspicious_lines"] = f"""
+SELECT DISTINCT line FROM (SELECT unnest(string_split(j->>'$.func', chr(10))) AS line FROM {_CODE} WHERE json_type(j, '$.func') = 'VARCHAR')
+WHERE regexp_matches(line, 'import|download|requests')
+UNION SELECT 'import requests' AS line FROM seed_instructions WHERE {_number(filled('eval_function', instruction="coalesce(instruction, '')"))} % 7 <> 0"""
+
+
+def _graded() -> str:
+    from tracewright.queries import GRADED
+
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {right})" for i, (_, _, right) in enumerate(GRADED)) + ") AS x(case_id, correct)"
+
+
+ORACLE["math_cases"] = _graded()
+_LAST_LINE = f"string_split({strip('text')}, chr(10))[-1]"
+# an answer that repeats its prompt from the beginning is trimmed to nothing
+ORACLE["gen_by_length"] = f"""
+SELECT sample_id, string_split(string_split(CASE WHEN starts_with(l, text) THEN {strip('l[length(text) + 1:]')} ELSE {strip('l')} END, '.')[1], '}}')[1] AS answer
+FROM (SELECT sample_id, text, {_LAST_LINE} AS l FROM {_ANSWERS})"""

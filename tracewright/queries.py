@@ -11,7 +11,10 @@ from tracewright.functions import external
 from tracewright.functions import text as t
 from tracewright.operators import dataset, evaluators, features, grading, instruct, metrics, pipeline, probe, trace, viewer
 from tracewright.operators import transforms as tr
+from tracewright.plans import annotate as plans_annotate
+from tracewright.plans import backward as plans_backward
 from tracewright.plans import mix as plans_mix
+from tracewright.plans import verify as plans_verify
 from tracewright.plans.mix import HELD_OUT_FUNCTIONS, TRAIN_FUNCTIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,12 +220,12 @@ def trace_annotated(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ds_shards(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.sharded(_docs(spark, d).select("doc_id"), 7, "doc_id")
+    return dataset.sharded(_docs(spark, d).select("doc_id", "text"), 7, "doc_id")
 
 
 @query
 def ds_split_90_10(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.positional_split(_docs(spark, d).select("doc_id"), 0.9, "doc_id")
+    return dataset.positional_split(_docs(spark, d).select("doc_id", "text"), 0.9, "doc_id")
 
 
 @query
@@ -232,12 +235,12 @@ def ds_sample_n(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ds_row_range(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.row_range(_docs(spark, d).select("doc_id"), 100, 160, "doc_id")
+    return dataset.row_range(_docs(spark, d).select("doc_id", "text"), 100, 160, "doc_id")
 
 
 @query
 def ds_batches(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.batched(_docs(spark, d).select("doc_id"), 64, "doc_id").groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return dataset.batched(_docs(spark, d).select("doc_id", "text"), 64, "doc_id")
 
 
 @query
@@ -258,6 +261,21 @@ def ds_dedup_delivered(spark: SparkSession, d: str) -> DataFrame:
     return dataset.first_per_value(rows, ["sample_id"], "ingested_at").select("sample_id", "source", F.unix_micros("ingested_at").alias("ingested_us"))
 
 
+@query
+def ds_dedup_json(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements, functions and other documents that are JSON or not: the first of each value."""
+    fenced = F.regexp_extract("text", r"(?s)```json(.*?)```", 1)
+    rows = _docs(spark, d).where("doc_kind = 'code' and text is not null").select("doc_id", F.when(fenced != "", t.strip(fenced)).otherwise(F.col("text")).alias("value"))
+    return dataset.first_per_json(rows, "value", "doc_id").select("doc_id")
+
+
+@query
+def bench_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs and characters per second of each run, from the first to the last finished."""
+    rows = _t(spark, d, "model_outputs").select("output_id", "run_id", "finished_at", "model_response").distinct()
+    return metrics.throughput(rows, "run_id", F.col("finished_at"), F.length("model_response"))
+
+
 @query
 def ds_new_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Bulleted instructions of documents that are not seeds yet."""
@@ -280,7 +298,8 @@ def ds_assistant_turns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ds_two_turns(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.with_turns(_t(spark, d, "samples")).groupBy("split").agg(F.countDistinct("sample_id").alias("samples"))
+    m = lambda i: F.get("messages", F.lit(i))["content"]
+    return dataset.with_turns(_t(spark, d, "samples")).select("sample_id", "split", m(0).alias("asked"), m(1).alias("said")).distinct()
 
 
 @query
@@ -297,8 +316,7 @@ def ds_union_common(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ds_length_buckets(spark: SparkSession, d: str) -> DataFrame:
-    rows = dataset.length_buckets(_answers(spark, d), F.col("text"), 16, 1000)
-    return rows.groupBy("bucket", "batch_size").agg(F.count("*").alias("n"))
+    return dataset.length_buckets(_answers(spark, d), F.col("text"), 16, 1000).select("sample_id", "bucket", "batch_size")
 
 
 @query
@@ -332,16 +350,25 @@ def instr_wrapped(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def instr_reinstructed(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "samples").select("sample_id", F.get("messages", F.lit(0))["content"].alias("user")).distinct()
-    return rows.select("sample_id", instruct.reinstruct(F.col("user"), F.lit("a"), F.lit("be brief"))["user"].alias("asked"))
+    m = lambda i: F.get("messages", F.lit(i))["content"]
+    rows = _t(spark, d, "samples").select("sample_id", m(0).alias("user"), m(1).alias("assistant")).distinct()
+    # a reasoning that recalls two instructions, as transforms that are applied after one another leave it
+    twice = F.concat(instruct.prefix(F.lit("be loud")), instruct.prefix(F.lit("be slow")), F.col("assistant"))
+    made = rows.select("sample_id", instruct.reinstruct(F.col("user"), F.when(F.col("sample_id") % 2 == 0, twice).otherwise(F.col("assistant")), F.lit("be brief")).alias("r"))
+    return made.select("sample_id", F.col("r.user").alias("asked"), F.col("r.assistant").alias("said"))
 
 
 @query
 def instr_rendered(spark: SparkSession, d: str) -> DataFrame:
-    counted = features.counts(_docs(spark, d)).where("word_count is not null")
-    names = ["word_count", "unique_word_count", "sentence_count", "paragraph_count", "uppercase_word_count"]
-    values = counted.select("doc_id", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("string") for n in names]))).alias("feature", "value"))
-    return instruct.render(values, instruct.template_table(spark))
+    return instruct.render(features.feature_values(_feature_rows(spark, d)), instruct.template_table(spark))
+
+
+@query
+def plan_backward(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with constraints that their reasoning meets, split 90/10."""
+    made = plans_backward.backward_samples(_t(spark, d, "samples"), instruct.template_table(spark))
+    m = lambda i: F.get("messages", F.lit(i))["content"]
+    return made.select("sample_id", "part", m(0).alias("asked"), m(1).alias("said"))
 
 
 # Generate, verify, filter.
@@ -355,17 +382,20 @@ def gen_parsed_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gen_suspicious_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).where("doc_kind = 'code'").select(pipeline.parsed_function(F.col("text")).alias("p")).where("p is not null")
-    return pipeline.suspicious_lines(rows.select("p.func"))
+    """Lines of functions in documents and of those that the offline writer makes for the seeds."""
+    parsed = lambda df, c: df.select(pipeline.parsed_function(F.col(c)).alias("p")).where("p is not null").select("p.func")
+    seeds = _t(spark, d, "seed_instructions").select(instruct.prompt("eval_function", instruction=F.coalesce("instruction", F.lit(""))).alias("prompt"))
+    made = parsed(external.generated(seeds, external.FunctionWriter), "answer")
+    return pipeline.suspicious_lines(parsed(_docs(spark, d).where("doc_kind = 'code'"), "text").unionByName(made))
 
 
 @query
 def gen_tested_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Registered predicates against cases made from documents and what the reference transform says."""
-    names = ["upper_case_forward", "lower_case_forward", "commas_to_semicolons_forward", "full_stops_to_exclamation_marks_forward"]
+    """All registered functions against cases made from documents; the expected output is whether the text is in capitals."""
+    names = sorted(evaluators.EVALUATORS)
     seeds = _t(spark, d, "seed_instructions").select(F.col("seed_id").alias("instruction_id"))
     functions = seeds.select("instruction_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("function_name"))
-    docs = _docs(spark, d).where("seed_id is not null and text is not null")
+    docs = spread(_docs(spark, d).where("seed_id is not null and text is not null"))
     cases = docs.select(F.col("seed_id").alias("instruction_id"), F.col("doc_id").alias("case_id"), F.col("text").alias("input"), (F.col("text") == F.upper("text")).cast("string").alias("output"))
     tested = pipeline.tested_functions(functions, cases)
     return tested.select("instruction_id", "function_name", F.round("accuracy", 9).alias("accuracy"))
@@ -400,6 +430,30 @@ def gen_stub_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.judged(external.generated(judgements, external.HashJudge), "seed_id")
 
 
+@query
+def gen_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The whole plan from seeds to verdicts, with the offline generators."""
+    seeds = _t(spark, d, "seed_instructions").select(F.col("seed_id").alias("instruction_id"), t.strip(F.col("instruction")).alias("instruction"))
+    queries = _t(spark, d, "benchmark_items").where("problem is not null").select(F.col("problem").alias("query"))
+    found = plans_verify.generate_verify_filter(seeds, queries).responses
+    return found.select("response_id", "instruction_id", "query", "response", F.round("mean_result", 9).alias("mean_result"), F.round("mean_score", 9).alias("mean_score"), "kept")
+
+
+@query
+def gen_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns through a generator in batches of like length, cut at a stop mark."""
+    rows = _answers(spark, d).select("sample_id", F.col("text").alias("prompt"))
+    return external.generated_by_length(rows, external.EchoGenerator, width=1000, stops=(".", "}")).select("sample_id", "answer")
+
+
+@query
+def gen_annotated_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of traces through the annotator."""
+    rows = _t(spark, d, "annotated_traces").select("trace_id", F.col("`partial_solutions-chunks`").alias("chunks")).distinct()
+    done = plans_annotate.annotated(rows)
+    return done.select("trace_id", F.transform("annotation", lambda a: F.concat_ws("=", a["id"], a["result"])).alias("results"))
+
+
 @query
 def gen_nli_filter(spark: SparkSession, d: str) -> DataFrame:
     seeds = _t(spark, d, "seed_instructions").select("seed_id", "instruction", F.array(F.lower("instruction"), F.concat(F.lit("do not "), F.col("instruction"))).alias("back_instruction"))
@@ -434,6 +488,23 @@ def math_grade_exact(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("trace_id", grading.grade(F.col("given"), F.col("final_answer")).alias("correct"))
 
 
+#: Pairs of answers with what the grade must be: fractions, units, commas, tuples, mixed numbers, roots, polynomials;
+#: a whole number must be given as one.
+GRADED = [
+    ("0.5", "\\frac{1}{2}", True), ("1,000", "1000", True), ("7 3/4", "\\frac{31}{4}", True), ("(1,2)", "[1,2]", False), ("2/4", "1/2", False),
+    ("50\\%", "50", True), ("\\text{Evelyn}", "Evelyn", True), ("x=5", "5", True), ("\\sqrt3", "\\sqrt{3}", True), ("2x+3", "3+2x", True), ("12 cm", "12", True),
+    ("", "3", False), ("5", "6", False), ("(1, 2)", "(1,2)", True), ("1/3", "0.333", False), ("(1,2)", "(2,1)", False), ("x^2-1", "(x-1)(x+1)", True),
+    ("3 million", "3000000", False), ("\\frac12", "\\frac{1}{2}", True), ("-7", "7", False), ("1000", "1,000.0", True), ("\\{1,2\\}", "\\{1,2\\}", True),
+]
+
+
+@query
+def math_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of grading, case by case."""
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(GRADED)], "case_id long, given string, truth string")
+    return rows.select("case_id", grading.grade(F.col("given"), F.col("truth")).alias("correct"))
+
+
 @query
 def math_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "annotated_traces").select("trace_id", trace.boxed_answer(F.col("raw_answer")).alias("given"), "final_answer").distinct()
@@ -532,14 +603,23 @@ def viewer_highlight(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mix_synthesis(spark: SparkSession, d: str) -> DataFrame:
-    return plans_mix.synthesize(_t(spark, d, "samples")).select("sample_id", "part", "applied_functions", "num_chars")
+    m = lambda i: F.get("messages", F.lit(i))["content"]
+    return plans_mix.synthesize(_t(spark, d, "samples")).select("sample_id", "part", "applied_functions", m(0).alias("asked"), m(1).alias("said"), "num_chars")
+
+
+def _feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    lexicon = _docs(spark, d).select(F.explode(t.words(F.lower(F.col("text")))).alias("word")).where("word rlike '^[a-z]{4,6}$'").distinct()
+    return features.feature_rows(spread(_docs(spark, d).where("text is not null")), lexicon)
 
 
 @query
 def feat_rows(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = _docs(spark, d).select(F.explode(t.words(F.lower(F.col("text")))).alias("word")).where("word rlike '^[a-z]{4,6}$'").distinct()
-    out = features.feature_rows(_docs(spark, d).where("text is not null"), lexicon)
-    return out.select("doc_id", "word_count", F.map_keys("sent_starts_with").alias("openings"), "hidden_acrostic")
+    out = _feature_rows(spark, d)
+    maps = [f.name for f in out.schema.fields if f.dataType.typeName() == "map"]
+    # in a form that other engines have too
+    value = lambda m, v: F.array_join(v, ",") if m == "common_noun_hypernyms" else v.cast("string")
+    shown = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), value(m, e["value"])))
+    return out.select(*[c for c in out.columns if c not in maps], *[shown(m).alias(m) for m in maps])
 
 
 @query

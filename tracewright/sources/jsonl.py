@@ -70,6 +70,22 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def write_jsonl_ascii(df: DataFrame, path: str, append: bool = False) -> None:
+    """One object per line with every other letter than ASCII as ``\\uXXXX``; for readers that know ASCII only."""
+    line = F.to_json(F.struct(*df.columns))
+    # characters above U+FFFF are two surrogates
+    unit = lambda c: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(c)), 4, "0"))
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+
+    def one(c):
+        n = code(c)
+        pair = F.concat(unit(F.floor((n - 0x10000) / 1024) + 0xD800), unit((n - 0x10000) % 1024 + 0xDC00))
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    escaped = F.when(line.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(line, ""), one), "")).otherwise(line)
+    df.select(escaped.alias("value")).write.mode("append" if append else "overwrite").text(path)
+
+
 def write_document(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
     """A small report as one indented JSON document; more than ``most_rows`` rows are refused."""
     rows = df.limit(most_rows + 1).collect()
@@ -83,7 +99,8 @@ def ingest(spark: SparkSession, path: str, schema: StructType) -> str:
     """Checks ending and size of a file and makes it a temporary view; gives its id."""
     if not path.endswith(ALLOWED):
         raise ValueError(f"only {', '.join(ALLOWED)}")
-    if os.path.getsize(path) > MAX_BYTES:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getLen() > MAX_BYTES:
         raise ValueError(f"more than {MAX_BYTES} bytes")
     name = f"file_{uuid.uuid4().hex}"
     read_jsonl_skipping_blank(spark, path, schema).createOrReplaceTempView(name)
