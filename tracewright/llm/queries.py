@@ -116,7 +116,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
-    return leak.without_leaks(_t(spark, d, "documents"), _passages(spark, d))
+    return leak.without_leaks(_t(spark, d, "documents").select("doc_id", "text", "source"), _passages(spark, d))
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
@@ -189,3 +189,4 @@ g AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS h FROM (SELECT item_id, w, u
 h AS (SELECT doc_id, hash(w[k:k + 11]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM w))
 SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (h)""",
 }
+ORACLE["p6_clean"] = f"SELECT doc_id, text, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({ORACLE['p6_found']}))"
